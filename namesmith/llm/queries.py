@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namesmith.llm import substring_dedup, suffix_dedup
+from namesmith.llm import minhash, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,12 @@ def op3_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_words(documents(spark, sf_dir)).drop("kept")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array, op3_seed_extend)}
+    return {f.__name__: f for f in (op1_suffix_array, op3_seed_extend, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
