@@ -7,6 +7,9 @@ slice (or one very long document), never the partition.
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +21,13 @@ BYTES = _rng.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
 BASE = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 SPACES = np.ones(256, dtype=bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = False
+
+
+def worker_store() -> types.ModuleType:
+    """A module made in the Python worker, so that what it holds outlives a task."""
+    return sys.modules.setdefault("namesmith_worker_store", types.ModuleType("namesmith_worker_store"))
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namesmith.llm import minhash, substring_dedup, suffix_dedup
+from namesmith.llm import langid, minhash, packing, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +27,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_held_out(documents(spark, sf_dir))
+
+
+def op9_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array, op3_seed_extend, op10_minhash)}
+    return {f.__name__: f for f in (op1_suffix_array, op3_seed_extend, op7_rank_order, op9_vector_best_fit, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
