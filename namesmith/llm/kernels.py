@@ -214,3 +214,15 @@ def structs(column, *fields: str) -> list[np.ndarray]:
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     flat = column.flatten()
     return [np.r_[0, np.cumsum(sizes, dtype=np.int64)], *(flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in fields)]
+
+
+def first_of_equal(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Rows that are the first of their key, and the values of each one's later equals (null if none)."""
+    order = np.argsort(keys, kind="stable")
+    new = np.r_[True, keys[order][1:] != keys[order][:-1]]
+    if new.all():
+        return np.arange(len(keys)), pa.nulls(len(keys), pa.list_(pa.int32()))
+    keep = order[new]
+    sizes = np.diff(np.r_[np.flatnonzero(new), len(keys)]) - 1
+    rows = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values[order[~new]].astype(np.int32)))
+    return keep, pc.if_else(pa.array(sizes > 0), rows, pa.nulls(len(rows), rows.type))

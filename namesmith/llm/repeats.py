@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from namesmith.llm import kernels
 from namesmith.plans.storage import cut
 
-RUNS = "seed long, whole long, doc_id long, lo int, hi int, at int"
+RUNS = "seed long, whole long, doc_id long, lo int, hi int, at int, more array<int>"
 BLOCKS = "h1 long, h2 long, doc_id long, lo int, hi int, at int"
 
 
@@ -44,7 +44,10 @@ def ints(*columns: np.ndarray) -> list[pa.Array]:
 
 
 def runs(docs: DataFrame, kind: str, n: int, k: int) -> DataFrame:
-    """One row per run of windows that share a seed."""
+    """One row per distinct run of a document; ``more`` has the further starts of equal runs in it, if any.
+
+    Without this, a text that repeats one word would put all its rows under one seed.
+    """
     names = RUNS.replace(",", "").split()[::2]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,9 +55,11 @@ def runs(docs: DataFrame, kind: str, n: int, k: int) -> DataFrame:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, buf, offs in kernels.slices(*kernels.utf8(batch.column("text"))):
                 one, two, at, _ = kernels.tokens_of(kind, buf, offs)
-                seed, whole, doc, *places = kernels.winnow(one, two, at, n, k)
+                seed, whole, doc, lo, hi, start = kernels.winnow(one, two, at, n, k)
                 if len(seed):
-                    yield pa.RecordBatch.from_arrays([kernels.signed(seed), kernels.signed(whole), pa.array(ids[first + doc]), *ints(*places)], names=names)
+                    keep, more = kernels.first_of_equal(kernels.mix(whole + kernels.mix(doc.astype(np.uint64))), lo)
+                    rows = [kernels.signed(seed[keep]), kernels.signed(whole[keep]), pa.array(ids[first + doc[keep]]), *ints(lo[keep], hi[keep], start[keep]), more]
+                    yield pa.RecordBatch.from_arrays(rows, names=names)
 
     return docs.mapInArrow(emit, RUNS)
 
@@ -104,12 +109,18 @@ def spans(docs: DataFrame, kind: str, n: int, k: int, earlier: str, block: int =
         .withColumn("again", later(equal, earlier))
         .withColumn("head", F.row_number().over(equal) == 1)
         .withColumn("mixed", F.min("whole").over(seed) != F.max("whole").over(seed))
-        .where(F.col("again") | F.col("head") & F.col("mixed"))
-        .select("doc_id", "lo", "hi", "at", "again"),
+        .where(F.col("again") | F.col("more").isNotNull() | F.col("head") & F.col("mixed"))
+        .select("doc_id", "lo", "hi", "at", "again", "more", (F.col("head") & F.col("mixed") & ~F.col("again")).alias("open")),
         f"{kind}-runs",
     )
-    found = met.where("again").select("doc_id", "lo", (F.col("hi") + n).alias("hi"))
-    heads = met.where("not again").drop("again")
+    none = F.array().cast("array<int>")
+    more = F.coalesce("more", none)
+    every = F.concat(F.array("lo"), more)
+    # Equal runs of one document: the later ones repeat it, or share the first one's fate.
+    known = F.when(F.col("again"), every).otherwise(more if earlier == "place" else none)
+    found = met.select("doc_id", F.explode(known).alias("start"), (F.col("hi") - F.col("lo") + n).alias("size")).select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
+    still = met.where("open").select("doc_id", F.explode(F.array("lo") if earlier == "place" else every).alias("start"), "lo", "hi", "at")
+    heads = still.select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("hi") - F.col("lo")).alias("hi"), (F.col("start") + F.col("at") - F.col("lo")).alias("at"))
     same = Window.partitionBy("h1", "h2")
     if block > 1:
         alike = blocks(docs, heads, kind, n, block).withColumn("n", F.count("*").over(same))
