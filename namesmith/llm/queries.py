@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namesmith.llm import langid, minhash, packing, substring_dedup, suffix_dedup
+from namesmith.llm import decontaminate, langid, minhash, packing, substring_dedup, suffix_dedup, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,10 +27,24 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("items")
+
+
 def op7_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(documents(spark, sf_dir))
 
 
+#: Host and path rules, and the domains of the block list.
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+LISTED = [f"{x}.example.{y}" for x in ("spam-farm", "cheap-pills", "casino-win", "adult-x", "ads-track", "free-bets") for y in ("com", "net", "org")]
+
+
+def op8_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(x,) for x in LISTED], "key string")
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), listed, RULES)
+
+
 def op9_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,7 +52,7 @@ def op9_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array, op3_seed_extend, op7_rank_order, op9_vector_best_fit, op10_minhash)}
+    return {f.__name__: f for f in (op1_suffix_array, op3_seed_extend, op5_prefix_join, op7_rank_order, op8_bloom_cascade, op9_vector_best_fit, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
