@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namesmith.llm import decontaminate, langid, minhash, packing, substring_dedup, suffix_dedup, urlfilter
+from namesmith.llm import decontaminate, langid, licenses, minhash, packing, quality, substring_dedup, suffix_dedup, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_bytes(documents(spark, sf_dir)).drop("kept")
 
 
+def op2_paragraph_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(documents(spark, sf_dir))
+
+
 def op3_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_words(documents(spark, sf_dir)).drop("kept")
 
@@ -27,10 +31,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 def op5_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("items")
 
 
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_held_out(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(documents(spark, sf_dir))
 
@@ -52,7 +64,8 @@ def op9_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array, op3_seed_extend, op5_prefix_join, op7_rank_order, op8_bloom_cascade, op9_vector_best_fit, op10_minhash)}
+    every = (op1_suffix_array, op2_paragraph_classifier, op3_seed_extend, op4_divergence, op5_prefix_join, op6_weak_supervision, op7_rank_order, op8_bloom_cascade, op9_vector_best_fit, op10_minhash)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

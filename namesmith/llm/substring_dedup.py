@@ -32,10 +32,11 @@ def repeated_words(docs: DataFrame, length: int = 13, seed: int = 4) -> DataFram
 
 
 def dedup_words(docs: DataFrame, length: int = 13, seed: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (remaining words joined by one space).
+    """doc_id, n_words, n_removed, kept_sha256 (of the remaining words joined by one space), kept.
 
-    ``carry`` names columns of docs to hand on. Texts that lose no word still
-    come back joined by single spaces in ``kept``; an empty table gives no rows.
+    ``kept`` is the text as it is if no word goes, else the remaining words
+    joined by one space. ``carry`` names further columns of docs to hand on. An
+    empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text", *carry).where(F.col("doc_id").isNotNull())
     spans = repeats.by_document(repeated_words(docs, length, seed), "lo", "hi")
@@ -57,7 +58,7 @@ def dedup_words(docs: DataFrame, length: int = 13, seed: int = 4, carry: tuple[s
                     np.add.at(keep, b, -1)
                     left = at[i] + np.flatnonzero(np.cumsum(keep[:-1]) == 0)
                     rest = b" ".join([flat[x:y] for x, y in zip(starts[left].tolist(), ends[left].tolist(), strict=True)])
-                    out.append((n, n - len(left), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace")))
+                    out.append((n, n - len(left), hashlib.sha256(rest).hexdigest(), (rest if len(left) < n else flat[offs[i] : offs[i + 1]]).decode()))
             columns = list(zip(*out, strict=True)) or [[]] * 4
             types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
