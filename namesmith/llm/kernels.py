@@ -28,9 +28,6 @@ def worker_store() -> types.ModuleType:
     return sys.modules.setdefault("namesmith_worker_store", types.ModuleType("namesmith_worker_store"))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each value begins; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -55,13 +52,14 @@ def slices(buf: np.ndarray, offs: np.ndarray):
 
 
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if which not in _POWERS or len(_POWERS[which][0]) < n:
-        size = max(n, 2 * SLICE)
+    """base**i and base**-i modulo 2**64 for i < n; one copy per Python worker."""
+    made = worker_store().__dict__.setdefault("powers", {})
+    if which not in made or len(made[which][0]) < n:
+        size = max(n, SLICE + (1 << 17))
         up, down = np.full(size, BASE[which], np.uint64), np.full(size, pow(BASE[which], -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        _POWERS[which] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return _POWERS[which][0][:n], _POWERS[which][1][:n]
+        made[which] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
+    return made[which][0][:n], made[which][1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
