@@ -42,11 +42,11 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(buf: np.ndarray, offs: np.ndarray):
+def slices(buf: np.ndarray, offs: np.ndarray, size: int = SLICE):
     """(first row, bytes, offsets) of runs of whole documents."""
     at, n = 0, len(offs) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + SLICE, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
         yield at, buf[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
         at = to
 

@@ -13,9 +13,11 @@ plan's size follows ``size``, never the corpus; ranks come from salted counts.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,18 @@ from namesmith.plans.storage import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Distinct words whose ids a Python worker keeps; beyond it forgets all and starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 SALTS = 64
+#: Bytes of text tokenized at once: the more, the more words are equal.
+SLICE = 3 << 20
+
+
+def grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The array with ``more`` put after its used part, doubled if it has no room."""
+    if used + len(more) > len(array):
+        array = np.concatenate([array[:used], np.zeros(used + 2 * len(more), array.dtype)])
+    array[used : used + len(more)] = more
+    return array
 
 
 class WordIds:
@@ -42,6 +54,7 @@ class WordIds:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,19 +70,22 @@ class WordIds:
         """Numbers of the words, tokenizing new ones."""
         if len(self.known) + len(words) > REMEMBERED:
             self.forget()
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 4096):
-            for word, code in zip(new[at : at + 4096], self.tokenizer.encode_batch_fast([w.decode() for w in new[at : at + 4096]], add_special_tokens=False), strict=True):
-                ids, i = code.ids, len(self.known)
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-                if i == len(self.begins):
-                    self.begins, self.sizes = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.begins, self.sizes))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.begins[i], self.sizes[i] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[word] = i
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        numbers = list(map(self.known.get, words))
+        missing = [i for i, x in enumerate(numbers) if x is None]
+        if missing:
+            new, first, ids = [words[i] for i in missing], len(self.known), []
+            for at in range(0, len(new), 8192):
+                ids += [code.ids for code in self.tokenizer.encode_batch_fast([w.decode() for w in new[at : at + 8192]], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            ends = np.cumsum(sizes)
+            self.flat = grown(self.flat, self.used, np.fromiter(chain.from_iterable(ids), np.uint32, ends[-1]))
+            self.begins = grown(self.begins, first, self.used + ends - sizes)
+            self.sizes = grown(self.sizes, first, sizes)
+            self.used += int(ends[-1])
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
+            for i, x in zip(missing, range(first, first + len(new)), strict=True):
+                numbers[i] = x
+        return np.array(numbers, np.int64)
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, and where each one's begin."""
@@ -112,7 +128,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end: int, with_ids: bool
             store.vocabulary, store.words = vocabulary, WordIds(vocabulary)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for first, buf, offs in kernels.slices(*kernels.utf8(batch.column("text"))):
+            for first, buf, offs in kernels.slices(*kernels.utf8(batch.column("text")), SLICE):
                 ids, at = store.words.encode(buf, offs)
                 rows = []
                 for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
