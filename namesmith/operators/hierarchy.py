@@ -225,10 +225,14 @@ def applied(move: tuple[str, Node, Node]) -> Callable[[], None]:
     return undo
 
 
+def tops(leaves: list[Node]) -> list[Node]:
+    return list({id(x.root()): x.root() for x in leaves}.values())
+
+
 def sample(roots: list[Node], model: Model, rng: random.Random) -> list[Node]:
     """Roots after sampling moves among the nodes of these trees."""
+    leaves, idle = [x for r in roots for x in r.leaves()], 0
     nodes = [x for r in roots for x in r.nodes()]
-    idle = 0
     for _ in range(min(len(nodes) * model.steps_per_node, model.most_steps)):
         if len(nodes) < 2 or idle >= model.idle_steps:
             break
@@ -253,9 +257,8 @@ def sample(roots: list[Node], model: Model, rng: random.Random) -> list[Node]:
             pick = rng.choices(range(len(gains)), odds)[0]
         if pick:
             applied(options[pick - 1])
-            nodes = [x for r in {id(n.root()): n.root() for t in roots for n in t.leaves()}.values() for x in r.nodes()] if pick else nodes
-            roots = list({id(x.root()): x.root() for x in nodes}.values())
-    return list({id(x.root()): x.root() for x in nodes}.values())
+            nodes = [x for r in tops(leaves) for x in r.nodes()]
+    return tops(leaves)
 
 
 def cluster_block(block: str, rows: pd.DataFrame, model: Model) -> pd.DataFrame:
