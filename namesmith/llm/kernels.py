@@ -7,6 +7,7 @@ slice (or one very long document), never the partition.
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 
@@ -28,6 +29,13 @@ def worker_store() -> types.ModuleType:
     return sys.modules.setdefault("namesmith_worker_store", types.ModuleType("namesmith_worker_store"))
 
 
+def release() -> None:
+    """Lets go of the large table that another operator left in this worker."""
+    if worker_store().__dict__.pop("words", None) is not None:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each value begins; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -123,6 +131,7 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
 
 def tokens_of(kind: str, buf: np.ndarray, offs: np.ndarray):
     """Two independent hash streams of the tokens ('bytes' or 'words'), document offsets and byte spans."""
+    release()
     if kind == "bytes":
         return BYTES[0][buf], BYTES[1][buf], offs, None
     starts, ends, at = words(buf, offs)

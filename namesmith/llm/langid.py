@@ -40,6 +40,7 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Letters are lower-cased; runs of other characters become one space. An
     n-gram may begin or end with a space but has none inside.
     """
+    kernels.release()
     text = buf.tobytes()
     parts = [text[a:b].decode().lower() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
     sizes = np.array([len(x) + 1 for x in parts], np.int64)

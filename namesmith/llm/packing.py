@@ -30,10 +30,10 @@ from namesmith.plans.storage import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Distinct words whose ids a Python worker keeps; beyond it forgets all and starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 SALTS = 64
 #: Bytes of text tokenized at once: the more, the more words are equal.
-SLICE = 3 << 20
+SLICE = 2 << 20
 
 
 def grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end: int, with_ids: bool
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = kernels.worker_store()
-        if getattr(store, "vocabulary", None) != vocabulary:
+        if getattr(store, "words", None) is None or store.vocabulary != vocabulary:
             store.vocabulary, store.words = vocabulary, WordIds(vocabulary)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()

@@ -69,6 +69,7 @@ def folded(buf: np.ndarray) -> np.ndarray:
 
 def word_marks(buf: np.ndarray, offs: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, np.ndarray, np.ndarray]:
     """(word index, hash) of all words and word beginnings; words; each word's document; its hash."""
+    kernels.release()
     low = folded(buf)
     starts, ends, at = kernels.words(low, offs, LETTERS)
     sums = kernels.prefix(kernels.BYTES[0][low], 0)
