@@ -14,34 +14,56 @@ from namesmith.plans.storage import cut
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def bundled(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all else in one column, so that no name can clash with an operator's."""
+    rest = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+
+
+def restored(df: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """The columns of documents; n_chars follows the text where that has changed."""
+    own = {"doc_id": F.col("doc_id"), "text": F.col(text)}
+    if text != "text":
+        own["n_chars"] = F.length(text).cast("long")
+    return df.select(*(own.get(c, F.col("rest").getField(c)).alias(c) for c in columns))
+
+
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier rejects; it learns on labels outside the held-out fold."""
+    """Drops documents that the classifier rejects; it learns on labels outside the held-out fold.
+
+    Null and empty texts are kept, as is every document if no label is toxic.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 3) != 1)
-    return toxicity.score(docs, toxicity.fit(docs, labels)).where("predicted = 0").drop("score", "predicted")
+    return restored(toxicity.score(bundled(docs), toxicity.fit(docs, labels)).where("predicted = 0"), docs.columns)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group of near duplicates."""
+    """Keeps the document of least doc_id of each group of near duplicates.
+
+    Documents without words stand alone and are kept; rows without doc_id go.
+    """
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
     return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
 
 def passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document has; documents that are all such passages go."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut_out = substring_dedup.dedup_words(docs, carry=others).where("n_removed < n_words or n_words = 0")
-    return cut_out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(docs.columns)
+    """Cuts passages that an earlier document has; documents that are all such passages go.
+
+    Texts that lose nothing stay as they are; a null text becomes empty.
+    """
+    left = substring_dedup.dedup_words(bundled(docs), carry=("rest",)).where("n_removed < n_words or n_words = 0")
+    return restored(left, docs.columns, "kept")
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a benchmark window."""
+    """Drops documents with a benchmark window; without items none goes."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.occurrences(docs, items).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenizes and packs what is left."""
+    """Tokenizes and packs what is left; an empty text is an end token."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -1,8 +1,12 @@
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from namesmith.llm import queries
 
+from .helpers import corpus, frame
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -28,3 +32,35 @@ def test_run_packs_what_is_left(spark):
 
 def test_names():
     assert [q.split("_")[0] for q in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+@pytest.fixture
+def odd(spark, tmp_path):
+    """Documents with the awkward cases, repeated rows, a row without id, and clashing columns."""
+    rows = corpus()
+    docs = frame(spark, [*rows, rows[15], (None, "no id"), (9000, "idiot scum moron " * 3)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [t for _, t in rows if t]
+    spark.createDataFrame([(1, " ".join(texts[12].split()[:12])), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(rows[9][0], None), (None, 1), (rows[10][0], 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_odd_documents(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.cut(stage(spark, docs, odd), name)
+        assert after.columns == docs.columns and [t.simpleString() for t in after.schema] == [t.simpleString() for t in docs.schema], name
+        docs = after
+    left = {r.doc_id: r for r in docs.collect()}
+    assert None not in left
+    blank = [i for i, t in corpus() if not (t or "").strip()]
+    assert set(blank) <= set(left)
+    assert all(r.n_chars == len(r.text) for r in left.values())
+    assert corpus_pipeline.run(spark, odd).count() >= len(left)
+
+
+def test_empty_documents(spark, odd, tmp_path):
+    none = spark.read.parquet(f"{odd}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, odd).count() == 0
