@@ -36,13 +36,21 @@ def contingency(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     return points.groupBy("p", "g").agg(F.sum(once).alias("n"))
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Frames of one row each as one row."""
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r, allowMissingColumns=True)
+    return every.agg(*(F.max(c).alias(c) for c in every.columns))
+
+
 def margins(cells: DataFrame) -> DataFrame:
     """One row of sums over cells, predicted and gold entities."""
     pairs = "sum(n * (n - 1) div 2)"
     by = lambda side: cells.groupBy(side).agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
     both = cells.agg(F.expr(f"{pairs} as tp"), F.sum("n").alias("points"))
     of = lambda side: by(side).agg(F.expr(f"{pairs} as {side}_pairs"), F.count("*").alias(f"{side}_entities"), F.expr(f"sum(n - parts) as {side}_kept"), F.expr(f"sum(n - 1) as {side}_links"))
-    return both.crossJoin(of("p")).crossJoin(of("g"))
+    return side_by_side(both, of("p"), of("g"))
 
 
 def ratio(a: str, b: str):
@@ -63,7 +71,7 @@ def cluster_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     sizes = lambda side: cells.groupBy(side).agg(F.sum("n").alias(f"n{side}"))
     b3 = cells.join(sizes("p"), "p").join(sizes("g"), "g").agg(F.expr("sum(n * n / np) / sum(n) as b3_precision"), F.expr("sum(n * n / ng) / sum(n) as b3_recall"))
     muc = margins(cells).select(ratio("p_kept", "p_links").alias("muc_precision"), ratio("g_kept", "g_links").alias("muc_recall"))
-    out = b3.crossJoin(muc)
+    out = side_by_side(b3, muc)
     f1 = lambda k: ratio(f"2 * {k}_precision * {k}_recall", f"{k}_precision + {k}_recall").alias(f"{k}_f1")
     return out.select("b3_precision", "b3_recall", f1("b3"), "muc_precision", "muc_recall", f1("muc"))
 

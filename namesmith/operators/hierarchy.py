@@ -52,7 +52,7 @@ class Name:
 
 @dataclass(frozen=True)
 class Model:
-    """Score terms; a term of weight zero isn't computed."""
+    """Score terms; a term of weight zero isn't computed. The defaults are fixed values."""
 
     size_weight: float = 0.05
     size_exponent: float = 1.2

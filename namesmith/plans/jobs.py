@@ -25,7 +25,7 @@ class Options:
     largest_block: int = 2000
 
 
-#: Weights for records of publications with e-mails and institutions, as an example of tuning.
+#: Weights for records of publications with e-mails and institutions, as an example of tuning.
 TUNED = hierarchy.Model(
     names={"firstNames": hierarchy.Name(20, 10, 1, 40, 25), "middleNames": hierarchy.Name(10, 10, 1, 40, 0)},
     bags={"emails": hierarchy.Bag(20), "institutions": hierarchy.Bag(4, -0.2, 2), "coauthors": hierarchy.Bag(2, -0.5, 0.7), "keywords": hierarchy.Bag(2, -0.5, 1)},
@@ -73,7 +73,7 @@ def experiment(mentions: DataFrame, out: str, options: Options = Options(), keys
     gold = mentions.where("goldEntityId is not null").select(F.col("mentionId").alias("mention_id"), F.col("goldEntityId").alias("entity_id"))
     writers.write_clusters(gold, f"{out}/gold")
     own = evaluate.restricted(predicted, gold)
-    scores = evaluate.pairwise_scores(own, gold).crossJoin(evaluate.cluster_scores(own, gold))
+    scores = evaluate.side_by_side(evaluate.pairwise_scores(own, gold), evaluate.cluster_scores(own, gold))
     scores.write.mode("overwrite").json(f"{out}/scores")
     writers.text_lines(spark.createDataFrame([(f"coreference\t{int(1000 * taken)}",)], "value string"), f"{out}/timing")
     if html:
@@ -88,4 +88,4 @@ def score_files(spark: SparkSession, predicted: str, gold: str) -> DataFrame:
     """Scores of two clustering files, predictions restricted to gold points."""
     p, g = (readers.tsv_pairs(spark, x, ("mention_id", "entity_id")) for x in (predicted, gold))
     own = evaluate.restricted(p, g)
-    return evaluate.pairwise_scores(own, g).crossJoin(evaluate.cluster_scores(own, g))
+    return evaluate.side_by_side(evaluate.pairwise_scores(own, g), evaluate.cluster_scores(own, g))
