@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from namesmith.functions import canopies, names, text, vectors
 from namesmith.operators import blocking, convert, evaluate, features, hierarchy, pairwise, phrases, profile, report, topics
 from namesmith.plans.registry import query
-from namesmith.schema import author, complete
-from namesmith.sources import writers
+from namesmith.schema import MENTION, author, complete
+from namesmith.sources import readers, writers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -395,6 +395,48 @@ def feature_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.mention_bags(mentions(spark, sf_dir)).select(F.col("mentionId").alias("id"), *(n(c) for c in ("firstNames", "middleNames", "coauthors", "institutions", "keywords")))
 
 
+@query("json_round_trip", M + """ SELECT id, last, array_to_string(sup, ',') AS coauthors, 'UNK_SOURCE' AS source FROM m""")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions as JSON text and back; keys that are left out become absent values."""
+    text_of = mentions(spark, sf_dir).drop("source", "canopy")
+    back = complete(report.json_view(text_of).select(F.from_json("value", MENTION).alias("m")).select("m.*"))
+    return back.select(F.col("mentionId").alias("id"), F.col("self.lastName").alias("last"), F.array_join(F.transform("coauthors", lambda a: a["lastName"]), ",").alias("coauthors"), "source")
+
+
+@query("paper_mentions", """WITH p AS (SELECT l_orderkey, 's' || l_suppkey AS last, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) - 1 AS place, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+ SELECT l_orderkey || '_LN_' || last || '_FN_ab_' || place AS id, last, n - 1 AS others FROM p""")
+def paper_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a paper, its lines as authors; ids keep letters, digits, - and _ only."""
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("lines"))
+    authors = F.transform("lines", lambda x: author(F.lit("a.b "), None, F.concat(F.lit("s"), x["l_suppkey"].cast("string"))))
+    nobody = F.array(author(F.lit("x")))
+    papers = line.select(F.col("l_orderkey").cast("string").alias("paperId"), F.concat(authors, nobody).alias("authors"), F.lit("t").alias("title"), F.lit("").alias("year"), F.array(F.lit("v")).alias("venues"), F.lit("").alias("abstractText"))
+    return readers.paper_mentions(papers).select(F.col("mentionId").alias("id"), F.col("self.lastName").alias("last"), F.size("coauthors").cast("long").alias("others"))
+
+
+@query("tagged_authors", """SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS first, p_type AS middles, split_part(p_name, ' ', 2) AS last FROM part""")
+def tagged_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    tags = F.concat(F.lit("<n><f> "), word(1), F.lit("</f><f>"), F.col("p_type"), F.lit("</f><m>gone</m><l>"), word(2), F.lit(" </l><l>no</l></n>"))
+    a = readers.tagged_author(tags)
+    return part.select(F.col("p_partkey").alias("id"), a["firstName"].alias("first"), F.array_join(a["middleNames"], ",").alias("middles"), a["lastName"].alias("last"))
+
+
+@query("paper_tokens", """SELECT p_partkey AS id, lower(split_part(p_name, ' ', 1)) || '||' || lower(replace(p_brand, '#', '')) AS title, lower(replace(p_brand, '#', ' ')) AS text FROM part""")
+def paper_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title tokens keep what was all punctuation as ""; text tokens don't."""
+    part = table(spark, sf_dir, "part")
+    title = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" -- "), F.col("p_brand"))
+    return part.select(F.col("p_partkey").alias("id"), F.array_join(convert.title_tokens(title), "|").alias("title"), F.array_join(convert.text_tokens(F.col("p_brand")), " ").alias("text"))
+
+
+@query("result_folders", """SELECT DISTINCT CASE WHEN p_name LIKE 's%' THEN 'misc' ELSE substr(p_brand, 1, 5) || '-' || substr(split_part(p_brand, '#', 2), 1, 1) END AS folder FROM part""")
+def result_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.startswith(F.col("p_name"), F.lit("s")), F.col("p_name")).otherwise(F.replace(F.col("p_brand"), F.lit("#"), F.lit("-")))
+    return table(spark, sf_dir, "part").select(writers.prefix(name).alias("folder")).distinct()
+
+
 @query("hierarchical")
 def hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled clustering: repeatable, but not SQL."""
