@@ -43,10 +43,12 @@ def ints(*columns: np.ndarray) -> list[pa.Array]:
     return [pa.array(x.astype(np.int32)) for x in columns]
 
 
-def runs(docs: DataFrame, kind: str, n: int, k: int) -> DataFrame:
+def runs(docs: DataFrame, kind: str, n: int, k: int, apart: bool) -> DataFrame:
     """One row per distinct run of a document; ``more`` has the further starts of equal runs in it, if any.
 
-    Without this, a text that repeats one word would put all its rows under one seed.
+    Without this, a text that repeats one word would put all its rows under one
+    seed. apart: these further starts come in rows of their own, under seeds
+    that nothing else has, for where they repeat their document anyway.
     """
     names = RUNS.replace(",", "").split()[::2]
 
@@ -58,8 +60,14 @@ def runs(docs: DataFrame, kind: str, n: int, k: int) -> DataFrame:
                 seed, whole, doc, lo, hi, start = kernels.winnow(one, two, at, n, k)
                 if len(seed):
                     keep, more = kernels.first_of_equal(kernels.mix(whole + kernels.mix(doc.astype(np.uint64))), lo)
-                    rows = [kernels.signed(seed[keep]), kernels.signed(whole[keep]), pa.array(ids[first + doc[keep]]), *ints(lo[keep], hi[keep], start[keep]), more]
-                    yield pa.RecordBatch.from_arrays(rows, names=names)
+                    seed, whole, own, lo, hi, start = seed[keep], whole[keep], ids[first + doc[keep]], lo[keep], hi[keep], start[keep]
+                    row = lambda m, seed: pa.RecordBatch.from_arrays([kernels.signed(seed[m]), kernels.signed(whole[m]), pa.array(own[m]), *ints(lo[m], hi[m], start[m]), more], names=names)  # noqa: B023, E731
+                    if apart and more.null_count < len(more):
+                        m = np.flatnonzero(more.is_valid().to_numpy(zero_copy_only=False))
+                        more = more.filter(more.is_valid())
+                        yield row(m, kernels.mix(seed ^ kernels.mix(own.view(np.uint64) + kernels.mix(whole.copy()))))
+                        more = pa.nulls(len(keep), pa.list_(pa.int32()))
+                    yield row(slice(None), seed)
 
     return docs.mapInArrow(emit, RUNS)
 
@@ -105,7 +113,7 @@ def spans(docs: DataFrame, kind: str, n: int, k: int, earlier: str, block: int =
     seed = Window.partitionBy("seed")
     equal = Window.partitionBy("seed", "whole").orderBy("doc_id", "lo")
     met = cut(
-        runs(docs, kind, n, k)
+        runs(docs, kind, n, k, earlier == "place")
         .withColumn("again", later(equal, earlier))
         .withColumn("head", F.row_number().over(equal) == 1)
         .withColumn("mixed", F.min("whole").over(seed) != F.max("whole").over(seed))
