@@ -1,0 +1 @@
+"""Operators on mention and clustering frames."""

@@ -1,0 +1 @@
+"""Jobs, the query registry, and tables that cut lineage."""

@@ -1,0 +1 @@
+"""Empty: the survey has no streaming operator, and asks that none be built for parity."""
