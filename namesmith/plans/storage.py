@@ -17,6 +17,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's bytes per Arrow batch from the default, which suits numbers, to one for long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) in ("67108864b", "67108864", "64MB"):
+        df.sparkSession.conf.set(key, "8m")
+    return df
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
