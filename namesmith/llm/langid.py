@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namesmith.llm import kernels
+from namesmith.plans.storage import small_batches
 
 #: N-grams in a profile.
 PROFILE = 300
@@ -78,7 +79,7 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
                     found, counts = np.unique(codes[lang == x], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([names.dictionary[int(x)].as_py()] * len(found)), pa.array(found), pa.array(counts)], names=["lang", "gram", "n"])
 
-    counted = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(emit, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = small_batches(docs).where("lang is not null and text is not null").select("lang", "text").mapInArrow(emit, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("lang", "gram", "rank").collect()
     out: dict[str, list[tuple[int, int]]] = {}
@@ -129,7 +130,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], size: int = PROFIL
                 said += [judge(codes[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "doc_id long, lang_pred string, score double")
 
 
 def identify_held_out(docs: DataFrame, buckets: int = 4, held: int = 2, size: int = PROFILE) -> DataFrame:

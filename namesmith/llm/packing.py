@@ -33,7 +33,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 REMEMBERED = 400_000
 SALTS = 64
 #: Bytes of text tokenized at once: the more, the more words are equal.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:

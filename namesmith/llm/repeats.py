@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namesmith.llm import kernels
-from namesmith.plans.storage import cut
+from namesmith.plans.storage import cut, small_batches
 
 RUNS = "seed long, whole long, doc_id long, lo int, hi int, at int, more array<int>"
 BLOCKS = "h1 long, h2 long, doc_id long, lo int, hi int, at int"
@@ -36,7 +36,7 @@ BLOCKS = "h1 long, h2 long, doc_id long, lo int, hi int, at int"
 
 def texts(docs: DataFrame) -> DataFrame:
     """The two columns that count. Rows without doc_id name no document and are left out."""
-    return docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
 
 
 def ints(*columns: np.ndarray) -> list[pa.Array]:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namesmith.llm import kernels, repeats
+from namesmith.plans.storage import small_batches
 
 EXTRA = "n_words long, n_removed long, kept_sha256 string, kept string"
 
@@ -38,7 +39,7 @@ def dedup_words(docs: DataFrame, length: int = 13, seed: int = 4, carry: tuple[s
     joined by one space. ``carry`` names further columns of docs to hand on. An
     empty table gives no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text", *carry).where(F.col("doc_id").isNotNull())
+    texts = small_batches(docs).select(F.col("doc_id").cast("long"), "text", *carry).where(F.col("doc_id").isNotNull())
     spans = repeats.by_document(repeated_words(docs, length, seed), "lo", "hi")
     kinds = dict(docs.dtypes)
     schema = "doc_id long, " + EXTRA + "".join(f", `{x}` {kinds[x]}" for x in carry)

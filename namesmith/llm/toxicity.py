@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from namesmith.llm import kernels
 from namesmith.llm.langid import fold
-from namesmith.plans.storage import cut
+from namesmith.plans.storage import cut, small_batches
 
 #: English words of personal insult and contempt.
 LEXICON = """
@@ -140,7 +140,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, 2.0 * bound / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(chosen, "doc_id")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), "text").where("text is not null").join(chosen, "doc_id")
     one = rows.select("doc_id", "text", "toxic").mapInArrow(emit, "doc_id long, toxic int, least long").groupBy("least", "toxic").agg(F.min("doc_id").alias("doc_id"))
     return rows.select("doc_id", "text").join(one.orderBy(F.xxhash64("doc_id")).limit(bound).select("doc_id", "toxic"), "doc_id")
 
@@ -271,7 +271,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             p = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    docs = docs.drop("score", "predicted")
+    docs = small_batches(docs).drop("score", "predicted")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.mapInArrow(emit, schema)
 
