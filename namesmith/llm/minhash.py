@@ -152,9 +152,12 @@ def equal_bits(a: str, b: str) -> Column:
 
 
 def possible(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and shared shingles leave room for the threshold, and the bit estimate is near it."""
-    need = f"{percent} * ({a}.n + {b}.n)"
-    return F.expr(f"{100 + percent} * least({a}.shared, {b}.shared) >= {need}") & (equal_bits(a, b) >= LEAST_EQUAL)
+    """Whether sizes and shared shingles leave room for the threshold, and the bit estimate is near it.
+
+    ``shared`` says nothing about documents that were not counted with it, so it binds crowded pairs only.
+    """
+    most = f"case when least({a}.most, {b}.most) > {CROWD} then least({a}.shared, {b}.shared) else least({a}.n, {b}.n) end"
+    return F.expr(f"{100 + percent} * ({most}) >= {percent} * ({a}.n + {b}.n)") & (equal_bits(a, b) >= LEAST_EQUAL)
 
 
 def reachable(a: str, b: str, percent: int) -> Column:
@@ -199,7 +202,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
         .agg(F.count("*").alias("own"))
     )
     facts = cut(
-        crowd.join(classes, "doc_id").join(own, "doc_id", "left").select("doc_id", F.col("n_shingles").alias("n"), "bits", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shared")),
+        crowd.join(classes, "doc_id").join(own, "doc_id", "left").select("doc_id", "most", F.col("n_shingles").alias("n"), "bits", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shared")),
         "facts",
     )
     # First the member that shares most, by lot; then whoever is still apart.
@@ -214,8 +217,8 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     split = apart.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key").join(heads, "key")
     before = F.expr("slice(bands, 1, cast(array_position(bands, key) - 1 as int))")
     own = F.col("n") - F.col("shared")
-    # Who has more shingles of its own than any partner could miss stays alone.
-    hopeful = F.expr(f"{percent} * (n - shared) <= {100 - percent} * n")
+    # Who has more shingles of its own than any partner could miss stays alone among the crowded.
+    hopeful = F.expr(f"members <= {CROWD} or {percent} * (n - shared) <= {100 - percent} * n")
     inside = cut(apart.join(split, "key").join(facts, "doc_id").where(hopeful).join(classes.select("doc_id", "bands"), "doc_id").withColumn("before", before).drop("bands"), "members")
     to_head = overlaps(inside.where(f"members > {CROWD} and doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), sets)
     apart_from_head = to_head.select(F.col("a").alias("doc_id"), F.col("b").alias("head"), (F.col("n") - 2 * F.col("both")).alias("apart"))

@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 from namesmith.llm import minhash
@@ -54,3 +55,25 @@ def test_empty_and_repeated_rows(spark):
     same = frame(spark, [(5, "a b c d e f"), (5, "a b c d e f"), (7, "A B C D E F"), (None, "a b"), (9, None), (8, "")])
     got = sorted((r.doc_id, r.component_id, r.kept, r.n_equal) for r in minhash.near_duplicates(same).collect())
     assert got == [(5, 5, True, 3), (5, 5, True, 3), (7, 5, False, 3), (8, 8, True, 1), (9, 9, True, 1)]
+
+
+def pairs_on_a_template(n, words=200, edits=1, seed=3):
+    """Pairs of near copies; half of each text is the same template."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(words // 2)]
+    rows = []
+    for k in range(n):
+        own = [f"d{k}x{i}" for i in range(words - words // 2)]
+        for side in range(2):
+            text = template + own
+            for e in range(edits):
+                text[rng.randrange(len(text))] = f"e{k}x{side}x{e}"
+            rows.append((2 * k + side, " ".join(text)))
+    return rows
+
+
+def test_one_of_a_pair_is_crowded(spark):
+    """What a crowded document shares only with documents in small buckets isn't its own."""
+    rows = pairs_on_a_template(150)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == by_hand(rows)
