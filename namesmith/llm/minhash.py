@@ -165,9 +165,12 @@ def reachable(a: str, b: str, percent: int) -> Column:
 
     ``apart`` shingles differ between a member and the bucket's first; of
     these, ``common`` may be so for others too. The differences of two members
-    from each other number at least apart + apart - 2 * least(common).
+    from each other number at least apart + apart - 2 * least(common). Where
+    either was not measured, nothing is known.
     """
-    return F.expr(f"{100 + percent} * ({a}.apart + {b}.apart - 2 * least({a}.common, {b}.common)) <= {100 - percent} * ({a}.n + {b}.n)")
+    common = f"least({a}.common, {b}.common)"
+    within = F.expr(f"{100 + percent} * ({a}.apart + {b}.apart - 2 * ({common})) <= {100 - percent} * ({a}.n + {b}.n)")
+    return F.expr(f"{a}.apart is null or {b}.apart is null") | within
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -222,7 +225,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     inside = cut(apart.join(split, "key").join(facts, "doc_id").where(hopeful).join(classes.select("doc_id", "bands"), "doc_id").withColumn("before", before).drop("bands"), "members")
     to_head = overlaps(inside.where(f"members > {CROWD} and doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), sets)
     apart_from_head = to_head.select(F.col("a").alias("doc_id"), F.col("b").alias("head"), (F.col("n") - 2 * F.col("both")).alias("apart"))
-    members = cut(inside.join(apart_from_head, ["doc_id", "head"], "left").withColumn("common", F.coalesce(F.col("apart") - own, F.lit(0))).withColumn("apart", F.coalesce("apart", F.lit(0))), "members")
+    members = cut(inside.join(apart_from_head, ["doc_id", "head"], "left").withColumn("common", F.col("apart") - own), "members")
     u, v = members.alias("u"), members.alias("v")
     open_pair = F.expr("u.key = v.key and u.doc_id < v.doc_id and u.part <> v.part and u.doc_id <> u.head and v.doc_id <> v.head")
     # A pair comes from the first band that it has in common.

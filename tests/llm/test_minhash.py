@@ -77,3 +77,16 @@ def test_one_of_a_pair_is_crowded(spark):
     rows = pairs_on_a_template(150)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
     assert got == by_hand(rows)
+
+
+def test_distance_measured_for_one_only(spark):
+    """Two copies meet in a small bucket; only one of them is also in a crowded bucket of the same head."""
+    head = [f"h{i}" for i in range(60)]
+    copy = [f"c{i}" for i in range(200)]
+    rows = [(0, " ".join(head)), (1, " ".join(copy)), (2, " ".join([*copy, "end"]))]
+    rows += [(k, " ".join(head + [f"f{k}x{i}" for i in range(300)] + copy * (k == 3))) for k in range(3, 13)]
+    buckets = {0: [100, 200], 1: [100, 200], 2: [200]} | {k: [100] for k in range(3, 13)}
+    facts = [(i, len(t.split()) - 4, buckets[i], [0, 0, 0, 0]) for i, t in rows]
+    classes = spark.createDataFrame(facts, "doc_id long, n_shingles long, bands array<long>, bits array<long>")
+    got = minhash.links(frame(spark, rows).select("doc_id", "text"), classes, 5, 85).collect()
+    assert [(r.a, r.b) for r in got] == [(1, 2)]
