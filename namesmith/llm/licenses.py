@@ -10,6 +10,10 @@ share of some template of the family that the paragraph contains.
 
 A paragraph without any cue word (the templates' rarer words) carries no
 evidence for a family and is unknown without being scored.
+
+A paragraph is a line. What lines leave unconfirmed is joined over runs of
+non-blank lines and scored in overlapping windows of words, so notices that are
+wrapped, or stand inside longer text, are found too.
 """
 
 from __future__ import annotations
@@ -97,7 +101,11 @@ TEMPLATES = {
 #: Words that only licence notices make likely; one of them opens a paragraph to the classifier.
 CUES = r"\bMIT\b|(?i)\b(licen[sc]e[ds]?|apache|gnu|gpl|bsd|mozilla|mpl|cc|creative commons|spdx|redistribut\w+|hereby granted|free software)\b"
 #: A text without any of these (lower case, MIT aside) has no cue; plain search is much faster than the pattern.
-TRACES = ["licen", "apache", "gnu", "gpl", "bsd", "mozilla", "mpl", "cc", "creative commons", "spdx", "redistribut", "hereby granted", "free software"]
+TRACES = ["licen", "apache", "gnu", "gpl", "bsd", "mozilla", "mpl", "cc", "commons", "spdx", "redistribut", "hereby", "software"]
+#: CUES word by word, for cues that a line break may part.
+PARTED = r"\bMIT\b|(?i)\b(licen[sc]e[ds]?|apache|gnu|gpl|bsd|mozilla|mpl|cc|commons|spdx|redistribut\w+|hereby|software)\b"
+#: Words in a window, and from one window to the next; the longest template fits into what two windows share.
+WINDOW, STEP = 48, 12
 
 
 @dataclass(frozen=True)
@@ -157,19 +165,36 @@ def train(spark: SparkSession, scan: Scan = Scan()) -> tuple[PipelineModel, list
     return model, names, min(0.9, max(0.5, highest or 0.0))
 
 
+def traced(docs: DataFrame) -> DataFrame:
+    """Those documents that can have a cue."""
+    any_of = F.contains("text", F.lit("MIT"))
+    for x in TRACES:
+        any_of = any_of | F.contains("low", F.lit(x))
+    return docs.withColumn("low", F.lower("text")).where(any_of).drop("low")
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, place, paragraph: those lines of the texts that have a cue."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("place"), x.alias("paragraph")))
-    traced = F.contains("text", F.lit("MIT"))
-    for x in TRACES:
-        traced = traced | F.contains("low", F.lit(x))
-    docs = docs.withColumn("low", F.lower("text")).where(traced)
-    return docs.select("doc_id", F.explode(F.filter(lines, lambda x: x["paragraph"].rlike(CUES))).alias("x")).select("doc_id", "x.*")
+    return traced(docs).select("doc_id", F.explode(F.filter(lines, lambda x: x["paragraph"].rlike(CUES))).alias("x")).select("doc_id", "x.*")
+
+
+def windows(docs: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """doc_id, block, paragraph: windows with a cue over runs of non-blank lines; confirmed lines (doc_id, place) part runs as blank ones do."""
+    gone = confirmed.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
+    rows = traced(docs).where(F.col("text").rlike(PARTED)).join(gone, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    kept = F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]") & ~F.array_contains("gone", i), x).otherwise(""))
+    blocks = F.transform(F.split(F.array_join(kept, "\n"), "\n\n+"), lambda x, i: F.struct(i.alias("block"), x.alias("x")))
+    blocks = rows.select("doc_id", F.explode(F.filter(blocks, lambda b: b["x"].rlike(PARTED))).alias("b"))
+    words = blocks.select("doc_id", "b.block", trimmed(F.col("b.x")).alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (WINDOW - STEP) + 1), F.lit(STEP))
+    found = words.select("doc_id", "block", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(WINDOW)), " "))).alias("paragraph"))
+    return found.where(F.col("paragraph").rlike(f"\\bmit\\b|{CUES}"))
 
 
-def classify(found: DataFrame, scan: Scan = Scan()) -> DataFrame:
+def classify(found: DataFrame, scan: Scan = Scan(), trained: tuple[PipelineModel, list[str], float] | None = None) -> DataFrame:
     """Adds family, probability and matched (share of the best template found) to paragraphs; unknown where not accepted or confirmed."""
-    model, names, accept = train(found.sparkSession, scan)
+    model, names, accept = trained or train(found.sparkSession, scan)
     # Written out, or each use below would split the paragraph and run the model again.
     split = cut(found.withColumn("words", trimmed(F.col("paragraph"))), "paragraphs")
     scored = cut(model.transform(cut(split.withColumn("grams", grams(F.col("words"))), "grams")).select(*found.columns, "grams", vector_to_array("probability").alias("probability")), "scored")
@@ -191,13 +216,19 @@ def classify(found: DataFrame, scan: Scan = Scan()) -> DataFrame:
 
 
 def licences(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
-    """doc_id, n_paragraphs, n_licences (confirmed paragraphs), families (sorted, comma-joined).
+    """doc_id, n_paragraphs, n_licences (confirmed notices), families (sorted, comma-joined).
 
-    Paragraphs are lines with a word. Null and empty texts have none. Rows that
-    repeat a doc_id share their findings; rows without doc_id are left out.
+    Paragraphs are lines with a word. A notice is a confirmed line, or a family
+    that only the windows over a run of other lines confirm. Null and empty
+    texts have none. Rows that repeat a doc_id share their findings; rows
+    without doc_id are left out.
     """
     own = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
-    found = classify(paragraphs(own.where("text is not null")), scan).where(F.col("family") != UNKNOWN)
-    by_doc = found.groupBy("doc_id").agg(F.countDistinct("place").alias("n"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"))
+    some = own.where("text is not null")
+    trained = train(docs.sparkSession, scan)
+    lines = cut(classify(paragraphs(some), scan, trained).where(F.col("family") != UNKNOWN).select("doc_id", "place", "family"), "lines")
+    wrapped = classify(windows(some, lines), scan, trained).where(F.col("family") != UNKNOWN)
+    found = lines.select("doc_id", F.struct(F.lit("").alias("in"), F.col("place").alias("at")).alias("notice"), "family").union(wrapped.select("doc_id", F.struct(F.col("family").alias("in"), F.col("block").alias("at")).alias("notice"), "family"))
+    by_doc = found.groupBy("doc_id").agg(F.countDistinct("notice").alias("n"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"))
     size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return own.select("doc_id", size.cast("long").alias("n_paragraphs")).join(by_doc, "doc_id", "left").select("doc_id", "n_paragraphs", F.coalesce("n", F.lit(0)).cast("long").alias("n_licences"), F.coalesce("families", F.lit("")).alias("families"))

@@ -101,3 +101,13 @@ def test_licences(spark):
     assert (got[90].n_paragraphs, got[91].n_licences) == (0, 0)
     assert (got[92].n_licences, got[92].families) == (4, "apache-2.0,cc-by-nc-4.0,gpl-3.0,mit")
     assert licenses.licences(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_wrapped_licences(spark):
+    mit = "The MIT License (MIT)\n\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without\nrestriction, including without limitation the rights"
+    gpl = "# This program is free software: you can redistribute it\n# and/or modify it under the terms of the GNU General\n# Public License as published by the Free Software\n# Foundation, version 3.\nimport os"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    prose = "the man in the house saw a river and a bird over there " * 12
+    rows = [(1, mit), (2, gpl), (3, bsd), (4, prose + bsd.replace("\n *", "") + " " + prose), (5, "Released under the MIT License.\n" + gpl), (6, "You lost your\nlicense in Boston\nunder the bridge.")]
+    got = {r.doc_id: (r.n_licences, r.families) for r in licenses.licences(frame(spark, rows)).collect()}
+    assert got == {1: (1, "mit"), 2: (1, "gpl-3.0"), 3: (1, "bsd"), 4: (1, "bsd"), 5: (2, "gpl-3.0,mit"), 6: (0, "")}
