@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from namesmith.llm import decontaminate, minhash, packing, substring_dedup, toxicity
@@ -40,10 +40,15 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each group of near duplicates.
 
-    Documents without words stand alone and are kept; rows without doc_id go.
+    Near duplicates share 80 % of their shingles. Rows with equal doc_id and
+    text are one document, of which one row is kept. Documents without words
+    stand alone and are kept; rows without doc_id go.
     """
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    rows = bundled(docs).withColumn("mark", F.xxhash64("text"))
+    kept = minhash.near_duplicates(rows, percent=80, carry=("mark",)).where("kept").select("doc_id", "mark")
+    left = rows.join(kept.hint("merge"), ["doc_id", "mark"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("rest"))
+    return restored(left.withColumn("nth", first).where("nth = 1"), docs.columns)
 
 
 def passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

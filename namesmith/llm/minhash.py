@@ -15,13 +15,15 @@
    differences from the bucket's first member is limited by the shingles that
    nobody else has, so most edited copies of one text are never paired.
 
-With 25 bands of 5 minima a pair at the threshold of 85 % is missed by all
-bands with probability 4e-7, and its bit estimate falls short with 1e-7.
+Bands and the least bit estimate follow from the threshold (``layout``): a pair
+at the threshold is missed by all bands with probability 5e-7 at most, and its
+bit estimate falls short with 2e-7 at most. At 85 % that makes 25 bands of 5.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namesmith.llm import kernels
-from namesmith.llm.repeats import texts
 from namesmith.operators.components import components
-from namesmith.plans.storage import cut
+from namesmith.plans.storage import cut, small_batches
 
-MINIMA, BANDS, ROWS = 128, 25, 5
-#: Least number of equal two-bit entries of 128 (an estimate of 0.66) for a pair to be confirmed.
-LEAST_EQUAL = 95
+MINIMA = 128
 #: Buckets with more members count the shingles that nobody else has.
 CROWD = 8
 SIGNATURE = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, bits array<long>"
@@ -46,6 +45,17 @@ _B = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 _C = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) | np.uint64(1)
 
 
+def layout(percent: int) -> tuple[int, int, int]:
+    """Bands, minima in a band, and the least number of equal two-bit entries of 128 for a pair to be confirmed."""
+    p = percent / 100
+    rows = max((r for r in range(1, 9) if (1 - p**r) ** (MINIMA // r) <= 5e-7), default=1)
+    same = p + (1 - p) / 4
+    short, least = 0.0, 0
+    while (short := short + comb(MINIMA, least) * same**least * (1 - same) ** (MINIMA - least)) <= 2e-7:
+        least += 1
+    return MINIMA // rows, rows, least
+
+
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each document, one after the other, and where each begins.
 
@@ -80,10 +90,10 @@ def minima(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """Documents x BANDS."""
-    terms = (least[: BANDS * ROWS].astype(np.uint64) + np.uint64(1)) * _C[: BANDS * ROWS, None]
-    keys = terms.reshape(BANDS, ROWS, -1).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[:, None] * np.uint64(kernels.BASE[0])
+def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Documents x bands."""
+    terms = (least[: bands * rows].astype(np.uint64) + np.uint64(1)) * _C[: bands * rows, None]
+    keys = terms.reshape(bands, rows, -1).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)[:, None] * np.uint64(kernels.BASE[0])
     return kernels.mix(np.ascontiguousarray(keys.T))
 
 
@@ -100,8 +110,9 @@ def lists(rows: np.ndarray, present: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), kernels.signed(rows.reshape(-1)))
 
 
-def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
-    """One row per document: set size, set fingerprint (128 bits), band keys, packed low bits."""
+def signatures(docs: DataFrame, size: int = 5, percent: int = 85, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: set size, set fingerprint (128 bits), band keys, packed low bits, carried columns."""
+    n_bands, n_rows, _ = layout(percent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,18 +126,18 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
                     least = minima(flat, begins)
                     one = np.add.reduceat(kernels.mix(flat + np.uint64(kernels.BASE[0])), begins[:-1])
                     two = np.add.reduceat(kernels.mix(flat ^ np.uint64(kernels.BASE[1])), begins[:-1])
-                    bands, bits = band_keys(least), low_bits(least)
+                    bands, bits = band_keys(least, n_bands, n_rows), low_bits(least)
                 else:
                     one = two = np.zeros(0, np.uint64)
-                    bands, bits = np.zeros((0, BANDS), np.uint64), np.zeros((0, 4), np.uint64)
+                    bands, bits = np.zeros((0, n_bands), np.uint64), np.zeros((0, 4), np.uint64)
                 sets = np.zeros((2, len(n)), np.uint64)
                 sets[0, present], sets[1, present] = one, two
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(n)), pa.array(n), kernels.signed(sets[0]), kernels.signed(sets[1]), lists(bands, present), lists(bits, present)],
-                    names=["doc_id", "n_shingles", "set1", "set2", "bands", "bits"],
+                    [ids.slice(first, len(n)), pa.array(n), kernels.signed(sets[0]), kernels.signed(sets[1]), lists(bands, present), lists(bits, present), *(batch.column(c).slice(first, len(n)) for c in carry)],
+                    names=["doc_id", "n_shingles", "set1", "set2", "bands", "bits", *carry],
                 )
 
-    return docs.mapInArrow(emit, SIGNATURE)
+    return docs.mapInArrow(emit, ", ".join([SIGNATURE, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -157,7 +168,7 @@ def possible(a: str, b: str, percent: int) -> Column:
     ``shared`` says nothing about documents that were not counted with it, so it binds crowded pairs only.
     """
     most = f"case when least({a}.most, {b}.most) > {CROWD} then least({a}.shared, {b}.shared) else least({a}.n, {b}.n) end"
-    return F.expr(f"{100 + percent} * ({most}) >= {percent} * ({a}.n + {b}.n)") & (equal_bits(a, b) >= LEAST_EQUAL)
+    return F.expr(f"{100 + percent} * ({most}) >= {percent} * ({a}.n + {b}.n)") & (equal_bits(a, b) >= layout(percent)[2])
 
 
 def reachable(a: str, b: str, percent: int) -> Column:
@@ -234,21 +245,24 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     return first.union(cut(second, "links"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept, n_equal (documents with its shingle set).
 
     Documents are linked at 100 * intersection >= percent * union of their
     distinct lower-cased word shingles; texts under ``size`` words are one
     shingle. Null, empty and blank texts have no shingles and stand alone.
-    Equal rows are equal documents; rows without doc_id are left out.
+    Equal rows are equal documents; rows without doc_id are left out. Columns in
+    ``carry`` come last.
     """
-    docs = texts(docs)
-    signed = cut(signatures(docs, size), "signatures")
+    extra = small_batches(docs).select(F.col("doc_id").cast("long"), "text", *carry).where(F.col("doc_id").isNotNull())
+    docs = extra.select("doc_id", "text")
+    signed = cut(signatures(extra, size, percent, carry), "signatures")
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "bits")).alias("r"), F.count("*").alias("n_equal"))
     classes = cut(classes.select("set1", "set2", "n_equal", "r.*"), "classes")
     parts = components(links(docs, classes, size, percent), "a", "b")
     named = classes.join(parts, F.col("doc_id") == F.col("node"), "left").select("set1", "set2", "n_equal", F.coalesce("component", "doc_id").alias("component_id"))
-    some = full.select("doc_id", "n_shingles", "set1", "set2").join(named, ["set1", "set2"]).select("doc_id", "n_shingles", "component_id", "n_equal")
-    none = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_equal"))
-    return some.union(none).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    some = full.select("doc_id", "n_shingles", "set1", "set2", *carry).join(named, ["set1", "set2"]).select("doc_id", "n_shingles", "component_id", "n_equal", *carry)
+    none = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_equal"), *carry)
+    every = some.union(none).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return every.select(*(c for c in every.columns if c not in carry), *carry)

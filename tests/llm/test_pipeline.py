@@ -6,6 +6,7 @@ import corpus_pipeline
 from namesmith.llm import queries
 
 from .helpers import corpus, frame
+from .test_minhash import by_hand
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +65,18 @@ def test_empty_documents(spark, odd, tmp_path):
     none = spark.read.parquet(f"{odd}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, odd).count() == 0
+
+
+def test_near_duplicates_at_80_and_repeated_rows(spark):
+    """Pairs of Jaccard 0.80 to 0.85 as brute force links them; one row of each set of repeated rows."""
+    rows = []
+    for k in range(40):
+        text = [f"d{k}x{i}" for i in range(104)]
+        other = [*text[: -15 - k % 6], *(f"e{k}x{i}" for i in range(2))]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    want = sorted(i for i, (_, _, kept) in by_hand(rows, percent=80).items() if kept)
+    assert 40 < len(want) < 80
+    copies = [rows[0], rows[0], (900, rows[0][1]), (900, "another text of this id")]
+    left = corpus_pipeline.near_duplicates_out(spark, frame(spark, rows + copies), SF)
+    assert sorted(r.doc_id for r in left.select("doc_id").collect()) == [*want, 900]
+    assert left.where("doc_id = 900").first().text == "another text of this id"
