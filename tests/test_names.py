@@ -85,3 +85,14 @@ def test_text(spark):
     assert one(text.clean_journals(F.array(F.lit("Nature year: 1999")), False)) == ["nature year "]
     assert one(text.clean_emails(F.array(F.lit("A1@B.com, c")))) == ["a@b.com", "c"]
     assert one(author(None, None, F.lit("x"))).firstName == ""
+
+
+def test_accents_query_strips_whole_texts(spark, tmp_path, monkeypatch):
+    """What strip_accents leaves beyond ASCII counts wherever it stands."""
+    from namesmith.plans import queries
+
+    rows = [("en", "a" * 300 + "é"), ("en", "plain"), ("fr", "é" + "b" * 300)]
+    spark.createDataFrame(rows, "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.lang, r.n) for r in queries.accents(spark, str(tmp_path)).collect()} == {("en", 2), ("fr", 1)}
+    monkeypatch.setattr(queries.text, "strip_accents", lambda x: x)
+    assert {(r.lang, r.n) for r in queries.accents(spark, str(tmp_path)).collect()} == {("en", 1)}
