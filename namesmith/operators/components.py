@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namesmith.plans.storage import cut
+from namesmith.plans.storage import cut, remove
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -22,6 +22,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         near = links.join(labels, links.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         up = labels.select(F.col("node").alias("new"), F.col("component").alias("jump"))
-        labels = cut(step.join(up, "new").select("node", "old", F.least("new", "jump").alias("component")), "labels")
+        last, labels = labels, cut(step.join(up, "new").select("node", "old", F.least("new", "jump").alias("component")), "labels")
+        remove(last)
         if labels.where("old <> component").isEmpty():
+            remove(links)
             return labels.select("node", "component")

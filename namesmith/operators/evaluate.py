@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from namesmith.plans.storage import cut
+
 
 def renumber(clusters: DataFrame) -> DataFrame:
     """Entities numbered from 0 by their least mention id; ordered results come from sorting by mention_id.
 
     Entities are ranked within ranges of their least id, whose counts are
-    summed up first, so no task holds all of them.
+    summed up first, so no task holds all of them. The ranges are written once:
+    counted and ranked apart, each use would draw bounds of its own.
     """
     firsts = clusters.groupBy("entity_id").agg(F.min("mention_id").alias("first"))
-    ranged = firsts.repartitionByRange(F.col("first")).withColumn("part", F.spark_partition_id())
-    own = Window.partitionBy("part").orderBy("first")
+    ranged = cut(firsts.repartitionByRange(F.col("first")).withColumn("part", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("part").orderBy("first", "entity_id")
     ranked = ranged.withColumn("r", F.row_number().over(own))
-    sums = ranked.groupBy("part").agg(F.count("*").alias("n"))
+    sums = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     numbers = ranked.join(before, "part").select("entity_id", (F.col("before") + F.col("r") - 1).alias("entity_no"))
     return clusters.join(numbers, "entity_id").select("mention_id", F.col("entity_no").cast("string").alias("entity_id"))

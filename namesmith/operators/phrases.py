@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from namesmith.functions.text import remove_punctuation, split_trimmed, trim_ends
 
+#: Bytes of a vocabulary that may be broadcast.
+BROADCAST = 64 << 20
+
 
 def phrase_text(*fields: Column) -> Column:
     return trim_ends(F.lower(remove_punctuation(F.concat_ws(" ", *(F.coalesce(f, F.lit("")) for f in fields)), " ")))
@@ -16,7 +19,9 @@ def tag_phrases(texts: DataFrame, vocabulary: DataFrame, longest: int, key: str
     """(key, phrases): vocabulary phrases (words joined by _) in order of place, then length.
 
     not inclusive: as if phrases of the longest length, and those that end at
-    the last word, were out of bounds.
+    the last word, were out of bounds. A vocabulary of up to ``BROADCAST`` bytes
+    (measured) goes to all tasks, so texts stay where they are; a larger one is
+    joined by a shuffle.
     """
     words = split_trimmed(F.col("text"), r"\s+")
     own = texts.select(key, words.alias("words"))
@@ -27,5 +32,6 @@ def tag_phrases(texts: DataFrame, vocabulary: DataFrame, longest: int, key: str
     slices = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(lengths, lambda n: F.struct(i.alias("i"), n.alias("n"), F.when((i + n <= end) & F.lit(most > 0), F.array_join(F.slice("words", i + 1, n), "_")).alias("phrase")))))
     each = own.where(size > 0).select(key, F.explode(F.filter(slices, lambda s: s["phrase"].isNotNull())).alias("s")).select(key, "s.*")
     known = vocabulary.select(F.lower(F.col(vocabulary.columns[0])).alias("phrase")).distinct()
-    found = each.join(known, "phrase").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "n", "phrase"))), lambda s: s["phrase"]).alias("phrases"))
+    size_of = known.select(F.coalesce(F.sum(F.octet_length("phrase") + 16), F.lit(0)).alias("n")).first()["n"]
+    found = each.join(F.broadcast(known) if size_of <= BROADCAST else known, "phrase").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "n", "phrase"))), lambda s: s["phrase"]).alias("phrases"))
     return texts.select(key).join(found, key, "left").select(key, F.coalesce("phrases", F.array().cast("array<string>")).alias("phrases"))

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def topics(docs: DataFrame, key: str, tokens: str, k: int = 50, top: int = 10, vocabulary: int = 1 << 18, iterations: int = 20, least: float = 1.0, seed: int = 1) -> DataFrame:
-    """(key, topics): a document's strongest topic numbers as strings, by an LDA model over non-stop-words."""
+def topics(docs: DataFrame, key: str, tokens: str, k: int = 50, top: int = 10, vocabulary: int = 1 << 18, iterations: int = 20, least: float = 2.0, seed: int = 1) -> DataFrame:
+    """(key, topics): a document's strongest topic numbers as strings, by an LDA model over non-stop-words.
+
+    Words of fewer than ``least`` documents (a share of all below 1) are left
+    out; ``vocabulary`` bounds the model that every task holds.
+    """
     plain = StopWordsRemover(inputCol=tokens, outputCol="_words").transform(docs.where(F.size(tokens) > 0))
     counted = CountVectorizer(inputCol="_words", outputCol="features", vocabSize=vocabulary, minDF=least).fit(plain).transform(plain)
     model = LDA(k=k, maxIter=iterations, docConcentration=[50.0 / k] * k, optimizer="online", seed=seed).fit(counted)
@@ -19,7 +23,12 @@ def topics(docs: DataFrame, key: str, tokens: str, k: int = 50, top: int = 10, v
     return model.transform(counted).select(key, strongest.alias("topics"))
 
 
-def word_vectors(lines: DataFrame, tokens: str, size: int = 200, window: int = 5, least: int = 50, iterations: int = 5, partitions: int = 1, seed: int = 1) -> DataFrame:
-    """(word, vec): skip-gram vectors of words that come ``least`` times."""
+def word_vectors(lines: DataFrame, tokens: str, size: int = 200, window: int = 5, least: int = 50, iterations: int = 5, partitions: int | None = None, seed: int = 1) -> DataFrame:
+    """(word, vec): skip-gram vectors of words that come ``least`` times.
+
+    Trained in ``partitions`` parts whose vectors are combined after each
+    iteration; by default as many as the session runs at once.
+    """
+    partitions = partitions or lines.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(inputCol=tokens, outputCol="_v", vectorSize=size, windowSize=window, minCount=least, maxIter=iterations, numPartitions=partitions, seed=seed).fit(lines)
     return model.getVectors().select("word", vector_to_array("vector").alias("vec"))

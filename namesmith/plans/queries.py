@@ -403,8 +403,9 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("mentionId").alias("id"), F.col("self.lastName").alias("last"), F.array_join(F.transform("coauthors", lambda a: a["lastName"]), ",").alias("coauthors"), "source")
 
 
-@query("paper_mentions", """WITH p AS (SELECT l_orderkey, 's' || l_suppkey AS last, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) - 1 AS place, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
- SELECT l_orderkey || '_LN_' || last || '_FN_ab_' || place AS id, last, n - 1 AS others FROM p""")
+@query("paper_mentions", """WITH p AS (SELECT l_orderkey, 's' || l_suppkey AS last, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) - 1 AS place, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+ q AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, last ORDER BY place) AS nth FROM p)
+ SELECT l_orderkey || '_LN_' || last || '_FN_ab' || CASE WHEN nth > 1 THEN '_' || place ELSE '' END AS id, last, n - 1 AS others FROM q""")
 def paper_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order as a paper, its lines as authors; ids keep letters, digits, - and _ only."""
     line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("lines"))

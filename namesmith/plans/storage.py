@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The session's spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; on a cluster that fails."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -29,8 +32,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     The copy outlives lost executors and stops later jobs from redoing what
-    made it. It stays until the folder is emptied.
+    made it. ``remove`` deletes it; else it stays until the folder is emptied.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.cut_path = path
+    return back
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote and that no later job reads; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "cut_path", None):
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from namesmith.schema import AUTHOR, author, complete
 
+#: The encodings that are tried in turn.
+CODECS = ("utf-8", "iso-8859-1", "us-ascii")
 ENTRIES = "path string, entry int, kind string, key string, fields map<string,string>, people array<struct<first:string,von:string,last:string,jr:string>>"
 
 
@@ -106,21 +108,36 @@ def people(text: str) -> list[dict[str, str]]:
 
 
 def entries(spark: SparkSession, path: str, glob: str = "*.bib") -> DataFrame:
-    """One row per entry; files are tried as UTF-8 and ISO-8859-1, and skipped if they don't parse."""
-    read, names = parse, people
+    """One row per entry; files are tried in each of ``CODECS``, and skipped if they don't parse (``failures`` lists them)."""
+    return parsed(spark, path, glob).where("entry is not null")
+
+
+def failures(spark: SparkSession, path: str, glob: str = "*.bib") -> DataFrame:
+    """(path, reason) of the files that don't parse."""
+    return parsed(spark, path, glob).where("entry is null").select("path", F.col("key").alias("reason"))
+
+
+def parsed(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """Entries, and for a file that doesn't parse a row without entry, its key the reason."""
+    read, names, codecs = parse, people, CODECS
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for file, content in zip(batch["path"], batch["content"], strict=True):
-                for codec in ("utf-8", "iso-8859-1"):
+                reason = ""
+                for codec in codecs:
                     try:
                         found = read(bytes(content).decode(codec))
-                    except ValueError:
+                    except ValueError as e:
+                        reason = reason or str(e)
                         continue
                     rows += [(file, i, kind, key, fields, names(fields.get("author", ""))) for i, (kind, key, fields) in enumerate(found)]
                     break
-            yield pd.DataFrame(rows, columns=["path", "entry", "kind", "key", "fields", "people"])
+                else:
+                    rows.append((file, None, "", reason, {}, []))
+            frame = pd.DataFrame(rows, columns=["path", "entry", "kind", "key", "fields", "people"])
+            yield frame.astype({"entry": "Int32"})
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return found.select("path", "content").mapInPandas(emit, ENTRIES)

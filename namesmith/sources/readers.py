@@ -14,12 +14,19 @@ def json_mentions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return complete(spark.read.schema(MENTION).option("mode", "DROPMALFORMED").json(paths))
 
 
+def placed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, nth, value): lines in the order of file, block and nth. Files are split as usual: nth rises within a block."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
+
+
 def lines(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> DataFrame:
-    """(line_no, value) of the lines in [start, end) of each file, read as whole files when a range is asked for."""
+    """(line_no, value) of the lines in [start, end) of each file. Blocks are counted first, so files are still read in splits."""
     if not start and end is None:
         return spark.read.text(path)
-    whole = spark.read.text(path, wholetext=True)
-    numbered = whole.select(F.posexplode(split_trimmed(F.col("value"), r"\r?\n")).alias("line_no", "value"))
+    rows = placed(spark, path)
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    numbered = rows.join(sizes.select("file", "block", "first", before.alias("before")), ["file", "block"]).select((F.col("before") + F.col("nth") - F.col("first")).alias("line_no"), "value")
     return numbered.where((F.col("line_no") >= start) & (F.lit(True) if end is None else F.col("line_no") < end))
 
 
@@ -39,9 +46,8 @@ def tsv_pairs(spark: SparkSession, path: str, names: tuple[str, str] = ("point",
 
 def tsv_lists(spark: SparkSession, path: str, key: str = "mentionId", values: str = "values") -> DataFrame:
     """Key and its values; of a repeated key the last line counts."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where("line <> ''")
-    parts = whole.select("file", "n", split_trimmed(F.col("line"), "\t").alias("p"))
-    return parts.groupBy(F.col("p")[0].alias(key)).agg(F.max_by(F.slice("p", F.lit(2), F.size("p")), F.struct("file", "n")).alias(values))
+    parts = placed(spark, path).where("value <> ''").select(F.struct("file", "block", "nth").alias("place"), split_trimmed(F.col("value"), "\t").alias("p"))
+    return parts.groupBy(F.col("p")[0].alias(key)).agg(F.max_by(F.slice("p", F.lit(2), F.size("p")), "place").alias(values))
 
 
 def tasks(spark: SparkSession, path: str) -> DataFrame:
@@ -52,57 +58,68 @@ def tasks(spark: SparkSession, path: str) -> DataFrame:
 def embeddings(spark: SparkSession, path: str, dim: int | None = None, sep: str = r"\s+", lower: bool = False) -> DataFrame:
     """(word, vec): one word and ``dim`` numbers a line, or after a first line with count and dim if none is given.
 
-    Lines of another length are skipped; of a repeated word the last counts.
+    Lines of another length are skipped, as is the first line by that; of a
+    repeated word the last counts. Vectors of one number need ``dim``.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where("line <> ''")
-    parts = whole.select("file", "n", F.split(F.rtrim("line"), sep).alias("p"))
+    parts = placed(spark, path).where("value <> ''").select(F.struct("file", "block", "nth").alias("place"), F.split(F.rtrim("value"), sep).alias("p"))
     if dim is None:
-        head = parts.where("n = 0").select(F.col("p")[1].cast("int").alias("dim")).first()
-        dim, parts = head["dim"] if head else 0, parts.where("n > 0")
+        head = parts.where("place.block = 0").orderBy("place").select(F.get("p", F.lit(1)).try_cast("int").alias("dim")).first()
+        dim = (head["dim"] or 0) if head else 0
+        if dim == 1:
+            raise ValueError("a first line with count and dim looks like a vector of one number: give dim")
     word = F.lower(F.col("p")[0]) if lower else F.col("p")[0]
     vec = F.transform(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), lambda x: x.try_cast("double"))
-    return parts.where(F.size("p") == dim + 1).groupBy(word.alias("word")).agg(F.max_by(vec, F.struct("file", "n")).alias("vec"))
+    return parts.where(F.size("p") == dim + 1).groupBy(word.alias("word")).agg(F.max_by(vec, "place").alias("vec"))
 
 
 # Papers with a TEI header
 
 
+def tei_trees(spark: SparkSession, path: str, encoding: str | None) -> DataFrame:
+    """path, paperId, xml, good: whether a file is XML. Spark's xpath needs no namespace, so declarations and comments are removed first."""
+    plain = files(spark, path, "*", encoding).select("path", stem_of_file(F.col("path")).alias("paperId"), F.regexp_replace(F.regexp_replace("text", r"\s+xmlns(:\w+)?=\x22[^\x22]*\x22", ""), r"<!DOCTYPE[^>]*>|<\?xml[^>]*\?>|<!--[\s\S]*?-->", "").alias("xml"))
+    tree = F.from_xml("xml", "teiHeader string, _corrupt_record string", {"mode": "PERMISSIVE"})
+    return plain.withColumn("tree", tree).withColumn("good", F.expr("tree is not null and tree._corrupt_record is null")).drop("tree")
+
+
+def tei_failures(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(path) of the files that aren't XML."""
+    return tei_trees(spark, path, encoding).where("not good").select("path")
+
+
 def tei_papers(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """paperId, title, authors, year, venues, abstractText from TEI files; files that aren't XML are skipped.
+    """paperId, title, authors, year, venues, abstractText from TEI headers; files that aren't XML are skipped (``tei_failures`` lists them).
 
-    Spark's parser and xpath need no namespace here, so declarations are removed first.
+    Authors are those of the header; what a text cites isn't read.
     """
-    plain = files(spark, path, "*", encoding).select(stem_of_file(F.col("path")).alias("paperId"), F.regexp_replace(F.regexp_replace("text", r"\s+xmlns(:\w+)?=\x22[^\x22]*\x22", ""), r"<!DOCTYPE[^>]*>|<\?xml[^>]*\?>", "").alias("xml"))
-    known = plain.withColumn("tree", F.from_xml("xml", "teiHeader string, _corrupt_record string", {"mode": "PERMISSIVE"})).where("tree._corrupt_record is null and tree is not null").drop("tree")
+    known = tei_trees(spark, path, encoding).where("good").withColumn("xml", F.regexp_extract("xml", r"<teiHeader\b[\s\S]*</teiHeader\s*>", 0)).where("xml <> ''")
     head = "//teiHeader"
-    first = lambda path: trim_ends(F.coalesce(F.get(F.xpath("xml", F.lit(path + "//text()")), F.lit(0)), F.lit("")))
-    persons = "//teiHeader//sourceDesc//author/persName"
-    count = F.xpath_int("xml", F.lit(f"count({persons})"))
-    # xpath takes constants only: each author's parts are cut out of the text of its element.
-    blocks = F.regexp_extract_all("xml", F.lit(r"<author\b[^>]*>([\s\S]*?)</author>"), F.lit(1))
+    first = lambda path: trim_ends(F.coalesce(F.xpath_string("xml", F.lit(path)), F.lit("")))
+    # xpath takes constant paths only, so each author's element is cut out and asked for its parts.
+    blocks = F.regexp_extract_all("xml", F.lit(r"<author\b[^>]*>[\s\S]*?</author>"), F.lit(0))
 
     def person(block: Column) -> Column:
-        names = lambda kind: F.transform(F.regexp_extract_all(block, F.lit(rf"<forename\b[^>]*type=\x22{kind}\x22[^>]*>([^<]*)</forename>"), F.lit(1)), lambda x: trim_ends(x))
-        return author(F.get(names("first"), F.lit(0)), names("middle"), trim_ends(F.regexp_extract(block, r"<surname\b[^>]*>([^<]*)</surname>", 1)))
+        names = lambda kind: F.transform(F.xpath(block, F.lit(f"//persName//forename[@type='{kind}']//text()")), lambda x: trim_ends(x))
+        return author(F.get(names("first"), F.lit(0)), names("middle"), trim_ends(F.coalesce(F.xpath_string(block, F.lit("//persName//surname")), F.lit(""))))
 
     authors = F.filter(F.transform(blocks, person), lambda a: a["lastName"] != "")
     when = F.get(F.xpath("xml", F.lit(f"{head}//publicationStmt//date[@type='published']/@when")), F.lit(0))
-    abstract = trim_ends(F.array_join(F.xpath("xml", F.lit(f"{head}//profileDesc//abstract//text()")), " "))
-    return known.where(count.isNotNull()).select("paperId", first(f"{head}//titleStmt//title").alias("title"), authors.alias("authors"), year_of(when).alias("year"), F.array(first(f"{head}//sourceDesc//monogr//title")).alias("venues"), abstract.alias("abstractText"))
+    return known.select("paperId", first(f"{head}//titleStmt//title").alias("title"), authors.alias("authors"), year_of(when).alias("year"), F.array(first(f"{head}//sourceDesc//monogr//title")).alias("venues"), first(f"{head}//profileDesc//abstract").alias("abstractText"))
 
 
-def paper_mentions(papers: DataFrame, with_position: bool = True) -> DataFrame:
+def paper_mentions(papers: DataFrame, apart: bool = True) -> DataFrame:
     """One row per author with a last name; the others are coauthors.
 
-    The id joins paper, last and first name; with_position adds the author's
-    place, so two of one name on a paper stay apart.
+    The id joins paper, last and first name. Of authors on one paper with equal
+    ids the first keeps it; apart: the others get their place added.
     """
     own = F.filter("authors", lambda a: a["lastName"] != "")
     each = papers.withColumn("authors", own).select("*", F.posexplode("authors").alias("place", "self"))
-    name = F.concat(F.col("paperId"), F.lit("_LN_"), F.col("self.lastName"), F.lit("_FN_"), F.col("self.firstName"))
-    mention = F.regexp_replace(name, "[^A-Za-z0-9_-]", "")
+    name = lambda a: F.regexp_replace(F.concat(F.col("paperId"), F.lit("_LN_"), a["lastName"], F.lit("_FN_"), a["firstName"]), "[^A-Za-z0-9_-]", "")
+    mention = name(F.col("self"))
+    again = F.array_position(F.transform("authors", name), mention) <= F.col("place")
     others = F.filter("authors", lambda a, i: i != F.col("place"))
-    return each.select((F.concat(mention, F.lit("_"), F.col("place").cast("string")) if with_position else mention).alias("mentionId"), "paperId", "self", others.alias("coauthors"), "title", "year", "venues", "abstractText")
+    return each.select((F.when(again, F.concat(mention, F.lit("_"), F.col("place").cast("string"))).otherwise(mention) if apart else mention).alias("mentionId"), "paperId", "self", others.alias("coauthors"), "title", "year", "venues", "abstractText")
 
 
 # Tagged-text records

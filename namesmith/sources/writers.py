@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from namesmith.plans.storage import cut, remove
+
 
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
 def store(df: DataFrame, path: str, key: str = "mentionId") -> None:
-    """Parquet store of mentions, one row per id; a repeated id fails the write."""
-    n = df.groupBy(key).count().where("count > 1").limit(1)
-    if not n.isEmpty():
-        raise ValueError(f"repeated {key}: {n.first()[key]}")
-    df.write.mode("overwrite").parquet(path)
+    """Parquet store of mentions, one row per id; a repeated id fails the write. The input is evaluated once."""
+    rows = cut(df, "store")
+    twice = rows.groupBy(key).count().where("count > 1").first()
+    if twice:
+        remove(rows)
+        raise ValueError(f"repeated {key}: {twice[key]}")
+    rows.write.mode("overwrite").parquet(path)
+    remove(rows)
 
 
 def task_lines(tasks: DataFrame) -> DataFrame:

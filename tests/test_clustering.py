@@ -75,6 +75,21 @@ def test_renumber(spark):
     assert got == {i: str(numbers.setdefault(e, len(numbers))) for i, e in rows}
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_renumber_many(spark, adaptive):
+    """Many ranges, each of several partitions' rows: numbers are the dense rank, row for row."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        ids = spark.range(300_000).select(F.lpad(F.col("id").cast("string"), 9, "0").alias("mention_id"), F.xxhash64(F.col("id") % 200_000).cast("string").alias("entity_id"))
+        got = evaluate.renumber(ids).select(F.sum(F.when(F.col("entity_id").cast("long") == F.col("mention_id").cast("long") % 200_000, 1).otherwise(0)).alias("right"), F.count("*").alias("n")).first()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert (got.right, got.n) == (300_000, 300_000)
+
+
 def sample_mentions(spark):
     rng = random.Random(1)
     rows = []

@@ -34,7 +34,8 @@ TEI = """<?xml version="1.0"?><TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeade
 <publicationStmt><date type="published" when="2003-05-01">May</date></publicationStmt><sourceDesc><biblStruct><analytic>
 <author><persName><forename type="first">Ann</forename><forename type="middle">B</forename><surname>Lee</surname></persName></author>
 <author><persName><forename type="first">Ann</forename><surname>Lee</surname></persName></author><author><persName><forename type="first">No</forename></persName></author></analytic>
-<monogr><title>Venue X</title></monogr></biblStruct></sourceDesc></fileDesc><profileDesc><abstract><p>Some text.</p></abstract></profileDesc></teiHeader></TEI>"""
+<!-- <author><persName><surname>Nobody</surname></persName></author> --><monogr><title>Venue X</title></monogr></biblStruct></sourceDesc></fileDesc><profileDesc><abstract><p>Some text.</p></abstract></profileDesc></teiHeader>
+<text><back><listBibl><biblStruct><analytic><title>Other</title><author><persName><forename type="first">X</forename><surname>Cited</surname></persName></author></analytic><monogr><title>Y</title></monogr></biblStruct></listBibl></back></text></TEI>"""
 
 
 def test_tei(spark, tmp_path):
@@ -48,10 +49,15 @@ def test_tei(spark, tmp_path):
     assert [(a.firstName, a.middleNames, a.lastName) for a in p.authors] == [("Ann", ["B"], "Lee"), ("Ann", [], "Lee")]
     assert papers["P02"].year == ""
     rows = readers.paper_mentions(readers.tei_papers(spark, str(tmp_path / "t")))
-    assert sorted(r.mentionId for r in rows.collect()) == [f"P0{i}_LN_Lee_FN_Ann_{j}" for i in (1, 2) for j in (0, 1)]
-    topics = spark.createDataFrame([("P01_LN_Lee_FN_Ann_0", ["t1"])], "id string, v array<string>")
+    assert sorted(r.mentionId for r in rows.collect()) == [f"P0{i}_LN_Lee_FN_Ann{j}" for i in (1, 2) for j in ("", "_1")]
+    assert [r.mentionId for r in readers.paper_mentions(readers.tei_papers(spark, str(tmp_path / "t")), apart=False).where("paperId = 'P01'").collect()] == ["P01_LN_Lee_FN_Ann"] * 2
+    assert [r.path.split("/")[-1] for r in readers.tei_failures(spark, str(tmp_path / "t")).collect()] == ["bad.xml"]
+    write(tmp_path, "t/P03.xml", TEI.replace("A Title", "R &amp; D &#233;").replace(">B<", ">B&lt;<").replace(">Lee<", ">O&apos;Neil<"))
+    odd = readers.tei_papers(spark, str(tmp_path / "t")).where("paperId = 'P03'").first()
+    assert (odd.title, odd.authors[0].lastName, odd.authors[0].middleNames) == ("R & D \u00e9", "O'Neil", ["B<"])
+    topics = spark.createDataFrame([("P01_LN_Lee_FN_Ann", ["t1"])], "id string, v array<string>")
     m = {r.mentionId: r for r in convert.paper_to_mention(rows, topics).collect()}
-    first = m["P01_LN_Lee_FN_Ann_0"]
+    first = m["P01_LN_Lee_FN_Ann"]
     assert (first.self.firstName, first.topics, first.venues[0].name, first.titleEmbeddingKeywords, first.tokenizedText) == ("ann", ["t1"], "Venue X", ["a", "title"], ["some", "text"])
     assert m["P02_LN_Lee_FN_Ann_1"].topics == [] and len(first.coauthors) == 1
 
@@ -109,6 +115,7 @@ def test_bibtex(spark, tmp_path):
     b = m["good-1-0"]
     assert (b.self.firstName, b.self.middleNames, b.self.lastName, [v.name for v in b.venues]) == ("Ana", ["de", "la"], "Cruz", ["B", "P"])
     assert m["latin-0-0"].self.firstName == "José"
+    assert [(r.path.split("/")[-1], r.reason) for r in bibtex.failures(spark, str(tmp_path / "b")).collect()] == [("broken.bib", "value not closed")]
     assert sorted(r.text for r in bibtex.training_text(parsed).collect())[0].startswith("A {Nested} title One two p q")
 
 
@@ -124,6 +131,16 @@ def test_tables(spark, tmp_path):
     e = readers.embeddings(spark, write(tmp_path, "h.txt", "2 2\nA 1 2\nb 5 6\n"), lower=True)
     assert {r.word: r.vec for r in e.collect()} == {"a": [1.0, 2.0], "b": [5.0, 6.0]}
     assert [r.value for r in readers.lines(spark, write(tmp_path, "l.txt", "x\ny\nz\n"), 1, 2).collect()] == ["y"]
+    long = write(tmp_path, "long.txt", "".join(f"{i} {i} 0\n" for i in range(20_000)))
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert readers.placed(spark, long).select("block").distinct().count() > 5
+        assert sorted(int(r.value.split()[0]) for r in readers.lines(spark, long, 7_000, 7_500).collect()) == list(range(7_000, 7_500))
+        twice = readers.embeddings(spark, write(tmp_path, "w.txt", "".join(f"w{i % 500} {i} 0\n" for i in range(20_000))), 2)
+        assert {r.word: r.vec[0] for r in twice.collect()} == {f"w{i}": 19_500 + i for i in range(500)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
 
 
 def test_tasks_round_trip(spark, tmp_path):
