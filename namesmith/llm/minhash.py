@@ -4,17 +4,18 @@
    of minima propose candidates; of each minimum two bits are kept, packed
    into four words, from which a collision-corrected similarity follows by
    counting bits.
-2. Documents with equal shingle sets are one class, represented by its least
-   doc_id, so copies are never paired.
-3. In each band bucket all members meet the member with the fewest shingles of
-   its own, which links the bulk of a group of near copies. Links are confirmed
-   on full shingle sets.
-4. Members that are still in different components of the confirmed links meet
-   within their buckets, where a bound and the bit estimate leave a chance;
-   these are confirmed too. The bound is exact: what two members share of their
-   differences from the bucket's first member is limited by the shingles that
-   nobody else has, so most edited copies of one text are never paired.
-
+2. Documents with equal shingle sets are one class, so copies are never paired.
+3. In each band bucket all members meet the bucket's head, the member that
+   meets most others over all bands, which links the bulk of a group of near
+   copies. Links are confirmed on full shingle sets.
+4. Members of one head that are still in different components meet where they
+   share differences from the head. If a is linked to b but b not to the head,
+   then of what a and the head don't share, much is the same for b
+   (``least_shared``), so a prefix of these differences, rarest first, must
+   meet a prefix of b's. Differences that only one component has meet nothing.
+   Pairs are checked by the bit estimate and confirmed on full sets.
+
+No step depends on the size of a bucket, and no bucket is paired as a whole.
 Bands and the least bit estimate follow from the threshold (``layout``): a pair
 at the threshold is missed by all bands with probability 5e-7 at most, and its
 bit estimate falls short with 2e-7 at most. At 85 % that makes 25 bands of 5.
@@ -22,7 +23,7 @@ bit estimate falls short with 2e-7 at most. At 85 % that makes 25 bands of 5.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -35,8 +36,8 @@ from namesmith.operators.components import components
 from namesmith.plans.storage import cut, small_batches
 
 MINIMA = 128
-#: Buckets with more members count the shingles that nobody else has.
-CROWD = 8
+#: Members of one difference that a task compares at once; longer lists are cut into blocks that meet pairwise.
+BLOCK = 256
 SIGNATURE = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, bits array<long>"
 
 _rng = np.random.default_rng(85)
@@ -141,15 +142,15 @@ def signatures(docs: DataFrame, size: int = 5, percent: int = 85, carry: tuple[s
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles array<long>)."""
+    """(node, shingles array<long>) of (node, text)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, buf, offs in kernels.slices(*kernels.utf8(batch.column("text"))):
                 flat, at = shingle_sets(buf, offs, size)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(at) - 1), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), kernels.signed(flat))], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, len(at) - 1), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), kernels.signed(flat))], names=["node", "shingles"])
 
-    return docs.mapInArrow(emit, "doc_id long, shingles array<long>")
+    return docs.select("node", "text").mapInArrow(emit, "node long, shingles array<long>")
 
 
 def equal_bits(a: str, b: str) -> Column:
@@ -163,106 +164,113 @@ def equal_bits(a: str, b: str) -> Column:
 
 
 def possible(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and shared shingles leave room for the threshold, and the bit estimate is near it.
-
-    ``shared`` says nothing about documents that were not counted with it, so it binds crowded pairs only.
-    """
-    most = f"case when least({a}.most, {b}.most) > {CROWD} then least({a}.shared, {b}.shared) else least({a}.n, {b}.n) end"
-    return F.expr(f"{100 + percent} * ({most}) >= {percent} * ({a}.n + {b}.n)") & (equal_bits(a, b) >= layout(percent)[2])
+    """Whether sizes leave room for the threshold, and the bit estimate is near it."""
+    sizes = F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)")
+    return sizes & (equal_bits(a, b) >= layout(percent)[2])
 
 
-def reachable(a: str, b: str, percent: int) -> Column:
-    """Whether two members can differ by no more than the threshold allows.
+def least_shared(percent: int) -> Column:
+    """How many differences from the head a member (columns n, head_n, apart) shares at least with a partner in another component.
 
-    ``apart`` shingles differ between a member and the bucket's first; of
-    these, ``common`` may be so for others too. The differences of two members
-    from each other number at least apart + apart - 2 * least(common). Where
-    either was not measured, nothing is known.
+    Sets of x and y elements are linked if they differ by no more than
+    (100 - p) / (100 + p) * (x + y) elements. A partner has at most 100 n / p
+    elements, so all but n (100 - p) / p of the differences are shared. If the
+    member is linked to the head, its partner isn't, and more than
+    p / (100 + p) of them are shared. If it isn't, at least half of what keeps
+    it from the head is.
     """
-    common = f"least({a}.common, {b}.common)"
-    within = F.expr(f"{100 + percent} * ({a}.apart + {b}.apart - 2 * ({common})) <= {100 - percent} * ({a}.n + {b}.n)")
-    return F.expr(f"{a}.apart is null or {b}.apart is null") | within
-
-
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds to pairs (a, b): n, the sum of set sizes, and both, the size of the intersection."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("left") + F.size("right")).alias("n"), F.size(F.array_intersect("left", "right")).alias("both"))
+    p = percent
+    by_size = F.expr(f"apart - n * {100 - p} div {p}")
+    near = F.expr(f"apart * {p} div {100 + p} + 1")
+    far = F.expr(f"({100 + p} * apart - {100 - p} * (n + head_n)) div {2 * (100 + p)}")
+    return F.greatest(F.lit(1).cast("long"), by_size, F.when(F.expr(f"{100 + p} * apart <= {100 - p} * (n + head_n)"), near).otherwise(far))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets reach the threshold."""
-    return overlaps(pairs, sets).where(100 * F.col("both") >= percent * (F.col("n") - F.col("both"))).select("a", "b")
-
-
-def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between class representatives, enough to join their components."""
-    keys = classes.select("doc_id", F.explode("bands").alias("key"))
-    crowded = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = cut(keys.join(crowded, "key"), "buckets")
-    crowd = buckets.groupBy("doc_id").agg(F.max("members").alias("most"))
-    # The hint keeps one plan at all sizes: the list of candidates follows the corpus.
-    sets = cut(full_sets(docs.join(crowd.select("doc_id").hint("merge"), "doc_id", "left_semi"), size), "sets")
-    # Shingles that no other crowded document has; 32 bits only ever hide some, which is safe.
-    own = (
-        sets.join(crowd.where(f"most > {CROWD}"), "doc_id", "left_semi")
-        .select("doc_id", F.explode("shingles").alias("s"))
-        .select("doc_id", F.hash("s").alias("s"))
-        .groupBy("s")
-        .agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-        .where("n = 1")
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("own"))
-    )
-    facts = cut(
-        crowd.join(classes, "doc_id").join(own, "doc_id", "left").select("doc_id", "most", F.col("n_shingles").alias("n"), "bits", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shared")),
-        "facts",
-    )
-    # First the member that shares most, by lot; then whoever is still apart.
-    order = F.struct(((F.col("n") - F.col("shared")) / F.col("n")).alias("alone"), F.col("doc_id"))
-    heads = buckets.join(facts, "doc_id").groupBy("key").agg(F.min(order).getField("doc_id").alias("head"))
-    stars = buckets.join(heads, "key").where("doc_id <> head").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("left") + F.size("right")).alias("n"), F.size(F.array_intersect("left", "right")).alias("both"))
+    return both.where(100 * F.col("both") >= percent * (F.col("n") - F.col("both"))).select("a", "b")
+
+
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members (head, node) with apart, n, head_n and tokens: shingles that only one of both has, those of the head as complements."""
+    own = members.join(sets.select("node", "shingles"), "node").join(sets.select(F.col("node").alias("head"), F.col("shingles").alias("known")), "head")
+    tokens = F.concat(F.array_except("shingles", "known"), F.transform(F.array_except("known", "shingles"), lambda x: F.bitwise_not(x)))
+    told = own.withColumn("n", F.size("shingles").cast("long")).withColumn("head_n", F.size("known").cast("long")).withColumn("tokens", tokens)
+    return told.select(*members.columns, "n", "head_n", F.size("tokens").cast("long").alias("apart"), "tokens")
+
+
+def meetings(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members in different parts whose prefixes of differences meet and whose bits are near enough."""
+    tokens = members.select("head", "node", "part", F.explode("tokens").alias("token"))
+    # Nothing crosses parts at a token that one part has alone.
+    common = tokens.groupBy("head", "token").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("head", "token", "n")
+    met = tokens.join(common, ["head", "token"]).groupBy("head", "node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("found"))
+    facts = members.select("head", "node", "part", "bits", "n", least_shared(percent).alias("least"))
+    prefix = F.slice("found", F.lit(1), F.greatest(F.lit(0), F.size("found") - F.col("least").cast("int") + 1))
+    rows = met.join(facts, ["head", "node"]).select("head", "node", "part", "bits", "n", F.explode(prefix).alias("x")).select("head", F.col("x.token").alias("token"), F.ceil(F.col("x.n") / BLOCK).alias("blocks"), "node", "part", "bits", "n")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    # Every two blocks of a list meet once: key (i, j) with i <= j.
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = cut(dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other"), "prefixes")
+    u, v = dealt.alias("u"), dealt.alias("v")
+    same = F.expr("u.head = v.head and u.token = v.token and u.i = v.i and u.j = v.j and u.node < v.node and u.part <> v.part and (u.i = u.j or u.own <> v.own)")
+    return u.join(v, same & possible("u", "v", percent)).select(F.col("u.node").alias("a"), F.col("v.node").alias("b")).distinct()
+
+
+def links(texts: Callable[[DataFrame], DataFrame], classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between classes (node), enough to join their components. texts gives (node, text) of some nodes."""
+    keys = classes.select("node", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = cut(keys.join(shared, "key"), "buckets")
+    reach = buckets.groupBy("node").agg(F.sum("members").alias("reach"))
+    sets = cut(full_sets(texts(reach.select("node")), size), "sets")
+    facts = reach.join(classes, "node").select("node", F.col("n_shingles").alias("n"), "bits")
+    heads = buckets.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node")).getField("node").alias("head"))
+    stars = cut(buckets.join(heads, "key").where("node <> head").select("head", "node").distinct(), "stars")
     x, y = facts.alias("x"), facts.alias("y")
-    tried = stars.join(x, F.expr("a = x.doc_id")).join(y, F.expr("b = y.doc_id")).where(possible("x", "y", percent)).select("a", "b")
-    first = cut(confirmed(tried, sets, percent), "links")
+    tried = stars.alias("s").join(x, F.expr("s.head = x.node")).join(y, F.expr("s.node = y.node"))
+    first = cut(confirmed(tried.where(possible("x", "y", percent)).select(F.col("s.head").alias("a"), F.col("s.node").alias("b")), sets, percent), "links")
     parts = components(first, "a", "b")
-    apart = buckets.join(parts, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "members", F.coalesce("component", "doc_id").alias("part"))
-    split = apart.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key").join(heads, "key")
-    before = F.expr("slice(bands, 1, cast(array_position(bands, key) - 1 as int))")
-    own = F.col("n") - F.col("shared")
-    # Who has more shingles of its own than any partner could miss stays alone among the crowded.
-    hopeful = F.expr(f"members <= {CROWD} or {percent} * (n - shared) <= {100 - percent} * n")
-    inside = cut(apart.join(split, "key").join(facts, "doc_id").where(hopeful).join(classes.select("doc_id", "bands"), "doc_id").withColumn("before", before).drop("bands"), "members")
-    to_head = overlaps(inside.where(f"members > {CROWD} and doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), sets)
-    apart_from_head = to_head.select(F.col("a").alias("doc_id"), F.col("b").alias("head"), (F.col("n") - 2 * F.col("both")).alias("apart"))
-    members = cut(inside.join(apart_from_head, ["doc_id", "head"], "left").withColumn("common", F.col("apart") - own), "members")
-    u, v = members.alias("u"), members.alias("v")
-    open_pair = F.expr("u.key = v.key and u.doc_id < v.doc_id and u.part <> v.part and u.doc_id <> u.head and v.doc_id <> v.head")
-    # A pair comes from the first band that it has in common.
-    rest = u.join(v, open_pair & reachable("u", "v", percent) & possible("u", "v", percent) & ~F.arrays_overlap("u.before", "v.before"))
-    second = confirmed(rest.select(F.col("u.doc_id").alias("a"), F.col("v.doc_id").alias("b")).distinct(), sets, percent)
+    apart = stars.join(parts, "node", "left").select("head", "node", F.coalesce("component", "node").alias("part"))
+    split = apart.groupBy("head").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("head")
+    members = apart.join(split, "head").join(classes.select("node", "bits"), "node").select("head", "node", "part", "bits")
+    open_members = cut(differences(members, sets), "differences")
+    second = confirmed(meetings(open_members, percent), sets, percent)
     return first.union(cut(second, "links"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept, n_equal (documents with its shingle set).
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept, n_equal, mark, component.
 
     Documents are linked at 100 * intersection >= percent * union of their
     distinct lower-cased word shingles; texts under ``size`` words are one
     shingle. Null, empty and blank texts have no shingles and stand alone.
-    Equal rows are equal documents; rows without doc_id are left out. Columns in
-    ``carry`` come last.
+
+    n_equal counts the rows with its shingle set, mark is the hash of the text,
+    component the least set in its component (null without shingles). Equal rows
+    are equal documents; texts that share a doc_id but differ are documents of
+    their own, linked only if their sets are. Rows without doc_id are left out.
     """
-    extra = small_batches(docs).select(F.col("doc_id").cast("long"), "text", *carry).where(F.col("doc_id").isNotNull())
-    docs = extra.select("doc_id", "text")
-    signed = cut(signatures(extra, size, percent, carry), "signatures")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).where(F.col("doc_id").isNotNull())
+    signed = cut(signatures(rows, size, percent, ("mark",)), "signatures")
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "bits")).alias("r"), F.count("*").alias("n_equal"))
-    classes = cut(classes.select("set1", "set2", "n_equal", "r.*"), "classes")
-    parts = components(links(docs, classes, size, percent), "a", "b")
-    named = classes.join(parts, F.col("doc_id") == F.col("node"), "left").select("set1", "set2", "n_equal", F.coalesce("component", "doc_id").alias("component_id"))
-    some = full.select("doc_id", "n_shingles", "set1", "set2", *carry).join(named, ["set1", "set2"]).select("doc_id", "n_shingles", "component_id", "n_equal", *carry)
-    none = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_equal"), *carry)
-    every = some.union(none).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    return every.select(*(c for c in every.columns if c not in carry), *carry)
+    classes = full.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "mark", "n_shingles", "bands", "bits")).alias("r"), F.count("*").alias("n_equal"))
+    # A class goes by the first half of its fingerprint.
+    classes = cut(classes.select("set2", "n_equal", "r.*", F.col("set1").alias("node")), "classes")
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        # The hint keeps one plan at all sizes: the list of candidates follows the corpus.
+        wanted = classes.select("doc_id", "mark", "node").join(nodes, "node", "left_semi")
+        return rows.join(wanted.hint("merge"), ["doc_id", "mark"]).groupBy("doc_id", "mark").agg(F.first("text").alias("text"), F.first("node").alias("node")).select("node", "text")
+
+    parts = components(links(texts, classes, size, percent), "a", "b")
+    named = classes.join(parts, "node", "left").select("node", "set2", "n_equal", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    told = named.drop("doc_id").join(least, "component").withColumnRenamed("node", "set1")
+    own = full.select("doc_id", "n_shingles", "set1", "set2", "mark").join(told, ["set1", "set2"])
+    columns = ["doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "n_equal", "mark", "component"]
+    none = signed.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("n_equal", F.lit(1).cast("long")).withColumn("component", F.lit(None).cast("long"))
+    return own.select(*columns).union(none.select(*columns))

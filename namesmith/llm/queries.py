@@ -28,7 +28,7 @@ def op3_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir)).drop("n_equal")
+    return minhash.near_duplicates(documents(spark, sf_dir)).drop("n_equal", "mark", "component")
 
 
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
