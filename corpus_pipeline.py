@@ -41,12 +41,15 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Keeps the document of least doc_id of each group of near duplicates.
 
     Near duplicates share 80 % of their shingles. Rows with equal doc_id and
-    text are one document, of which one row is kept. Documents without words
-    stand alone and are kept; rows without doc_id go.
+    text are one document, of which one row is kept; of linked texts with one
+    doc_id too. Documents without words stand alone and are kept; rows without
+    doc_id go.
     """
     rows = bundled(docs).withColumn("mark", F.xxhash64("text"))
-    kept = minhash.near_duplicates(rows, percent=80, carry=("mark",)).where("kept").select("doc_id", "mark")
-    left = rows.join(kept.hint("merge"), ["doc_id", "mark"], "left_semi")
+    kept = minhash.near_duplicates(rows, percent=80).where("kept")
+    alone = kept.where("component is null").select("doc_id", "mark")
+    grouped = kept.where("component is not null").groupBy("doc_id", "component").agg(F.min("mark").alias("mark")).select("doc_id", "mark")
+    left = rows.join(alone.union(grouped).hint("merge"), ["doc_id", "mark"], "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("rest"))
     return restored(left.withColumn("nth", first).where("nth = 1"), docs.columns)
 
