@@ -12,7 +12,8 @@
    share differences from the head. If a is linked to b but b not to the head,
    then of what a and the head don't share, much is the same for b
    (``least_shared``), so a prefix of these differences, rarest first, must
-   meet a prefix of b's. Differences that only one component has meet nothing.
+   meet a prefix of b's. Differences that only one component has meet nothing,
+   and what is left of both lists bounds what a pair can share.
    Pairs are checked by the bit estimate and confirmed on full sets.
 
 No step depends on the size of a bucket, and no bucket is paired as a whole.
@@ -208,16 +209,19 @@ def meetings(members: DataFrame, percent: int) -> DataFrame:
     # Nothing crosses parts at a token that one part has alone.
     common = tokens.groupBy("head", "token").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("head", "token", "n")
     met = tokens.join(common, ["head", "token"]).groupBy("head", "node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("found"))
-    facts = members.select("head", "node", "part", "bits", "n", least_shared(percent).alias("least"))
+    facts = members.select("head", "node", "part", "bits", "n", "apart", least_shared(percent).alias("least"))
     prefix = F.slice("found", F.lit(1), F.greatest(F.lit(0), F.size("found") - F.col("least").cast("int") + 1))
-    rows = met.join(facts, ["head", "node"]).select("head", "node", "part", "bits", "n", F.explode(prefix).alias("x")).select("head", F.col("x.token").alias("token"), F.ceil(F.col("x.n") / BLOCK).alias("blocks"), "node", "part", "bits", "n")
+    # rest: how many differences, this one included, can be shared if this one is the first that is.
+    rows = met.join(facts, ["head", "node"]).select("head", "node", "part", "bits", "n", "apart", F.size("found").alias("size"), F.posexplode(prefix).alias("at", "x"))
+    rows = rows.select("head", F.col("x.token").alias("token"), F.ceil(F.col("x.n") / BLOCK).alias("blocks"), "node", "part", "bits", "n", "apart", (F.col("size") - F.col("at")).alias("rest"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     # Every two blocks of a list meet once: key (i, j) with i <= j.
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = cut(dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other"), "prefixes")
     u, v = dealt.alias("u"), dealt.alias("v")
     same = F.expr("u.head = v.head and u.token = v.token and u.i = v.i and u.j = v.j and u.node < v.node and u.part <> v.part and (u.i = u.j or u.own <> v.own)")
-    return u.join(v, same & possible("u", "v", percent)).select(F.col("u.node").alias("a"), F.col("v.node").alias("b")).distinct()
+    within = F.expr(f"{100 + percent} * (u.apart + v.apart - 2 * least(u.rest, v.rest)) <= {100 - percent} * (u.n + v.n)")
+    return u.join(v, same & within & possible("u", "v", percent)).select(F.col("u.node").alias("a"), F.col("v.node").alias("b")).distinct()
 
 
 def links(texts: Callable[[DataFrame], DataFrame], classes: DataFrame, size: int, percent: int) -> DataFrame:
