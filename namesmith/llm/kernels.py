@@ -14,8 +14,11 @@ import types
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE = 1 << 18
+#: Bytes from which a word isn't hashed as a polynomial.
+LONG = 512
 
 _rng = np.random.default_rng(20240229)
 BYTES = _rng.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
@@ -121,7 +124,11 @@ def words(buf: np.ndarray, offs: np.ndarray, letters: np.ndarray = SPACES) -> tu
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    return stretch(prefix(BYTES[which][buf], which), starts, ends, which)
+    """Polynomial hashes; of words too long for those (equal powers of two in the modulus collide) another kind."""
+    found = stretch(prefix(BYTES[which][buf], which), starts, ends, which)
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        found[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes(), seed=which)
+    return found
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
@@ -182,22 +189,23 @@ def winnow(one: np.ndarray, two: np.ndarray, at: np.ndarray, n: int, k: int):
     return seed, whole, doc, lo - at[doc], hi - at[doc], least - at[doc]
 
 
-def cores(one: np.ndarray, two: np.ndarray, at: np.ndarray, doc: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, block: int):
+def cores(one: np.ndarray, two: np.ndarray, at: np.ndarray, doc: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], n: int, block: int):
     """What all windows of a block share, for the blocks of windows in the given runs.
 
     Blocks hold ``block`` window starts, counted from the run's seed, so equal
     windows lie in equal blocks; with 1 the core is the window. Returns two
-    hashes of each core, document index, first and last start, seed.
+    hashes of each core, document index, first and last start, seed, and the
+    run's mark.
     """
-    lo, hi, seed = runs
+    lo, hi, seed, mark = runs
     low, high = (lo - seed) // block, (hi - seed) // block
     count = high - low + 1
     j = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-    doc, lo, hi, seed = (np.repeat(x, count) for x in (doc, lo, hi, seed))
+    doc, lo, hi, seed, mark = (np.repeat(x, count) for x in (doc, lo, hi, seed, mark))
     first = seed + block * j
     a, b = at[doc] + first + block - 1, at[doc] + first + n
     h1, h2 = stretch(prefix(one, 0), a, b, 0), stretch(prefix(two, 1), a, b, 1)
-    return h1, h2, doc, np.maximum(lo, first), np.minimum(hi, first + block - 1), seed
+    return h1, h2, doc, np.maximum(lo, first), np.minimum(hi, first + block - 1), seed, mark
 
 
 def signed(x: np.ndarray) -> pa.Array:

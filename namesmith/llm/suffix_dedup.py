@@ -1,7 +1,9 @@
 """Exact substring dedup over bytes by a depth-limited suffix sort.
 
-Suffixes are ordered only through the first ``depth`` bytes, most significant
-digit first, and equal groups are the repeated strings. Writing a row per
+Suffixes are grouped only through the first ``depth`` bytes, most significant
+digit first, and equal groups are the repeated strings. A digit is a run of
+bytes, sorted by its hash: groups are those of a suffix array, the order
+between them is not its alphabetical one, which nothing here needs. Writing a row per
 suffix would be many times the corpus, so suffixes travel packed: neighbours
 that share their least ``seed``-byte digit are one row, and rows are taken
 apart only where a group of equal digits still holds different suffixes. The
@@ -22,14 +24,20 @@ from namesmith.llm import kernels, repeats
 
 
 def repeated_bytes(docs: DataFrame, depth: int = 100, seed: int = 20, block: int = 8) -> DataFrame:
-    """Byte spans (doc_id, lo, hi) covered by a depth-byte string that also starts earlier.
+    """Byte spans (doc_id, mark, lo, hi) covered by a depth-byte string that also starts earlier.
 
     Earlier means in a smaller doc_id, or before in the same document; strings
     may overlap and never cross documents. Null and empty texts have none, as
-    have texts of fewer than ``depth`` bytes. Rows that repeat a doc_id share
-    their spans; rows without doc_id are left out.
+    have texts of fewer than ``depth`` bytes. Rows with equal doc_id and text are
+    one document: none repeats the other. Texts that share a doc_id but differ
+    are documents of their own, in order of their hash (mark, 0 where no doc_id
+    repeats). Rows without doc_id are left out.
     """
-    return repeats.spans(repeats.texts(docs), "bytes", depth, seed, "place", block)
+    return spans_of(repeats.texts(docs), depth, seed, block)
+
+
+def spans_of(texts: DataFrame, depth: int, seed: int, block: int = 8) -> DataFrame:
+    return repeats.spans(texts, "bytes", depth, seed, "place", block)
 
 
 def dedup_bytes(docs: DataFrame, depth: int = 100, seed: int = 20) -> DataFrame:
@@ -39,7 +47,7 @@ def dedup_bytes(docs: DataFrame, depth: int = 100, seed: int = 20) -> DataFrame:
     ``repeated_bytes``; an empty table gives no rows.
     """
     texts = repeats.texts(docs)
-    spans = repeats.by_document(repeated_bytes(docs, depth, seed), "lo", "hi")
+    spans = repeats.by_document(spans_of(texts, depth, seed), "lo", "hi")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,4 +66,4 @@ def dedup_bytes(docs: DataFrame, depth: int = 100, seed: int = 20) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names=names)
 
-    return texts.join(spans, "doc_id", "left").mapInArrow(emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return texts.join(spans, ["doc_id", "mark"], "left").mapInArrow(emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -1,9 +1,10 @@
 import hashlib
+import random
 import re
 
 import pytest
 
-from namesmith.llm import substring_dedup, suffix_dedup
+from namesmith.llm import repeats, substring_dedup, suffix_dedup
 
 from .helpers import WORD, corpus, frame
 
@@ -70,8 +71,60 @@ def test_empty_and_repeated_rows(spark):
     none = frame(spark, corpus()).limit(0)
     assert suffix_dedup.dedup_bytes(none).count() == 0
     assert substring_dedup.dedup_words(none).count() == 0
+    assert substring_dedup.maximal_repeats(none).count() == 0
     text = " ".join(f"w{i}" for i in range(60))
     twice = frame(spark, [(1, text), (1, text), (2, text), (None, text)])
     got = sorted(tuple(r)[:3] for r in substring_dedup.dedup_words(twice).collect())
     assert got == [(1, 60, 0), (1, 60, 0), (2, 60, 60)]
-    assert suffix_dedup.dedup_bytes(twice).count() == 3
+    size = len(text)
+    assert sorted(tuple(r)[:4] for r in suffix_dedup.dedup_bytes(twice).collect()) == [(1, size, 0, 0), (1, size, 0, 0), (2, size, size, 1)]
+
+
+def test_repeated_rows_change_nothing(spark):
+    rows = corpus()
+    again = [rows[i] for i in range(0, len(rows), 2)] + [rows[14]] * 5
+    got = suffix_dedup.dedup_bytes(frame(spark, rows + again)).collect()
+    want = bytes_by_hand(rows, 100)
+    assert len(got) == len(rows) + len(again) and all(tuple(r)[1:5] == want[r.doc_id] for r in got)
+    got = substring_dedup.dedup_words(frame(spark, rows + again)).collect()
+    want = words_by_hand(rows, 13)
+    assert len(got) == len(rows) + len(again) and all(tuple(r)[1:4] == want[r.doc_id] for r in got)
+
+
+def test_one_doc_id_with_two_texts(spark):
+    """They are documents of their own: spans of one are not cut from the other, and in bytes only the later one loses what both have."""
+    shared, a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "sab")
+    both = [(3, f"{a} {shared}"), (3, f"{shared} {b}")]
+    words = substring_dedup.dedup_words(frame(spark, [*both, (9, shared)])).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in words) == [(3, 80, 0), (3, 80, 0), (9, 40, 40)]
+    found = {r.n_removed for r in suffix_dedup.dedup_bytes(frame(spark, both)).collect()}
+    assert len(found) == 2 and min(found) == 0 and max(found) >= len(shared)
+
+
+@pytest.mark.parametrize("least", [1, 8])
+def test_hot_seeds(spark, monkeypatch, least):
+    """With every document sampled, seeds that many have are salted; results don't change."""
+    monkeypatch.setattr(repeats, "SAMPLED", 1)
+    monkeypatch.setattr(repeats, "LEAST", least)
+    monkeypatch.setattr(repeats, "SALTS", 3)
+    monkeypatch.setattr(repeats, "HOT", 4000)
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(400)}"
+    notice = "this notice of twenty words is found in every text of the corpus at some place or other and says nothing".split()
+    rows = [(i, " ".join([word() for _ in range(rng.randrange(30))] + notice[: 14 + i % 8] + [word() for _ in range(rng.randrange(30))])) for i in range(120)]
+    rows += [(200 + i, " ".join(notice)) for i in range(40)] + corpus()[:0]
+    texts = repeats.texts(frame(spark, rows))
+    assert repeats.hot_seeds(texts.select("doc_id", "text", "mark"), "words", 13, 4) is not None
+    assert {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.dedup_bytes(frame(spark, rows)).collect()} == bytes_by_hand(rows, 100)
+    assert {r.doc_id: tuple(r)[1:4] for r in substring_dedup.dedup_words(frame(spark, rows)).collect()} == words_by_hand(rows, 13)
+
+
+def test_maximal_repeats(spark):
+    rows = corpus()
+    spans = {}
+    for r in substring_dedup.maximal_repeats(frame(spark, rows)).collect():
+        spans.setdefault(r.doc_id, []).append((r.lo, r.hi))
+    for i, (_, removed, _) in words_by_hand(rows, 13).items():
+        own = sorted(spans.get(i, []))
+        assert sum(b - a for a, b in own) == removed and all(b - a >= 13 for a, b in own)
+        assert all(x[1] < y[0] for x, y in zip(own, own[1:]))
