@@ -1,14 +1,16 @@
 """Best-fit packing of tokenized documents into fixed-length sequences.
 
 A sequence has three capacities: tokens, documents, and attention cost (the
-sum of squared piece lengths). Which piece goes into an open sequence is
-decided by vector best fit over what is left of all three: the smallest
-weighted residual norm after placement, or the largest weighted dot product.
-
-Whole corpora are packed by counting: pieces of one length are alike, so the
-plan is made on a histogram of at most ``size`` lengths and lists patterns
-with multiplicities. Pieces then look their place up by length and rank. The
-plan's size follows ``size``, never the corpus; ranks come from salted counts.
+sum of squared piece lengths). Pieces come longest first, and each goes into
+the open sequence that fits best over what is left of all three: the smallest
+weighted residual norm after placement, or the largest weighted dot product of
+demand and room. What fits nowhere opens a new one.
+
+Whole corpora are packed by counting: pieces of one length are alike, and so
+are sequences with the same room, so the plan is made on a histogram of at most
+``size`` lengths and lists runs of ranks with runs of sequences. Pieces then
+look their place up by length and rank. The plan's size follows ``size``, never
+the corpus; ranks come from salted counts.
 """
 
 from __future__ import annotations
@@ -25,13 +27,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from namesmith.llm import kernels
-from namesmith.llm.repeats import texts
-from namesmith.plans.storage import cut
+from namesmith.plans.storage import cut, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Distinct words whose ids a Python worker keeps; beyond it forgets all and starts anew.
 REMEMBERED = 400_000
 SALTS = 64
+#: Texts by which a vocabulary shows whether words can be tokenized one by one, whatever their case.
+PROBES = [
+    "The cat's hat, isn't it?  Two  spaces\tand a tab\n\nnew paragraph. End", " leading, trailing ", "MiXeD Case WORDS and word Word wORD", "x1 y2z 3.14 1,000 a-b_c d/e f@g.h #tag $5 50% (paren) [br] {cu} \"q\" 'q'",
+    "\u00c9t\u00e9 na\u00efve \u00dcber stra\u00dfe \u017c\u00f3\u0142w", "\u706b\u6c34 \u65e5\u672c\u8a9e text", "don't DON'T we'll WE'LL I'm they've", "a\u00a0b\u200bc\u0301 e\u0301", "\x0bvertical\x0cfeed\rreturn\r\n", "!!! ??? ... --- === ***",
+]
 #: Bytes of text tokenized at once: the more, the more words are equal.
 SLICE = 1 << 20
 
@@ -51,6 +57,8 @@ class WordIds:
     from a letter to an ASCII sign or digit after it, so texts are cut there
     and each distinct piece is tokenized once. Where all bytes are below
     U+0100, lower-casing A-Z first changes nothing and makes more pieces equal.
+    That is a property of some vocabularies: ``PROBES`` are tokenized both ways
+    when one is loaded, and with one that differs whole texts are tokenized.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,6 +68,10 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
+        self.whole = False
+        raw = [p.encode() for p in PROBES]
+        ids, at = self.encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64))
+        self.whole = any(ids[at[i] : at[i + 1]].tolist() != self.tokenizer.encode(p, add_special_tokens=False).ids for i, p in enumerate(PROBES))
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -90,7 +102,7 @@ class WordIds:
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, and where each one's begin."""
         whole = buf.tobytes()
-        if any(s in whole for s in self.special):
+        if self.whole or any(s in whole for s in self.special):
             rows = [self.tokenizer.encode(whole[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
             return np.array([x for r in rows for x in r], np.uint32), np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)]
         folded = kernels.lower_ascii(buf)
@@ -157,45 +169,52 @@ class Capacity:
 def plan(counts: dict[int, int], room: Capacity) -> dict[str, np.ndarray]:
     """Places for ``counts[length]`` pieces of each length, as segments of ranks.
 
-    Bins are filled one at a time: the longest piece left opens a bin, then
-    the best fitting ones follow. The pattern is repeated for as many bins as
-    the counts allow. Each pattern uses up a length or leaves fewer of one than
-    it takes, so the plan has few of them whatever the counts.
+    Sequences with equal room are a group (first number, how many, room). For
+    each length, longest first, the best fitting group takes what it can: its
+    first sequences are filled with as many of the pieces as fit, one gets the
+    rest, the others stay as they are. A length that no group can take opens a
+    group of sequences filled with it. Each step ends a length or a group's use
+    for it, so the plan has few segments whatever the counts.
     """
-    lengths = np.array(sorted(counts), np.int64)
-    left = np.array([counts[x] for x in lengths], np.int64)
-    full = np.array([room.tokens, room.documents, room.attention], float)
+    full = np.array([room.tokens, room.documents, room.attention], np.int64)
     weights = np.array(room.weights)
-    demand = np.stack([lengths, np.ones_like(lengths), lengths * lengths], axis=1) / full
-    if len(lengths) and (demand > 1).any():
-        raise ValueError("a piece exceeds a sequence's capacity")
-    taken = np.zeros(len(lengths), np.int64)
+    begin, many = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left = np.zeros((0, 3), np.int64)
     rows: list[tuple[int, int, int, int, int, int]] = []
     bins = 0
-    while left.any():
-        use = np.zeros(len(lengths), np.int64)
-        first = int(np.flatnonzero(left)[-1])
-        use[first] = 1
-        rest = 1 - demand[first]
-        while True:
-            fits = np.flatnonzero((left > use) & (demand <= rest + 1e-12).all(axis=1))
-            if not len(fits):
-                break
-            if room.rule == "norm":
-                best = fits[np.argmin(((rest - demand[fits]) ** 2 * weights).sum(axis=1))]
+    for length in sorted(counts, reverse=True):
+        need = np.array([length, 1, length * length], np.int64)
+        if (need > full).any():
+            raise ValueError("a piece exceeds a sequence's capacity")
+        rank, todo = 0, counts[length]
+        while todo:
+            fits = np.flatnonzero((left >= need).all(axis=1))
+            if len(fits):
+                if room.rule == "norm":
+                    best = fits[np.argmin((((left[fits] - need) / full) ** 2 * weights).sum(axis=1))]
+                else:
+                    best = fits[np.argmax((left[fits] / full * (need / full) * weights).sum(axis=1))]
+                start, wide, own = int(begin[best]), int(many[best]), left[best].copy()
+                keep = np.arange(len(begin)) != best
+                begin, many, left = begin[keep], many[keep], left[keep]
             else:
-                best = fits[np.argmax((rest * demand[fits] * weights).sum(axis=1))]
-            use[best] += 1
-            rest = rest - demand[best]
-        used = np.flatnonzero(use)
-        times = int((left[used] // use[used]).min())
-        offset = 0
-        for i in used[::-1]:
-            rows.append((int(lengths[i]), int(taken[i]), int(use[i]), bins, offset, times))
-            offset += int(lengths[i] * use[i])
-            taken[i] += use[i] * times
-            left[i] -= use[i] * times
-        bins += times
+                start, wide, own = bins, -(-todo // int((full // need).min())), full.copy()
+                bins += wide
+            uses = int((own // need).min())
+            filled, rest = divmod(min(todo, uses * wide), uses)
+            offset = room.tokens - int(own[0])
+            groups = [(start, filled, own - uses * need), (start + filled, int(rest > 0), own - rest * need), (start + filled + (rest > 0), wide - filled - (rest > 0), own)]
+            if filled:
+                rows.append((length, rank, uses, start, offset, filled))
+            if rest:
+                rows.append((length, rank + filled * uses, rest, start + filled, offset, 1))
+            rank, todo = rank + filled * uses + rest, todo - filled * uses - rest
+            # Sequences without room for a token and a document are closed.
+            groups = [g for g in groups if g[1] and (g[2] > 0).all()]
+            if groups:
+                begin = np.r_[begin, [g[0] for g in groups]]
+                many = np.r_[many, [g[1] for g in groups]]
+                left = np.concatenate([left, [g[2] for g in groups]])
     rows.sort()
     names = ("length", "rank", "uses", "bin", "offset", "times")
     return {k: np.array([r[i] for r in rows], np.int64) for i, k in enumerate(names)}
@@ -218,7 +237,8 @@ def pack(docs: DataFrame, vocabulary: str, room: Capacity = Capacity(), end: int
     alone. Repeated rows are packed as often as they come; rows without doc_id
     are left out; an empty table gives no rows.
     """
-    found = cut(pieces(texts(docs), vocabulary, room.tokens, end, with_ids), "pieces")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
+    found = cut(pieces(rows, vocabulary, room.tokens, end, with_ids), "pieces")
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     segments = plan(counts, room)
     kinds = PIECES + (", ids array<long>" if with_ids else "") + ", sequence_id long, offset long"

@@ -95,6 +95,50 @@ def test_plan_uses_every_piece():
     assert len(plan["length"]) < 5000
 
 
+def best_fit_by_hand(lengths, room):
+    """Piece by piece, longest first, into the best of all open sequences."""
+    full, bins = np.array([room.tokens, room.documents, room.attention]), []
+    for x in sorted(lengths, reverse=True):
+        need = np.array([x, 1, x * x])
+        fits = [b for b in bins if (b[0] >= need).all()]
+        if room.rule == "norm":
+            best = min(fits, key=lambda b: ((((b[0] - need) / full) ** 2) * room.weights).sum(), default=None)
+        else:
+            best = max(fits, key=lambda b: (b[0] / full * (need / full) * room.weights).sum(), default=None)
+        if best is None:
+            bins.append(best := [full.copy(), []])
+        best[0] = best[0] - need
+        best[1].append(x)
+    return sorted(tuple(b[1]) for b in bins)
+
+
+@pytest.mark.parametrize("room", [packing.Capacity(64, 5, 1600, (1.0, 1.0, 1.0)), packing.Capacity(100, 100, 10_000), packing.Capacity(64, 4, 2000, (1.0, 0.5, 2.0))])
+def test_plan_is_best_fit(room):
+    """With capacities that bind, and counted by groups, sequences are those of piece-by-piece best fit."""
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 60, 300):
+        lengths = rng.integers(1, 41, n).tolist()
+        counts = {int(x): lengths.count(x) for x in set(lengths)}
+        p, bins = packing.plan(counts, room), {}
+        for i in range(len(p["length"])):
+            for b in range(int(p["times"][i])):
+                bins.setdefault(int(p["bin"][i]) + b, []).extend([int(p["length"][i])] * int(p["uses"][i]))
+        assert sorted(tuple(sorted(v, reverse=True)) for v in bins.values()) == best_fit_by_hand(lengths, room)
+
+
+def test_other_vocabularies(spark):
+    """Where words can't be tokenized one by one, whole texts are."""
+    texts = [t for _, t in corpus() if t] + ["Two  spaces\n\nand THIS."]
+    raw = [t.encode() for t in texts]
+    offs = np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    words, plain = packing.WordIds(other), Tokenizer.from_file(other)
+    assert words.whole and not packing.WordIds(PATH).whole
+    ids, at = words.encode(np.frombuffer(b"".join(raw), np.uint8), offs)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_empty_and_repeated_rows(spark):
     assert packing.pack(frame(spark, corpus()).limit(0), PATH).count() == 0
     got = packing.pack(frame(spark, [(1, None), (1, None), (2, ""), (None, "a")]), PATH).collect()
