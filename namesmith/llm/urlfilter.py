@@ -6,8 +6,13 @@ wrongly accepts, and so on until no key is wrong. A key of that corpus is
 listed if and only if the number of levels that accept it in a row is odd, so
 membership is exact and probing needs no join with the list.
 
-A filter holds at most ``SHARD`` keys; longer lists are split by a hash of the
-key into shards, each with a cascade of its own.
+A filter holds about ``SHARD`` keys; longer lists are split by a hash of the key
+into shards, each with a cascade of its own. Filters of a measured size go to
+all tasks, larger ones are dealt by shard and, as one key may have many pages,
+by a salt.
+
+A listed domain covers its subdomains: a host's keys are its last labels, as
+many as any listed domain has.
 """
 
 from __future__ import annotations
@@ -17,8 +22,8 @@ from pyspark.sql import functions as F
 
 from namesmith.plans.storage import cut
 
-#: Keys in one filter, bits for each, hash functions, and bytes of all filters that may be broadcast.
-SHARD, BITS, HASHES, BROADCAST = 1_000_000, 10, 6, 64 << 20
+#: Keys in one filter, bits for each, hash functions, bytes of all filters that may be broadcast, and copies of filters that are dealt.
+SHARD, BITS, HASHES, BROADCAST, SALTS = 1 << 15, 10, 6, 64 << 20, 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,10 +50,11 @@ def bit_filter(keys: DataFrame, level: int) -> DataFrame:
     """One row per shard: bits as an array of longs."""
     sized = keys.groupBy("shard").agg(F.ceil(F.count("*") * BITS / 64).cast("long").alias("words"))
     bits = keys.join(sized, "shard").select("shard", "words", F.explode(positions(F.col("key"), F.lit(level), F.col("words") * 64)).alias("bit"))
-    words = bits.groupBy("shard", "words", F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
-    whole = words.groupBy("shard", "words").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("set"))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.col("words") - 1), lambda w: F.coalesce(F.element_at("set", w), F.lit(0).cast("long")))
-    return whole.select("shard", F.lit(level).alias("level"), dense.alias("bits"))
+    own = bits.select("shard", F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("bits"))
+    blank = sized.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("words") - 1)).alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = own.union(blank).groupBy("shard", "word").agg(F.expr("bit_or(bits)").alias("bits"))
+    whole = words.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("w"))
+    return whole.select("shard", F.lit(level).alias("level"), F.transform("w", lambda x: x["bits"]).alias("bits"))
 
 
 def accepts(key: Column, level: Column, bits: Column) -> Column:
@@ -100,18 +106,37 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return name, verdict
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], labels: int = 3) -> DataFrame:
-    """page_id, host, path, rule, verdict: a fitting rule's, else block for listed keys and allow for others.
+def host_keys(host: Column, depths: list[int]) -> Column:
+    """The host's last labels, for each of the depths that it reaches."""
+    return F.array_compact(F.array(*(F.when(F.size(F.split(host, r"\.")) >= d, F.substring_index(host, ".", -d)) for d in depths)))
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """page_id, host, path, rule, verdict: a fitting rule's, else block if a listed domain is the host or above it, else allow.
 
-    A page's key is the last ``labels`` labels of its host. Null urls and urls
-    without ``://`` have empty host and path, fit no rule, and are allowed.
+    Listed domains (column key) may have any number of labels. Null urls and
+    urls without ``://`` have empty host and path, fit no rule, and are allowed.
     Every row of pages gives one row.
     """
     host, path = host_and_path(F.col("url"))
-    seen = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("key", F.substring_index("host", ".", -labels))
-    filters, shards = cascade(listed, seen)
-    filters = cut(filters, "cascade")
-    room = filters.select(F.expr("coalesce(sum(aggregate(levels, 0L, (a, x) -> a + 8L * size(x.bits))), 0L)").alias("n")).first()["n"]
+    seen = pages.select("page_id", host.alias("host"), path.alias("path"))
+    # Labels in a domain: 127 at most.
+    depths = sorted(r["d"] for r in listed.where("key is not null").select(F.size(F.split("key", r"\.")).alias("d")).distinct().collect())
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    met = seen.withColumn("shard", shard(F.col("key"), shards)).join(F.broadcast(filters) if room <= BROADCAST else filters, "shard", "left")
-    return met.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(member(F.col("key"), F.col("levels")), "block").otherwise("allow")).alias("verdict"))
+    blocked = F.lit(False)
+    if depths:
+        filters, shards = cascade(listed, seen.select("host").distinct().select(F.explode(host_keys(F.col("host"), depths)).alias("key")))
+        filters = cut(filters, "cascade")
+        room = filters.select(F.expr("coalesce(sum(aggregate(levels, 0L, (a, x) -> a + 8L * size(x.bits))), 0L)").alias("n")).first()["n"]
+        for d in depths:
+            key = F.when(F.size(F.split("host", r"\.")) >= d, F.substring_index("host", ".", -d))
+            dealt = seen.withColumn("key", key).withColumn("shard", shard(F.col("key"), shards))
+            if room <= BROADCAST:
+                met = dealt.join(F.broadcast(filters), "shard", "left")
+            else:
+                copies = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+                met = dealt.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(copies, ["shard", "salt"], "left")
+            listed_here = F.when(F.col("key").isNotNull(), member(F.col("key"), F.col("levels"))).otherwise(False)
+            seen = met.withColumn(f"listed{d}", listed_here).drop("key", "shard", "salt", "levels")
+            blocked = blocked | F.col(f"listed{d}")
+    return seen.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(blocked, "block").otherwise("allow")).alias("verdict"))

@@ -1,6 +1,8 @@
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from namesmith.llm import urlfilter
 from namesmith.llm.queries import RULES
@@ -47,6 +49,24 @@ def test_shards(spark, monkeypatch):
     assert got == set(hosts[::3])
 
 
+def test_domains_of_any_depth(spark):
+    listed = ["bad.org", "worse.site.co.uk", "com", "x"]
+    hosts = {"bad.org": 1, "www.bad.org": 1, "notbad.org": 0, "worse.site.co.uk": 1, "a.b.worse.site.co.uk": 1, "site.co.uk": 0, "shop.com": 1, "org": 0, "x": 1, "": 0}
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r.host: r.verdict == "block" for r in urlfilter.judge(pages, spark.createDataFrame([(x,) for x in listed], "key string"), []).collect()}
+    assert got == {h: bool(v) for h, v in hosts.items()}
+
+
+def test_a_million_keys(spark):
+    """A filter's bits are put together in time that follows the list; every page of the corpus is told right."""
+    listed = spark.range(1_000_000).select(F.concat(F.lit("h"), (F.col("id") * 3).cast("string"), F.lit(".host.org")).alias("key"))
+    pages = spark.range(60_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), (F.col("id") * 50).cast("string"), F.lit(".host.org/")).alias("url"))
+    began = time.time()
+    got = urlfilter.judge(pages, listed, []).select(F.sum(((F.col("page_id") * 50 % 3 == 0) == (F.col("verdict") == "block")).cast("int")).alias("right")).first()
+    assert got.right == 60_000
+    assert time.time() - began < 90
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.b.c/"), (1, "http://a.b.c/")], "page_id long, url string")
     none = spark.createDataFrame([], "key string")
