@@ -2,9 +2,13 @@
 
 Two histograms of a document, of character classes and of common words, are
 compared with language references by Jensen-Shannon distance. References are
-sums over the whole corpus: of each language, its most frequent short words,
-and the shares of all character classes. Texts too short for a histogram to
-mean anything pass. Repetition rules come first.
+sums over the whole corpus: of each language, its most
+frequent words, and the shares of all character classes. Texts too short for a
+histogram to mean anything pass. Repetition rules come first.
+
+A document's common words are counted once and compared with all references in
+one expression, over the words that it has: neither plan nor work grows with
+languages times vocabulary.
 """
 
 from __future__ import annotations
@@ -15,7 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from namesmith.plans.storage import cut
+from namesmith.functions.vectors import bag
+from namesmith.plans.storage import cut, remove
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Fixed classes of characters; what is in none counts as lower case or other.
@@ -38,7 +43,6 @@ class Limits:
     classes: float = 0.25
     common: float = 0.45
     top: int = 20
-    short: int = 4
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -74,8 +78,12 @@ def repeated_words(words: Column, n: int) -> Column:
         bits = F.ceil(F.log2(F.size(h) + 1.0)).cast("int")
 
         def neighbours(x: Column) -> Column:
-            """x: the bits, and the packed longs in order."""
-            pairs = F.zip_with(F.slice(x["s"], F.lit(1), F.size(x["s"]) - 1), F.slice(x["s"], F.lit(2), F.size(x["s"]) - 1), lambda a, b: F.when(apart(a, b, x["b"]) == 0, F.array(place(a, x["b"]), place(b, x["b"]))))
+            """x: the bits, and the packed longs in order. The packed bits propose, whole hashes decide."""
+
+            def equal(a: Column, b: Column) -> Column:
+                return F.when((apart(a, b, x["b"]) == 0) & (F.get(h, place(a, x["b"])) == F.get(h, place(b, x["b"]))), F.array(place(a, x["b"]), place(b, x["b"])))
+
+            pairs = F.zip_with(F.slice(x["s"], F.lit(1), F.size(x["s"]) - 1), F.slice(x["s"], F.lit(2), F.size(x["s"]) - 1), equal)
             return F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs))))
 
         packed = let(F.struct(bits.alias("b"), h.alias("h")), lambda x: F.struct(x["b"].alias("b"), F.sort_array(F.transform(x["h"], lambda v, i: joined(v, i, x["b"]))).alias("s")))
@@ -89,9 +97,9 @@ def repeated_words(words: Column, n: int) -> Column:
 
 
 def measures(docs: DataFrame, limits: Limits) -> DataFrame:
-    """doc_id, lang, text, words and the base figures."""
+    """doc_id, text, words and the base figures."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    seen = docs.select(F.col("doc_id").cast("long"), "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", words(F.col("text")))
+    seen = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("words", words(F.col("text")))
     return seen.select(
         "*",
         F.size("words").cast("long").alias("n_words"),
@@ -102,35 +110,41 @@ def measures(docs: DataFrame, limits: Limits) -> DataFrame:
     )
 
 
-def class_counts(text: Column, symbols: Column, word_chars: Column) -> list[Column]:
-    """Characters of each class, and spaces."""
-    found = [symbols.cast("double") if k == "symbol" else F.regexp_count(text, F.lit(x)).cast("double") for k, x in CLASSES.items()]
-    return [*found, (F.length(text) - word_chars).cast("double")]
+def class_counts(text: Column, word_chars: Column) -> list[Column]:
+    """Characters of each class, and spaces. What is not of a class is deleted in runs, which is faster than to count."""
+    outside = lambda x: x.replace("[^", "[") if x.startswith("[^") else x.replace("[", "[^", 1)
+    found = [F.length(F.regexp_replace(text, outside(x) + "+", "")) for x in CLASSES.values()]
+    return [x.cast("double") for x in (*found, F.length(text) - word_chars)]
 
 
-def references(docs: DataFrame, limits: Limits) -> tuple[list[str], dict[str, list[float]], dict[str, list[float]]]:
-    """Common words of all languages, each language's shares of them (and the rest), and of character classes.
+@dataclass(frozen=True)
+class References:
+    """The common words of all languages; of each language, its shares of them and of all character classes."""
 
-    Only ``top`` words and the class sums of each language reach the driver.
-    """
+    vocabulary: list[str]
+    common: list[list[float]]
+    classes: list[list[float]]
+
+
+def references(docs: DataFrame, limits: Limits) -> References:
+    """Sums over all documents with text and lang; ``top`` words and the class sums of each language reach the driver."""
     own = docs.where("lang is not null and text is not null").select("lang", "text")
-    named = own.select("lang", F.explode(words(F.lower("text"))).alias("word"))
-    # Longer words are counted as one, for the total.
-    counts = cut(named.groupBy("lang", F.when(F.length("word") <= limits.short, F.col("word")).alias("word")).agg(F.count("*").alias("n")), "words")
+    counts = cut(own.select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counts.where("word is not null").withColumn("r", F.row_number().over(order)).where(F.col("r") <= limits.top).select("lang", "word", "n").collect()
-    parts = [*(F.regexp_count("text", F.lit(x)) for x in CLASSES.values()), F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))]
-    sized = own.select("lang", F.length("text").alias("size"), *(x.cast("double").alias(f"c{i}") for i, x in enumerate(parts)))
-    sums = sized.groupBy("lang").agg(F.sum("size").alias("size"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(len(parts)))).collect()
+    top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limits.top).select("lang", "word", "n").collect()
+    remove(counts)
+    kinds = [f"c{i}" for i in range(len(CLASSES) + 1)]
+    sized = own.select("lang", F.length("text").alias("size"), *(x.alias(k) for k, x in zip(kinds, class_counts(F.col("text"), F.length(F.regexp_replace("text", SPACES, ""))), strict=True)))
+    sums = {r["lang"]: r for r in sized.groupBy("lang").agg(F.sum("size").alias("size"), *(F.sum(k).alias(k) for k in kinds)).collect()}
     vocabulary = sorted({r["word"] for r in top})
-    common, classes = {}, {}
-    for r in sorted(sums, key=lambda r: r["lang"]):
-        if r["size"] and totals.get(r["lang"]):
-            found = {x["word"]: x["n"] for x in top if x["lang"] == r["lang"]}
-            common[r["lang"]] = shares([float(found.get(w, 0)) for w in vocabulary], float(totals[r["lang"]]))
-            classes[r["lang"]] = shares([r[f"c{i}"] for i in range(len(parts))], float(r["size"]))
-    return vocabulary, common, classes
+    out = References(vocabulary, [], [])
+    for lang, r in sorted(sums.items()):
+        if r["size"] and totals.get(lang):
+            found = {x["word"]: x["n"] for x in top if x["lang"] == lang}
+            out.common.append(shares([float(found.get(w, 0)) for w in vocabulary], float(totals[lang])))
+            out.classes.append(shares([r[k] for k in kinds], float(r["size"])))
+    return out
 
 
 def shares(counts: list[float], total: float) -> list[float]:
@@ -138,38 +152,61 @@ def shares(counts: list[float], total: float) -> list[float]:
     return [x / total for x in counts] + [max(0.0, 1 - sum(counts) / total)]
 
 
-def divergence(shares: Column, reference: list[float]) -> Column:
+def literal(rows: list[list[float]]) -> Column:
+    return F.array(*(F.array(*map(F.lit, r)) for r in rows))
+
+
+def term(p: Column, q: Column) -> Column:
+    """What one entry adds to twice the divergence."""
+    return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0) + F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(0.0)
+
+
+def total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+
+def distance(twice: Column) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1)."""
-    half = F.zip_with(
-        shares,
-        F.array(*(F.lit(x) for x in reference)),
-        lambda p, q: F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0) + F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(0.0),
-    )
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(half, F.lit(0.0), lambda a, x: a + x) / 2))
+    return F.sqrt(F.greatest(F.lit(0.0), twice / 2))
+
+
+def nearest_classes(text: Column, word_chars: Column, refs: References) -> Column:
+    """Least distance of the text's character classes to a language's."""
+    counted = let(F.array(*class_counts(text, word_chars)), lambda c: F.transform(c, lambda x: x / F.length(text)))
+    own = let(counted, lambda p: F.concat(p, F.array(F.greatest(F.lit(0.0), 1 - total(p)))))
+    return let(own, lambda p: F.array_min(F.transform(literal(refs.classes), lambda q: distance(total(F.zip_with(p, q, term))))))
+
+
+def nearest_words(words: Column, refs: References) -> Column:
+    """Least distance of the text's common words to a language's: entries that the text lacks add their share."""
+    size = len(refs.vocabulary)
+    listed = F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(refs.vocabulary))
+    places = F.array(*map(F.lit, refs.vocabulary))
+    found = F.transform(F.map_entries(bag(listed)), lambda e: F.struct((F.array_position(places, e["key"]) - 1).cast("int").alias("i"), (e["value"] / F.size(words)).alias("p")))
+
+    def apart(x: Column, q: Column) -> Column:
+        met = total(F.transform(x, lambda e: term(e["p"], F.get(q, e["i"])) - F.get(q, e["i"])))
+        rest = F.greatest(F.lit(0.0), 1 - total(F.transform(x, lambda e: e["p"])))
+        return distance(met + 1 - F.get(q, F.lit(size)) + term(rest, F.get(q, F.lit(size))))
+
+    return let(found, lambda x: F.array_min(F.transform(literal(refs.common), lambda q: apart(x, q))))
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
 
     base_failed: too few words, or too many in repeated windows. Others are
-    kept unless one of their distances to the nearest language exceeds its
-    limit; texts under the guard, and all where no language has a reference,
-    are kept. Distances are null where not judged. Null texts have no words.
-    Rows repeat as they come.
+    kept unless one of their distances to the nearest language (rounded to six
+    places) exceeds its limit; texts under the guard, and all where no language
+    has a reference or docs have no lang, are kept. Distances are null where not
+    judged. Null texts have no words. Rows repeat as they come.
     """
-    vocabulary, common, classes = references(docs, limits)
+    refs = references(docs, limits) if "lang" in docs.columns else References([], [], [])
     seen = measures(docs, limits)
     base = (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.most_repeated * F.col("n_words"))
     judged = ~base & (F.col("n_words") >= limits.guard)
-    if common:
-        listed = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(vocabulary))
-        joined = F.concat(F.lit(" "), F.array_join(listed, "  "), F.lit(" "))
-        count = lambda j, w: (F.octet_length(j) - F.octet_length(F.replace(j, F.lit(f" {w} "), F.lit("")))) / F.octet_length(F.lit(f" {w} "))
-        word_shares = let(joined, lambda j: F.array(*(count(j, w) / F.col("n_words") for w in vocabulary)))
-        class_shares = F.array(*(x / F.length("text") for x in class_counts(F.col("text"), F.col("n_symbols"), F.col("word_chars"))))
-        whole = lambda a: F.concat(a, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(a, F.lit(0.0), lambda s, x: s + x))))
-        nearest = lambda a, refs: let(let(a, whole), lambda h: F.least(*(divergence(h, r) for r in refs), F.lit(1.0)))
-        near_class, near_word = nearest(class_shares, classes.values()), nearest(word_shares, common.values())
+    if refs.common:
+        near_class, near_word = F.round(nearest_classes(F.col("text"), F.col("word_chars"), refs), 6), F.round(nearest_words(F.col("words"), refs), 6)
     else:
         near_class = near_word = F.lit(None).cast("double")
     out = seen.withColumn("base_failed", base).withColumn("class_distance", F.when(judged, near_class)).withColumn("word_distance", F.when(judged, near_word))

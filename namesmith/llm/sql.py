@@ -35,6 +35,35 @@ m AS (SELECT node, min(other) AS least FROM c GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id, d.doc_id <= coalesce(least, d.doc_id) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON node = d.doc_id"""
 
 
+QUALITY = r"""WITH d AS (SELECT doc_id, lang, text IS NULL AS absent, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, pos, CASE WHEN pos + 4 <= len(w) THEN array_to_string(w[pos:pos + 4], ' ') END AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d)),
+f AS (SELECT doc_id, pos, x IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, x) > 1 AS twice FROM p),
+h AS (SELECT doc_id, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit FROM f),
+r AS (SELECT doc_id, count(*) FILTER (WHERE hit) AS n FROM h GROUP BY 1),
+b AS (SELECT d.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+ list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+k(i, sign) AS (VALUES (0, '[^A-Z]'), (1, '[^0-9]'), (2, '[^.,;:!?''\x22()\x2D]'), (3, '[^#*$%&|<>]'), (4, '[\x00-\x7F]'), (5, '[^\x20\x09-\x0D]')),
+c AS (SELECT doc_id, lang, absent, i, length(regexp_replace(t, sign, '', 'g')) AS n, length(t) AS size FROM d, k),
+cs AS (SELECT lang, i, sum(n) / sum(size) AS q FROM c WHERE lang IS NOT NULL AND NOT absent GROUP BY 1, 2 HAVING sum(size) > 0),
+cq AS (SELECT lang, i, q FROM cs UNION ALL SELECT lang, 6, greatest(0, 1 - sum(q)) FROM cs GROUP BY 1),
+cp AS (SELECT doc_id, i, n / size AS p FROM c WHERE size > 0 UNION ALL SELECT doc_id, 6, greatest(0, 1 - sum(n / size)) FROM c WHERE size > 0 GROUP BY 1),
+v AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+')) AS word FROM d WHERE lang IS NOT NULL AND NOT absent) GROUP BY 1, 2),
+tot AS (SELECT lang, sum(n) AS n FROM v GROUP BY 1),
+top AS (SELECT lang, word, n FROM v QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 20),
+voc AS (SELECT DISTINCT word FROM top),
+ws AS (SELECT tot.lang, voc.word, coalesce(top.n, 0) / tot.n AS q FROM tot CROSS JOIN voc LEFT JOIN top ON top.lang = tot.lang AND top.word = voc.word),
+wq AS (SELECT lang, word, q FROM ws UNION ALL SELECT lang, '', greatest(0, 1 - sum(q)) FROM ws GROUP BY 1),
+dw AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(w, lambda x: lower(x))) AS word FROM d) JOIN voc USING (word) GROUP BY 1, 2),
+ds AS (SELECT b.doc_id, voc.word, coalesce(dw.n, 0) / n_words AS p FROM b CROSS JOIN voc LEFT JOIN dw ON dw.doc_id = b.doc_id AND dw.word = voc.word WHERE n_words >= 50),
+wp AS (SELECT doc_id, word, p FROM ds UNION ALL SELECT doc_id, '', greatest(0, 1 - sum(p)) FROM ds GROUP BY 1),
+cd AS (SELECT doc_id, min(x) AS x FROM (SELECT doc_id, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS x FROM cp JOIN cq USING (i) GROUP BY 1, 2) GROUP BY 1),
+wd AS (SELECT doc_id, min(x) AS x FROM (SELECT doc_id, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS x FROM wp JOIN wq USING (word) GROUP BY 1, 2) GROUP BY 1),
+j AS (SELECT b.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN n_words >= 50 AND NOT (100 * n_repeat_words > 20 * n_words) THEN round(cd.x, 6) END AS class_distance, CASE WHEN NOT (100 * n_repeat_words > 20 * n_words) THEN round(wd.x, 6) END AS word_distance
+ FROM b LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
+ NOT base_failed AND coalesce(class_distance, 0) <= 0.25 AND coalesce(word_distance, 0) <= 0.45 AS kept FROM j"""
+
+
 def urls(rules: list[tuple[str, str]], listed: list[str]) -> str:
     """Longest rule first, else the list."""
     fits = [(f"((host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}'))", r, a) for a, r in sorted(rules, key=lambda x: -len(x[1]))]
