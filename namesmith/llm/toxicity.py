@@ -3,15 +3,19 @@
 1. Voters. Lexicon voters fire on words of a fixed English list; induced voters
    on words and word beginnings that mark toxic training documents; pattern
    voters on shouting, on repeated signs, and on the absence of any marked word.
-2. Label model. A generative model gives each voter a rate of firing on toxic
-   and on clean documents, fitted by expectation maximisation with the known
-   labels as one more, imperfect voter. Voters that fire together beyond what
-   the class explains share their weight.
+2. Label model. A generative model of the votes, fitted by expectation
+   maximisation on labelled and unlabelled documents alike, without their
+   labels: how often each voter fires on toxic and on clean documents, and for
+   each voter at most one other on which it depends, with the rates for both
+   states of that one. Which depend on each other is estimated too: the
+   strongest tree of dependences that the class doesn't explain.
 3. Classifier. A logistic regression on damped voter counts is fitted to the
-   posterior labels and scores every document.
+   posterior labels and scores every document. Where a label is known it is one
+   more piece of evidence for the posterior, after the model is fitted.
 
-Learning takes at most ``Training.documents`` labelled documents, chosen by a
-hash of their ids, one of each group of near copies; scoring reads whole texts.
+Learning takes at most ``Training.documents`` labelled and as many other
+documents, chosen by a hash of their ids, one of those with equal text; scoring
+reads whole texts.
 """
 
 from __future__ import annotations
@@ -48,15 +52,21 @@ LETTERS[128:] = True
 class Training:
     """Bounds and thresholds of learning."""
 
-    documents: int = 20_000
+    documents: int = 8_000
     voters: int = 400
     #: An induced voter fires on this share of toxic documents at least, on five at least, and so much more often than on clean ones.
     support: float = 0.01
     least: int = 5
     lift: float = 20.0
     rounds: int = 30
-    trust: float = 0.97
+    #: Dependences weaker than this (nats) are left out.
+    dependence: float = 0.002
     ridge: float = 0.1
+    #: How far a known label is trusted, and the largest logit that votes alone may give against it.
+    trust: float = 0.999
+    sure: float = 5.0
+    #: How much a document without a label counts for the classifier.
+    unlabelled: float = 0.05
 
 
 def folded(buf: np.ndarray) -> np.ndarray:
@@ -123,26 +133,18 @@ def tabled(voters: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """At most about ``bound`` labelled documents by hash of id, one per least word hash (near copies mostly share it)."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            least = []
-            for _, buf, offs in kernels.slices(*kernels.utf8(batch.column("text"))):
-                _, n, doc, whole = word_marks(buf, offs)
-                first = np.zeros(len(offs) - 1, np.uint64)
-                if n:
-                    present = np.unique(doc)
-                    first[present] = np.minimum.reduceat(whole, np.searchsorted(doc, present))
-                least.append(first)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), kernels.signed(np.concatenate(least)) if least else pa.array([], pa.int64())], names=["doc_id", "toxic", "least"])
+    """doc_id, text, toxic: about ``bound`` labelled and as many other documents (toxic null) by hash of id, one of those with equal text.
 
+    Both choices are bounded, so ids go to the texts and texts aren't shuffled.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    share = min(1.0, 2.0 * bound / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = small_batches(docs).select(F.col("doc_id").cast("long"), "text").where("text is not null").join(chosen, "doc_id")
-    one = rows.select("doc_id", "text", "toxic").mapInArrow(emit, "doc_id long, toxic int, least long").groupBy("least", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    return rows.select("doc_id", "text").join(one.orderBy(F.xxhash64("doc_id")).limit(bound).select("doc_id", "toxic"), "doc_id")
+    part = lambda share, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000)
+    chosen = cut(known.where(part(1.1 * bound / max(1, known.count()), "labelled")).orderBy(F.xxhash64("doc_id")).limit(bound), "chosen")
+    own = small_batches(docs).select(F.col("doc_id").cast("long"), "text").where("text is not null")
+    others = own.where(part(bound / max(1, own.count()), "others")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    rows = own.join(F.broadcast(chosen), "doc_id").unionByName(others.withColumn("toxic", F.lit(None).cast("int")))
+    first = rows.groupBy(F.xxhash64("text")).agg(F.min(F.struct(F.col("toxic").isNull().alias("none"), "doc_id", "toxic", "text")).alias("r"))
+    return first.select("r.doc_id", "r.text", "r.toxic")
 
 
 def induce(rows: DataFrame, how: Training) -> np.ndarray:
@@ -163,6 +165,7 @@ def induce(rows: DataFrame, how: Training) -> np.ndarray:
                     bad = np.add.reduceat((toxic[first + own] == 1).astype(np.int64), at)
                     yield pa.RecordBatch.from_arrays([kernels.signed(found), pa.array(bad), pa.array(np.diff(np.r_[at, len(own)]) - bad)], names=["mark", "bad", "good"])
 
+    rows = rows.where("toxic is not null")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad:
@@ -174,34 +177,92 @@ def induce(rows: DataFrame, how: Training) -> np.ndarray:
     return np.array([r["mark"] for r in top], np.int64).view(np.uint64)
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, how: Training) -> np.ndarray:
-    """Posterior that each document is toxic, from binary votes and imperfect labels."""
-    post = np.where(labels == 1, how.trust, 1 - how.trust)
-    known = np.log(how.trust / (1 - how.trust)) * np.where(labels == 1, 1, -1)
-    share = np.ones(votes.shape[1])
-    for _ in range(how.rounds):
-        yes, no = post.sum() + 2, (1 - post).sum() + 2
-        on, off = np.clip((post @ votes + 1) / yes, 1e-4, 1 - 1e-4), np.clip(((1 - post) @ votes + 1) / no, 1e-4, 1 - 1e-4)
-        # What correlates beyond the class counts once among its companions.
-        left = votes - np.outer(post, on) - np.outer(1 - post, off)
-        spread = np.sqrt((left**2).sum(axis=0)) + 1e-9
-        share = 1 / np.maximum(1, np.clip((left.T @ left) / np.outer(spread, spread), 0, 1).sum(axis=1))
-        score = np.log(yes / no) + votes @ (share * np.log(on / off)) + (1 - votes) @ (share * np.log((1 - on) / (1 - off))) + known
-        new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if np.abs(new - post).max() < 1e-4:
-            return new
-        post = new
+def dependences(votes: np.ndarray, post: np.ndarray, least: float) -> np.ndarray:
+    """Each voter's parent (-1 for none): the forest of greatest mutual information given the class."""
+    k, n = votes.shape[1], len(votes)
+    info = np.zeros((k, k))
+    for w in (post, 1 - post):
+        both = (votes * w[:, None]).T @ votes + 0.25
+        one, total = np.diag(both).copy(), w.sum() + 1
+        for a in (0, 1):
+            for b in (0, 1):
+                cell = both if a and b else one[:, None] - both if a else one[None, :] - both if b else total - one[:, None] - one[None, :] + both
+                pa, pb = (one if a else total - one)[:, None], (one if b else total - one)[None, :]
+                cell = np.maximum(cell, 1e-6)
+                info += cell / n * np.log(cell * total / (pa * pb))
+    info[np.tril_indices(k)] = 0
+    tree, near = list(range(k)), [[] for _ in range(k)]
+
+    def top(i: int) -> int:
+        while tree[i] != i:
+            tree[i] = tree[tree[i]]
+            i = tree[i]
+        return i
+
+    for flat in np.argsort(-info, axis=None)[: np.count_nonzero(info > least)].tolist():
+        i, j = divmod(flat, k)
+        if top(i) != top(j):
+            tree[top(i)] = top(j)
+            near[i].append(j)
+            near[j].append(i)
+    parent, seen = np.full(k, -1), np.zeros(k, bool)
+    for root in range(k):
+        todo = [] if seen[root] else [root]
+        seen[root] = True
+        while todo:
+            i = todo.pop()
+            for j in near[i]:
+                if not seen[j]:
+                    seen[j], parent[j] = True, i
+                    todo.append(j)
+    return parent
+
+
+def label_model(votes: np.ndarray, signs: np.ndarray, how: Training) -> np.ndarray:
+    """Posterior that each document is toxic, from binary votes alone.
+
+    signs: 1 for voters that speak for toxic, -1 for those against, 0 for those
+    that may do either. Such a voter's rates keep that order; it is all that
+    tells the two classes apart.
+    """
+    speak = (votes * (signs > 0)).sum(axis=1)
+    post = np.clip(0.25 * speak + 0.01, 0.01, 0.99)
+    parent = np.full(votes.shape[1], -1)
+    for step in range(2 * how.rounds):
+        if step == how.rounds:
+            parent = dependences(votes, post, how.dependence)
+        given = votes[:, parent] * (parent >= 0)
+        joint = votes * given
+        logs = []
+        rates = []
+        for w in (post, 1 - post):
+            fires, with_parent, together, total = w @ votes, w @ given, w @ joint, w.sum()
+            rates.append([(fires - together + 0.5) / (total - with_parent + 1), (together + 0.5) / (with_parent + 1)])
+        (bad0, bad1), (good0, good1) = rates
+        for bad, good in ((bad0, good0), (bad1, good1)):
+            wrong = (signs != 0) & ((bad - good) * signs < 0)
+            bad[wrong] = good[wrong] = (bad[wrong] + good[wrong]) / 2
+        for r0, r1 in ((bad0, bad1), (good0, good1)):
+            r0, r1 = np.clip(r0, 1e-5, 1 - 1e-5), np.clip(r1, 1e-5, 1 - 1e-5)
+            y0, n0, y1, n1 = np.log(r0), np.log(1 - r0), np.log(r1), np.log(1 - r1)
+            logs.append(joint @ (y1 - y0 - n1 + n0) + votes @ (y0 - n0) + given @ (n1 - n0) + n0.sum())
+        share = np.clip(post.mean(), 1e-4, 0.5)
+        new = 1 / (1 + np.exp(-np.clip(logs[0] - logs[1] + np.log(share / (1 - share)), -30, 30)))
+        done, post = np.abs(new - post).max() < 1e-4, new
+        if done and step >= how.rounds:
+            break
     return post
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 50) -> np.ndarray:
-    """Weights, the intercept last, by damped Newton steps."""
-    x = np.c_[x, np.ones(len(x))]
+def logistic(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float, steps: int = 50) -> np.ndarray:
+    """Weights, the intercept last, by damped Newton steps; ``count`` says how much each row counts."""
+    x = np.c_[x, np.ones(len(x))].astype(np.float32)
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        curve = ((x * (count * p * (1 - p) + 1e-6).astype(np.float32)[:, None]).T @ x).astype(float)
+        step = np.linalg.solve(curve + np.diag(penalty), x.T @ (count * (p - y)) + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -247,10 +308,14 @@ def fit(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model
     x = np.zeros((len(got), len(voters)), np.float32)
     for i, (v, t) in enumerate(zip(got["voters"], got["times"], strict=True)):
         x[i, v] = t
-    dense, y = np.stack(got["dense"].to_list()), got["toxic"].to_numpy()
+    dense = np.stack(got["dense"].to_list()).astype(np.float32)
     votes = np.c_[x > 0, dense[:, :1] == 0, dense[:, 2] > 0.3, dense[:, 3] > 0].astype(np.float32)
+    signs = np.r_[np.ones(len(voters)), -1, 0, 0]
     used = votes.any(axis=0)
-    return Model(voters, logistic(np.c_[x, dense], label_model(votes[:, used], y, how), how.ridge))
+    post = np.clip(label_model(votes[:, used], signs[used], how), 1e-9, 1 - 1e-9)
+    label = np.log(how.trust / (1 - how.trust)) * (2 * got["toxic"].fillna(0.5).to_numpy(dtype=float) - 1)
+    post = 1 / (1 + np.exp(-np.clip(np.log(post / (1 - post)), -how.sure, how.sure) - label))
+    return Model(voters, logistic(np.c_[x, dense], post, np.where(got["toxic"].isna(), how.unlabelled, 1.0), how.ridge))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
