@@ -312,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model
     votes = np.c_[x > 0, dense[:, :1] == 0, dense[:, 2] > 0.3, dense[:, 3] > 0].astype(np.float32)
     signs = np.r_[np.ones(len(voters)), -1, 0, 0]
     used = votes.any(axis=0)
-    post = np.clip(label_model(votes[:, used], signs[used], how), 1e-9, 1 - 1e-9)
+    post = np.clip(label_model(votes[:, used], signs[used], how).astype(float), 1e-9, 1 - 1e-9)
     label = np.log(how.trust / (1 - how.trust)) * (2 * got["toxic"].fillna(0.5).to_numpy(dtype=float) - 1)
     post = 1 / (1 + np.exp(-np.clip(np.log(post / (1 - post)), -how.sure, how.sure) - label))
     return Model(voters, logistic(np.c_[x, dense], post, np.where(got["toxic"].isna(), how.unlabelled, 1.0), how.ridge))
