@@ -1,10 +1,13 @@
-"""Hierarchical clustering of blocks by sampling moves on trees of mentions.
-
-Spark deals blocks of the coarsest canopy to tasks. Inside a block, rounds go
-from the finest canopy to the coarsest: in each, the roots of one canopy are
-sampled together, pairs of nodes propose merges and splits, and a move is
-accepted by the model score. A block's random numbers follow from its name and
-its rows are sorted, so partitioning never changes a result.
+"""Hierarchical clustering of mentions by sampling moves on trees.
+
+Rounds go from the finest canopy to the coarsest. Spark groups the current
+roots by the round's canopy and deals groups to tasks; there pairs of nodes
+propose merges and splits, and a move is accepted by the model score. Merged
+roots go on with the sum of their bags, so a task never holds the mentions of a
+block, only what is still apart. A group of more than ``most`` roots is dealt
+again and again (``dealt``), each time otherwise, until hardly anything merges:
+no two roots are kept apart for good. Random numbers follow from a block's name
+and rows are sorted, so partitioning never changes a result.
 """
 
 from __future__ import annotations
@@ -13,16 +16,16 @@ import math
 import random
 import zlib
 from collections import Counter
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namesmith.functions.canopies import Canopy
 from namesmith.functions.names import Processor, identity
 from namesmith.operators.features import mention_bags, title_vectors
+from namesmith.plans.storage import cut, remove
 
 BAGS = ("firstNames", "middleNames", "emails", "institutions", "coauthors", "topics", "text", "keywords", "venues")
 
@@ -71,56 +74,43 @@ class Model:
 
 
 class Node:
-    def __init__(self, bags: dict[str, Counter], vec: list[float], mention: str | None = None) -> None:
-        self.bags, self.vec, self.mention = bags, vec, mention
+    """A node of a tree. ``leaf`` names a mention, or a root of an earlier round, whose inside is settled."""
+
+    def __init__(self, bags: dict[str, Counter], vec: list[float], leaf: str | None = None, count: int = 0) -> None:
+        self.bags, self.vec, self.leaf, self.count = bags, vec, leaf, count
+        self.squares = {k: sum(n * n for n in c.values()) for k, c in bags.items()}
         self.parent: Node | None = None
         self.children: list[Node] = []
-        self.count = 1 if mention else 0
+        self.score = 0.0
 
     def root(self) -> Node:
-        return self.parent.root() if self.parent else self
+        node = self
+        while node.parent:
+            node = node.parent
+        return node
 
     def add(self, other: Node, sign: int) -> None:
         self.count += sign * other.count
-        self.vec = [a + sign * b for a, b in zip(self.vec, other.vec, strict=True)]
-        for k, own in self.bags.items():
-            for token, n in other.bags[k].items():
-                own[token] += sign * n
-                if not own[token]:
+        if self.vec:
+            self.vec = [a + sign * b for a, b in zip(self.vec, other.vec, strict=True)]
+        for k, bag in other.bags.items():
+            own = self.bags[k]
+            for token, n in bag.items():
+                was = own[token]
+                now = was + sign * n
+                self.squares[k] += now * now - was * was
+                if now:
+                    own[token] = now
+                else:
                     del own[token]
 
     def leaves(self) -> list[Node]:
-        return [self] if self.mention else [x for c in self.children for x in c.leaves()]
+        return [x for x in self.nodes() if x.leaf]
 
     def nodes(self) -> list[Node]:
         return [self, *(x for c in self.children for x in c.nodes())]
 
 
-def attach(child: Node, parent: Node) -> None:
-    child.parent = parent
-    parent.children.append(child)
-    up: Node | None = parent
-    while up:
-        up.add(child, 1)
-        up = up.parent
-
-
-def detach(child: Node) -> None:
-    """Takes a node out of its tree; inner nodes left with one child give way to it."""
-    parent = child.parent
-    up = parent
-    while up:
-        up.add(child, -1)
-        up = up.parent
-    parent.children.remove(child)
-    child.parent = None
-    if len(parent.children) == 1:
-        only, above = parent.children[0], parent.parent
-        only.parent = above
-        if above:
-            above.children[above.children.index(parent)] = only
-
-
 def edits(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -146,6 +136,14 @@ def cosine(a: dict, b: dict) -> float:
     return over / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values())) if over else 0.0
 
 
+def to_rest(node: Node, k: str) -> float:
+    """Cosine of a bag to the rest of the parent's, without making that rest."""
+    own, above, square = node.bags[k], node.parent.bags[k], node.squares[k]
+    over = sum(n * above[t] for t, n in own.items()) - square
+    rest = node.parent.squares[k] - 2 * (over + square) + square
+    return over / math.sqrt(square * rest) if over > 0 and rest > 0 else 0.0
+
+
 def spread(weights: list[float]) -> float:
     """Entropy over its maximum."""
     total = sum(weights)
@@ -161,10 +159,7 @@ def node_score(node: Node, model: Model) -> float:
     for k, w in model.bags.items():
         bag = node.bags[k]
         if not is_root and w.weight and bag:
-            rest = node.parent.bags[k].copy()
-            rest.subtract(bag)
-            rest = +rest
-            score += w.weight * (cosine(bag, rest) + w.shift) if rest else 0.0
+            score += w.weight * (to_rest(node, k) + w.shift) if node.parent.squares[k] > node.squares[k] else 0.0
         elif is_root and bag:
             score -= w.entropy * spread(list(bag.values())) + w.prior * len(bag) / sum(bag.values())
     if node.vec and model.title.weight:
@@ -190,49 +185,110 @@ def moves(a: Node, b: Node) -> list[tuple[str, Node, Node]]:
         out, node = [], a
         while node:
             big, small = (node, b) if node.count >= b.count else (b, node)
-            if not big.mention:
+            if big.count > 1:
                 out.append(("left", big, small))
             node = node.parent
         return out
-    if a.mention or b.mention or a is b:
+    if a.leaf or b.leaf or a is b:
         return []
     return [("split", b, a) if a.count > b.count else ("split", a, b)]
 
 
-def applied(move: tuple[str, Node, Node]) -> Callable[[], None]:
-    """Does a move; returns what undoes it."""
-    kind, a, b = move
-    if kind == "up":
-        new = Node({k: Counter() for k in a.bags}, [0.0] * len(a.vec))
-        attach(a, new)
-        attach(b, new)
-
-        def undo() -> None:
-            a.parent = b.parent = None
+class Trial:
+    """A move that is done, scored and undone: only nodes whose bags or surroundings change are scored anew."""
 
-        return undo
-    moved = b if kind == "left" else a
-    saved = [(x, x.parent, list(x.children), x.count, list(x.vec), {k: c.copy() for k, c in x.bags.items()}) for r in {id(n.root()): n.root() for n in (a, b)}.values() for x in r.nodes()]
-    if moved.parent:
-        detach(moved)
-    if kind == "left":
-        attach(moved, a)
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.log: list[tuple] = []
+        self.touched: dict[int, Node] = {}
+        self.made: Node | None = None
+        self.gone: list[Node] = []
 
-    def undo() -> None:
-        for x, parent, children, count, vec, bags in saved:
-            x.parent, x.children, x.count, x.vec, x.bags = parent, children, count, vec, bags
-
-    return undo
+    def touch(self, node: Node | None) -> None:
+        """A node and all above it, with their children."""
+        while node:
+            self.touched[id(node)] = node
+            for c in node.children:
+                self.touched[id(c)] = c
+            node = node.parent
 
+    def link(self, child: Node, parent: Node, at: int | None = None) -> None:
+        parent.children.insert(len(parent.children) if at is None else at, child)
+        child.parent, up = parent, parent
+        while up:
+            up.add(child, 1)
+            up = up.parent
+        self.touch(parent)
+        self.log.append((self.unlink, child))
+
+    def unlink(self, child: Node) -> None:
+        parent = child.parent
+        self.touch(parent)
+        at, up = next(i for i, c in enumerate(parent.children) if c is child), parent
+        while up:
+            up.add(child, -1)
+            up = up.parent
+        del parent.children[at]
+        child.parent = None
+        self.log.append((self.link, child, parent, at))
+
+    def lift(self, node: Node) -> None:
+        """An inner node left with one child gives way to it."""
+        only, above = node.children[0], node.parent
+        self.touch(node)
+        at = next((i for i, c in enumerate(above.children) if c is node), 0) if above else 0
+        if above:
+            above.children[at] = only
+        only.parent, node.parent, node.children = above, None, []
+        self.gone.append(node)
+        self.log.append((self.lower, node, only, above, at))
 
-def tops(leaves: list[Node]) -> list[Node]:
-    return list({id(x.root()): x.root() for x in leaves}.values())
+    def lower(self, node: Node, only: Node, above: Node | None, at: int) -> None:
+        node.children, only.parent, node.parent = [only], node, above
+        if above:
+            above.children[at] = node
+        self.gone.remove(node)
+
+    def do(self, move: tuple[str, Node, Node]) -> None:
+        kind, a, b = move
+        if kind == "up":
+            self.made = Node({k: Counter() for k in a.bags}, [0.0] * len(a.vec))
+            self.touch(a)
+            self.touch(b)
+            self.link(a, self.made)
+            self.link(b, self.made)
+            return
+        moved = b if kind == "left" else a
+        parent = moved.parent
+        if parent:
+            self.unlink(moved)
+            if len(parent.children) == 1 and not parent.leaf:
+                self.lift(parent)
+        self.touch(moved)
+        if kind == "left":
+            self.link(moved, a)
+
+    def gain(self) -> float:
+        """Score after the move less score before."""
+        dead = {id(x) for x in self.gone}
+        self.new = {i: node_score(x, self.model) for i, x in self.touched.items() if i not in dead}
+        return sum(self.new.values()) - sum(x.score for x in self.touched.values())
+
+    def undo(self) -> None:
+        log, self.log = self.log[::-1], []
+        for step, *rest in log:
+            step(*rest)
+
+    def keep(self) -> None:
+        for i, x in self.touched.items():
+            x.score = self.new.get(i, 0.0)
 
 
 def sample(roots: list[Node], model: Model, rng: random.Random) -> list[Node]:
     """Roots after sampling moves among the nodes of these trees."""
-    leaves, idle = [x for r in roots for x in r.leaves()], 0
-    nodes = [x for r in roots for x in r.nodes()]
+    nodes, idle = [x for r in roots for x in r.nodes()], 0
+    for x in nodes:
+        x.score = node_score(x, model)
     for _ in range(min(len(nodes) * model.steps_per_node, model.most_steps)):
         if len(nodes) < 2 or idle >= model.idle_steps:
             break
@@ -241,14 +297,12 @@ def sample(roots: list[Node], model: Model, rng: random.Random) -> list[Node]:
         if not options:
             idle += 1
             continue
-        idle = 0
-        before = sum(tree_score(r, model) for r in {id(x.root()): x.root() for x in (a, b)}.values())
-        gains = [0.0]
+        idle, gains = 0, [0.0]
         for m in options:
-            kept = {id(x): x for x in (*a.root().leaves(), *b.root().leaves())}
-            undo = applied(m)
-            gains.append(sum(tree_score(r, model) for r in {id(x.root()): x.root() for x in kept.values()}.values()) - before)
-            undo()
+            trial = Trial(model)
+            trial.do(m)
+            gains.append(trial.gain())
+            trial.undo()
         best = max(gains)
         if model.greedy:
             pick = gains.index(best)
@@ -256,55 +310,82 @@ def sample(roots: list[Node], model: Model, rng: random.Random) -> list[Node]:
             odds = [math.exp(g - best) for g in gains]
             pick = rng.choices(range(len(gains)), odds)[0]
         if pick:
-            applied(options[pick - 1])
-            nodes = [x for r in tops(leaves) for x in r.nodes()]
-    return tops(leaves)
+            trial = Trial(model)
+            trial.do(options[pick - 1])
+            trial.gain()
+            trial.keep()
+            nodes = [x for x in nodes if not any(x is g for g in trial.gone)] + ([trial.made] if trial.made else [])
+    return [x for x in nodes if x.parent is None]
+
+
+ROOT = "node string, members array<string>, count long, canopies array<string>, vec array<double>, " + ", ".join(f"{k} map<string,double>" for k in BAGS)
 
 
 def cluster_block(block: str, rows: pd.DataFrame, model: Model) -> pd.DataFrame:
-    """(mention_id, entity_id) of one block; an entity is named by its least mention."""
+    """The roots of one block after sampling; a root goes by its least mention, and by the canopies of that."""
     rng = random.Random(zlib.crc32(block.encode()))
-    rows = rows.sort_values("mentionId").drop_duplicates("mentionId")
-    leaves, canopies = [], {}
-    for r in rows.to_dict("records"):
-        bags = {k: Counter({t: int(n) for t, n in dict(r[k]).items()}) for k in BAGS}
-        leaves.append(Node(bags, [float(x) for x in r["vec"]], r["mentionId"]))
-        canopies[r["mentionId"]] = list(r["canopies"])
-    roots = list(leaves)
-    for i in range(max(map(len, canopies.values()), default=0)):
-        groups: dict[str, list[Node]] = {}
-        for r in roots:
-            groups.setdefault(min(canopies[x.mention][i] for x in r.leaves()), []).append(r)
-        roots = [x for k in sorted(groups) for x in sample(groups[k], model, rng)]
-        if len(groups) == 1:
-            break
-    named = [(x.mention, min(y.mention for y in r.leaves())) for r in roots for x in r.leaves()]
-    return pd.DataFrame(named, columns=["mention_id", "entity_id"])
+    found = {r["node"]: r for r in rows.sort_values("node").to_dict("records")}
+    leaves = [Node({k: Counter({t: int(n) for t, n in dict(r[k]).items()}) for k in BAGS}, [float(x) for x in r["vec"]], r["node"], int(r["count"])) for r in found.values()]
+    out = []
+    for root in sample(leaves, model, rng):
+        members = sorted(x.leaf for x in root.leaves())
+        out.append((members[0], members, root.count, list(found[members[0]]["canopies"]), root.vec, *({t: float(n) for t, n in root.bags[k].items()} for k in BAGS)))
+    return pd.DataFrame(out, columns=["node", "members", "count", "canopies", "vec", *BAGS])
 
 
-def resolve(mentions: DataFrame, canopies: list[Canopy], model: Model = Model(), processor: Processor = identity, keystore: DataFrame | None = None, dim: int = 0, most: int = 2000) -> DataFrame:
-    """(mention_id, entity_id) by sampling inside blocks of the last (coarsest) canopy.
+def dealt(roots: DataFrame, name: Column, most: int, turn: int) -> DataFrame:
+    """Roots with n, the size of their group, and the block they are sampled in.
 
-    Names of mentions and coauthors are processed first. A block of more than
-    ``most`` mentions is dealt by the next finer canopy instead, down to the
-    finest, and there by a hash of the id, so that no task holds more: entities
-    never cross what is dealt apart.
+    Groups over ``most`` are dealt by the least hash of a root's tokens, which
+    brings together roots that share many, and what is still over by a hash of
+    the root. Both differ from turn to turn.
+    """
+    tokens = F.flatten(F.array(*(F.map_keys(k) for k in BAGS if k not in ("firstNames", "middleNames"))))
+    lot = F.pmod(F.coalesce(F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, F.lit(turn)))), F.xxhash64("node", F.lit(turn))), F.ceil(F.col("n") / most))
+    sizes = roots.groupBy(name.alias("group")).agg(F.count("*").alias("n"))
+    own = roots.withColumn("group", name).join(sizes, "group").withColumn("lot", F.when(F.col("n") > most, lot).otherwise(0))
+    lots = own.groupBy("group", "lot").agg(F.count("*").alias("m"))
+    part = F.when(F.col("m") > most, F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("m") / most))).otherwise(0)
+    return own.join(lots, ["group", "lot"]).withColumn("block", F.concat_ws("#", "group", F.col("lot").cast("string"), part.cast("string"), F.lit(str(turn)))).drop("m", "lot")
+
+
+def resolve(mentions: DataFrame, canopies: list[Canopy], model: Model = Model(), processor: Processor = identity, keystore: DataFrame | None = None, dim: int = 0, most: int = 2000, settled: float = 0.001) -> DataFrame:
+    """(mention_id, entity_id) by sampling in rounds over canopies, from fine to coarse.
+
+    Names of mentions and coauthors are processed first. ``most`` bounds the
+    roots that a task holds; a larger group is dealt in further turns until a
+    turn merges no more than the share ``settled`` of its roots. Trees of
+    earlier turns are settled: they merge and move as wholes.
     """
-    named = mentions.withColumn("self", processor(F.col("self"))).withColumn("coauthors", F.transform("coauthors", lambda a: processor(a)))
+    named = mentions.dropDuplicates(["mentionId"]).withColumn("self", processor(F.col("self"))).withColumn("coauthors", F.transform("coauthors", lambda a: processor(a)))
     named = named.withColumn("canopies", F.array(*(c(F.col("self")) for c in canopies)))
     bags = mention_bags(named).drop("canopy", "lastNames").join(named.select("mentionId", "canopies"), "mentionId")
     vectors = title_vectors(named, keystore, dim) if keystore is not None else None
     rows = bags.join(vectors, "mentionId") if vectors is not None else bags.withColumn("vec", F.array().cast("array<double>"))
-    block = F.lit(None).cast("string")
-    for i in range(len(canopies)):
-        name = F.get("canopies", F.lit(i))
-        sizes = named.select(name.alias("name")).groupBy("name").agg(F.count("*").alias(f"n{i}"))
-        rows = rows.join(sizes, name == F.col("name")).drop("name")
-        block = F.when(F.col(f"n{i}") <= most, F.concat(F.lit(f"{i}:"), name)).otherwise(block)
-    salt = F.ceil(F.col("n0") / most)
-    rows = rows.withColumn("block", F.coalesce(block, F.concat(F.get("canopies", F.lit(0)), F.lit("#"), F.pmod(F.xxhash64("mentionId"), salt).cast("string"))))
+    columns = ["node", "count", "canopies", "vec", *BAGS]
+    roots = cut(rows.withColumnRenamed("mentionId", "node").withColumn("count", F.lit(1).cast("long")).select(*columns), "roots")
+    member = roots.select(F.col("node").alias("mention_id"), "node")
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return cluster_block(key[0], part, model)
 
-    return rows.select("block", "mentionId", "canopies", "vec", *BAGS).groupBy("block").applyInPandas(run, "mention_id string, entity_id string")
+    turn = 0
+    for i in range(len(canopies)):
+        name = F.get("canopies", F.lit(i))
+        while True:
+            blocks = cut(dealt(roots, name, most, turn), "dealt")
+            found = cut(blocks.where("n > 1").select("block", *columns).groupBy("block").applyInPandas(run, ROOT), "found")
+            over = blocks.where(F.col("n") > most).count()
+            merged = found.select("node", F.explode("members").alias("old")).where("node <> old")
+            moved = merged.join(blocks.where(F.col("n") > most).select(F.col("node").alias("old")), "old", "left_semi").count() if over else 0
+            last, before = roots, member
+            roots = cut(blocks.where("n = 1").select(*columns).unionByName(found.select(*columns)), "roots")
+            member = cut(before.join(merged.withColumnRenamed("node", "new"), F.col("node") == F.col("old"), "left").select("mention_id", F.coalesce("new", "node").alias("node")), "members")
+            one = blocks.select(F.min("group") == F.max("group")).first()[0]
+            remove(last, before, blocks, found)
+            turn += 1
+            if moved <= settled * over:
+                break
+        if one:
+            break
+    return member.select("mention_id", F.col("node").alias("entity_id"))

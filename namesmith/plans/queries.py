@@ -441,17 +441,16 @@ def result_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("hierarchical")
 def hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled clustering: repeatable, but not SQL."""
-    model = hierarchy.Model(steps_per_node=5)
-    return hierarchy.resolve(mentions(spark, sf_dir), [canopies.full_name, canopies.first_and_last], model, most=200)
+    return hierarchy.resolve(mentions(spark, sf_dir), [canopies.from_name(c) for c in canopies.DEFAULT])
 
 
 @query("topics")
 def topic_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", convert.text_tokens(F.col("text")).alias("tokens"))
-    return topics.topics(docs, "doc_id", "tokens", k=10, top=3, vocabulary=5000, iterations=2).select("doc_id", F.array_join("topics", ",").alias("topics"))
+    return topics.topics(docs, "doc_id", "tokens").select("doc_id", F.array_join("topics", ",").alias("topics"))
 
 
 @query("word_vectors")
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "conversations").select(convert.text_tokens(F.col("text")).alias("tokens"))
-    return topics.word_vectors(lines, "tokens", size=16, least=20, iterations=1)
+    return topics.word_vectors(lines, "tokens")

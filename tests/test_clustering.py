@@ -1,4 +1,7 @@
+import copy
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,13 +115,94 @@ def test_sampler_invariants(spark):
     gold = df.select(F.col("mentionId").alias("mention_id"), F.substring("mentionId", 1, 3).alias("entity_id"))
     scored = evaluate.pairwise_scores(spark.createDataFrame(list(greedy.items()), "mention_id string, entity_id string"), gold).first()
     assert scored.f1 > 0.5
-    split = dict(map(tuple, hierarchy.resolve(df, levels, hierarchy.Model(), most=5).collect()))
-    assert set(split) == set(one)
 
 
-def test_name_score():
-    from collections import Counter
+def test_groups_larger_than_a_task(spark):
+    """Entities with more mentions than a task holds come out whole: what is dealt apart meets again."""
+    rows = [(f"m{e}{k:03d}", "ann", "x", [f"c{e}", f"d{e}"]) for e in range(3) for k in range(60)]
+    got = dict(map(tuple, hierarchy.resolve(mentions(spark, rows), [canopies.first_and_last], hierarchy.Model(greedy=True, size_weight=0.0), most=20).collect()))
+    assert len(got) == 180
+    assert {m: e[:2] for m, e in got.items()} == {m: m[:2] for m in got}, "no entity mixes people"
+    assert len(set(got.values())) <= 6
+
+
+def plain_sample(leaves, model, rng):
+    """The sampler by copies of whole trees, every score made anew."""
+    nodes = list(leaves)
+    for _ in range(len(nodes) * model.steps_per_node):
+        a, b = rng.sample(range(len(nodes)), 2)
+        options = hierarchy.moves(nodes[a], nodes[b])
+        results = []
+        for i in range(len(options)):
+            kind, big, small = options[i]
+            copied = copy.deepcopy(nodes)
+            at = {id(x): c for x, c in zip(nodes, copied)}
+            big, small = at[id(big)], at[id(small)]
+            gone, made = [], []
+            if kind == "up":
+                new = hierarchy.Node({k: Counter() for k in big.bags}, [0.0] * len(big.vec))
+                for x in (big, small):
+                    x.parent = new
+                    new.children.append(x)
+                made = [new]
+            else:
+                moved = small if kind == "left" else big
+                if parent := moved.parent:
+                    parent.children = [c for c in parent.children if c is not moved]
+                    moved.parent = None
+                    if len(parent.children) == 1 and not parent.leaf:
+                        only = parent.children[0]
+                        only.parent = parent.parent
+                        if parent.parent:
+                            parent.parent.children = [only if c is parent else c for c in parent.parent.children]
+                        gone = [parent]
+                if kind == "left":
+                    moved.parent = big
+                    big.children.append(moved)
+            copied = [x for x in copied if not any(x is g for g in gone)] + made
+            results.append(copied)
+        if not options:
+            continue
+        gains = [sum(hierarchy.node_score(x, model) for x in summed(r)) - sum(hierarchy.node_score(x, model) for x in summed(nodes)) for r in results]
+        gains = [0.0, *gains]
+        best = max(gains)
+        pick = rng.choices(range(len(gains)), [math.exp(g - best) for g in gains])[0]
+        if pick:
+            nodes = results[pick - 1]
+    return sorted(sorted(x.leaf for x in n.leaves()) for n in nodes if n.parent is None)
+
+
+def summed(nodes):
+    """Inner nodes with bags, vectors and counts summed from their leaves."""
+    for n in nodes:
+        if not n.leaf:
+            found = [x for x in n.nodes() if x.leaf]
+            n.bags = {k: sum((x.bags[k] for x in found), Counter()) for k in n.bags}
+            n.count, n.vec = sum(x.count for x in found), [sum(v) for v in zip(*(x.vec for x in found))]
+            n.squares = {k: sum(v * v for v in c.values()) for k, c in n.bags.items()}
+    return nodes
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sampler_against_a_plain_one(seed):
+    def leaves():
+        rng = random.Random(seed)
+        bag = lambda words: Counter(rng.choices(words, k=rng.randrange(3)))
+        out = []
+        for i in range(9):
+            bags = {k: bag(["p", "q", "r"]) for k in hierarchy.BAGS} | {"firstNames": Counter([rng.choice(["ann", "a", "bob"])])}
+            out.append(hierarchy.Node(bags, [rng.random(), rng.random()], f"m{i}", 1))
+        return out
+
+    model = hierarchy.Model(steps_per_node=8)
+    got = hierarchy.sample(leaves(), model, random.Random(seed))
+    assert sorted(sorted(x.leaf for x in r.leaves()) for r in got) == plain_sample(leaves(), model, random.Random(seed))
+    for r in got:
+        for x in r.nodes():
+            assert x.score == pytest.approx(hierarchy.node_score(x, model))
+
 
+def test_name_score():
     w = hierarchy.Name(initial=20, name=10, saturation=40, missing=25, weight=2)
     assert hierarchy.name_score(Counter("abcdef"), True, w) == -80
     assert hierarchy.name_score(Counter(), True, w) == -50
