@@ -65,11 +65,9 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("accents", """SELECT lang, count(*) AS n FROM documents GROUP BY lang""")
+@query("accents", r"""SELECT doc_id, md5(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')) AS h, length(text) AS n FROM documents""")
 def accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts documents whose whole stripped text is ASCII: all are."""
-    plain = table(spark, sf_dir, "documents").select("lang", text.strip_accents(F.col("text")).alias("t"))
-    return plain.where(~F.col("t").rlike(r"[^\x00-\x7F]")).groupBy("lang").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.strip_accents(F.col("text"))).alias("h"), F.length("text").cast("long").alias("n"))
 
 
 @query("canopies", M + """ SELECT id, 'LAST_' || last || '_FIRST_' || first || '_MIDDLE_' || middle AS full_name, 'LAST_' || last || '_FIRST_' || first AS first_last,

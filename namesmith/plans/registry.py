@@ -24,13 +24,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from namesmith.plans import queries as _  # noqa: F401  registers them
+    from namesmith.plans import file_queries, queries as _  # noqa: F401  registers them
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from namesmith.plans import queries as _  # noqa: F401
+    from namesmith.plans import file_queries, queries as _  # noqa: F401
 
     return dict(_SQL)
 
