@@ -3,22 +3,23 @@
 Word n-grams (1 to 3) of a paragraph are hashed into a sparse vector and
 scored by a multinomial logistic regression over licence families and an
 unknown class, trained on notice templates, on shortened variants of them, and
-on paragraphs that only sound alike. The unknown class is calibrated: a family
-is accepted from the probability at which nothing unknown in a held-out part
-of the variants was mistaken for it. What is accepted is confirmed by the
-share of some template of the family that the paragraph contains.
-
-A paragraph without any cue word (the templates' rarer words) carries no
-evidence for a family and is unknown without being scored.
-
-A paragraph is a line. What lines leave unconfirmed is joined over runs of
-non-blank lines and scored in overlapping windows of words, so notices that are
-wrapped, or stand inside longer text, are found too.
+on paragraphs that only sound alike. The unknown class is calibrated by cross
+validation over templates: a family is accepted from the probability that no
+unknown template, scored by a model that has seen no variant of it, reaches.
+What is accepted is confirmed by the share of some template of the family that
+the paragraph contains.
+
+A paragraph is a run of lines between blank ones. It is scored as a whole, or
+in overlapping windows of words where it is longer, and line by line, so that
+several notices in a row are told apart. What can't be confirmed isn't scored:
+without any of a few words and pairs of words of a template (``openers``, made
+from the templates) a paragraph holds less of it than confirmation asks for.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -28,6 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namesmith.functions.text import stop_words
 from namesmith.plans.storage import cut
 
 UNKNOWN = "unknown"
@@ -39,6 +41,8 @@ TEMPLATES = {
         "Released under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "mit": [
         "Released under the MIT License.",
@@ -46,18 +50,25 @@ TEMPLATES = {
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License version 3 or later.",
         "This program is free software: you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.",
         "Released under the GPL version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
         "SPDX-License-Identifier: GPL-3.0-only",
     ],
     "gpl-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "Licensed under the GNU General Public License version 2 or later.",
         "Released under the GPL version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
         "SPDX-License-Identifier: GPL-2.0-only",
     ],
     "bsd": [
@@ -65,11 +76,16 @@ TEMPLATES = {
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
     "cc-by-4.0": [
         "Licensed under CC BY 4.0.",
@@ -81,6 +97,16 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Released under CC BY-NC 4.0.",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
     UNKNOWN: [
         "All rights reserved.",
         "Copyright by the authors. All rights reserved.",
@@ -96,32 +122,44 @@ TEMPLATES = {
         "Version 2.0 was released under pressure.",
         "The BSD meeting and the GNU project were in the news.",
         "Creative work is licensed by the state.",
+        "The driver was asked for a license and a copy of the contract.",
+        "Permission was granted by the court to publish the list of names.",
+        "The terms of the agreement are subject to the law of the country.",
+        "You may not use this product without written permission of the owner.",
+        "This software is provided by a company in the north of the city.",
+        "The above figures and this notice appear in all copies of the report.",
+        "In no event shall the club be open after midnight.",
+        "The source of the river is free and open to the public.",
+        "A general public meeting of the foundation was held, version of events unclear.",
+        "Neither the name of the street nor the number of the house was given.",
+        "The names of contributors are listed at the end of the book.",
+        "It is distributed in the hope that it will be read.",
+        "Anyone is free to come, to use the hall and to sell at the market.",
+        "Redistribution of land and use of water were the conditions of peace.",
+        "Version 3 of the plan was written by the public library.",
+        "The documentation of the building and the files were copied for a fee.",
+        "The attribution of the painting to an international master is common.",
+        "Public domain and private property are not the same.",
+        "The licence fee is paid for every year of use.",
+        "No part of this book may be reproduced in any form without permission.",
     ],
 }
-#: Words that only licence notices make likely; one of them opens a paragraph to the classifier.
-CUES = r"\bMIT\b|(?i)\b(licen[sc]e[ds]?|apache|gnu|gpl|bsd|mozilla|mpl|cc|creative commons|spdx|redistribut\w+|hereby granted|free software)\b"
-#: A text without any of these (lower case, MIT aside) has no cue; plain search is much faster than the pattern.
-TRACES = ["licen", "apache", "gnu", "gpl", "bsd", "mozilla", "mpl", "cc", "commons", "spdx", "redistribut", "hereby", "software"]
-#: CUES word by word, for cues that a line break may part.
-PARTED = r"\bMIT\b|(?i)\b(licen[sc]e[ds]?|apache|gnu|gpl|bsd|mozilla|mpl|cc|commons|spdx|redistribut\w+|hereby|software)\b"
 #: Words in a window, and from one window to the next; the longest template fits into what two windows share.
-WINDOW, STEP = 48, 12
+WINDOW, STEP = 176, 44
+FOLDS = 2
 
 
 @dataclass(frozen=True)
 class Scan:
-    features: int = 1 << 14
+    features: int = 1 << 13
     regularization: float = 0.002
     sparsity: float = 0.3
     confirm: float = 0.6
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.]+"), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "") != "")
-
-
 def trimmed(text: Column) -> Column:
-    return F.transform(tokens(text), lambda w: F.regexp_replace(w, r"^\.+|\.+$", ""))
+    """Lower-case words: letters and digits, with single points inside."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]++(?:\.[\p{L}\p{N}]++)*+"), F.lit(0))
 
 
 def runs_of(words: Column, n: int) -> Column:
@@ -136,68 +174,93 @@ def grams(words: Column) -> Column:
 
 def template_grams(text: str) -> list[str]:
     """grams(trimmed(...)) of a template, each once."""
-    words = [w for w in (x.strip(".") for x in re.split(r"[^\w.]+", text.lower())) if w]
+    words = re.findall(r"[^\W_]+(?:\.[^\W_]+)*", text.lower())
     return sorted({" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)})
 
 
+def openers(scan: Scan, n: int) -> list[str]:
+    """Runs of n words of which a paragraph must have one to hold ``confirm`` of any template.
+
+    Of each template, runs are taken, those with fewest stop words and of fewest
+    templates first, until the n-grams without any of them are fewer than
+    confirmation needs.
+    """
+    known = [(k, template_grams(t)) for k in sorted(TEMPLATES) for t in TEMPLATES[k]]
+    common = Counter(g for _, grams in known for g in grams)
+    plain = set(stop_words())
+    out: set[str] = set()
+    for family, grams in known:
+        if family == UNKNOWN:
+            continue
+        rest = grams
+        order = lambda g: (sum(w in plain for w in g.split(" ")), g not in out, common[g], g)
+        for x in sorted((g for g in grams if g.count(" ") == n - 1), key=order):
+            if len(rest) < scan.confirm * len(grams):
+                break
+            left = [g for g in rest if f" {x} " not in f" {g} "]
+            if len(left) < len(rest):
+                out.add(x)
+                rest = left
+    return sorted(out)
+
+
 def examples(spark: SparkSession) -> DataFrame:
-    """label, family, words, held: templates, and each without one word or half."""
+    """label, family, fold, grams: templates, and each without one word or half. A template and its variants share a fold."""
     names = sorted(TEMPLATES)
-    rows = [(float(names.index(k)), k, t) for k in names for t in TEMPLATES[k]]
-    base = spark.createDataFrame(rows, "label double, family string, text string").withColumn("words", trimmed(F.col("text")))
+    rows = [(float(names.index(k)), k, i % FOLDS, t) for k in names for i, t in enumerate(TEMPLATES[k])]
+    base = spark.createDataFrame(rows, "label double, family string, fold int, text string").withColumn("words", trimmed(F.col("text")))
     n = F.size("words")
     less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n)))
     long = F.when(n >= 12, F.array(F.slice("words", F.lit(1), F.ceil(n / 2).cast("int")), F.slice("words", F.floor(n / 2).cast("int") + 1, n))).otherwise(F.array().cast("array<array<string>>"))
-    every = base.select("label", "family", F.explode(F.concat(F.array("words"), F.array("words"), less, long)).alias("words")).where(F.size("words") > 0)
-    return every.withColumn("held", F.pmod(F.xxhash64(F.array_join("words", " ")), F.lit(5)) == 0).withColumn("grams", grams(F.col("words")))
+    every = base.select("label", "family", "fold", F.explode(F.concat(F.array("words"), F.array("words"), less, long)).alias("words")).where(F.size("words") > 0)
+    return every.withColumn("grams", grams(F.col("words")))
 
 
 def train(spark: SparkSession, scan: Scan = Scan()) -> tuple[PipelineModel, list[str], float]:
     """The model, its classes in order, and the least probability at which a family is accepted."""
     every = examples(spark).coalesce(1).cache()
-    stages = [HashingTF(inputCol="grams", outputCol="features", numFeatures=scan.features, binary=True), LogisticRegression(family="multinomial", regParam=scan.regularization, elasticNetParam=scan.sparsity, maxIter=40)]
-    model = Pipeline(stages=stages).fit(every.where("not held"))
     names = sorted(TEMPLATES)
-    apart = [p for i, p in enumerate(names) if p != UNKNOWN]
-    scored = model.transform(every.where("held").where(F.col("family") == UNKNOWN)).select(vector_to_array("probability").alias("p"))
-    highest = scored.select(F.max(F.greatest(*(F.get("p", F.lit(names.index(k))) for k in apart))).alias("m")).first()["m"]
+    families = [F.get("p", F.lit(i)) for i, k in enumerate(names) if k != UNKNOWN]
+
+    def fitted(rows: DataFrame) -> PipelineModel:
+        stages = [HashingTF(inputCol="grams", outputCol="features", numFeatures=scan.features, binary=True), LogisticRegression(family="multinomial", regParam=scan.regularization, elasticNetParam=scan.sparsity, maxIter=25)]
+        return Pipeline(stages=stages).fit(rows)
+
+    highest = 0.5
+    for fold in range(FOLDS):
+        scored = fitted(every.where(F.col("fold") != fold)).transform(every.where((F.col("fold") == fold) & (F.col("family") == UNKNOWN)))
+        found = scored.select(vector_to_array("probability").alias("p")).select(F.max(F.greatest(*families)).alias("m")).first()["m"]
+        highest = max(highest, found or 0.0)
+    model = fitted(every)
     every.unpersist()
-    return model, names, min(0.9, max(0.5, highest or 0.0))
-
-
-def traced(docs: DataFrame) -> DataFrame:
-    """Those documents that can have a cue."""
-    any_of = F.contains("text", F.lit("MIT"))
-    for x in TRACES:
-        any_of = any_of | F.contains("low", F.lit(x))
-    return docs.withColumn("low", F.lower("text")).where(any_of).drop("low")
+    return model, names, highest
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, place, paragraph: those lines of the texts that have a cue."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("place"), x.alias("paragraph")))
-    return traced(docs).select("doc_id", F.explode(F.filter(lines, lambda x: x["paragraph"].rlike(CUES))).alias("x")).select("doc_id", "x.*")
+def paragraphs(text: Column) -> Column:
+    """Runs of lines between blank ones; blank texts have none."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\n[\x20\x09-\x0D]*\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def windows(docs: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """doc_id, block, paragraph: windows with a cue over runs of non-blank lines; confirmed lines (doc_id, place) part runs as blank ones do."""
-    gone = confirmed.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
-    rows = traced(docs).where(F.col("text").rlike(PARTED)).join(gone, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    kept = F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]") & ~F.array_contains("gone", i), x).otherwise(""))
-    blocks = F.transform(F.split(F.array_join(kept, "\n"), "\n\n+"), lambda x, i: F.struct(i.alias("block"), x.alias("x")))
-    blocks = rows.select("doc_id", F.explode(F.filter(blocks, lambda b: b["x"].rlike(PARTED))).alias("b"))
-    words = blocks.select("doc_id", "b.block", trimmed(F.col("b.x")).alias("w")).where(F.size("w") > 0)
+def pieces(docs: DataFrame, scan: Scan) -> DataFrame:
+    """doc_id, mark, block, words: of paragraphs with an opener, windows and lines that have one too."""
+    one, two = (F.array(*map(F.lit, openers(scan, n))) for n in (1, 2))
+    pairs = lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    opened = lambda w: F.arrays_overlap(w, one) & F.arrays_overlap(pairs(w), two)
+    blocks = docs.select("doc_id", "mark", F.posexplode(paragraphs(F.col("text"))).alias("block", "x"))
+    words = blocks.withColumn("w", trimmed(F.col("x"))).where(F.arrays_overlap("w", one)).where(F.arrays_overlap(pairs(F.col("w")), two))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (WINDOW - STEP) + 1), F.lit(STEP))
-    found = words.select("doc_id", "block", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(WINDOW)), " "))).alias("paragraph"))
-    return found.where(F.col("paragraph").rlike(f"\\bmit\\b|{CUES}"))
+    windows = F.transform(starts, lambda i: F.slice("w", i, F.lit(WINDOW)))
+    lines = F.transform(F.split("x", "\n"), trimmed)
+    each = F.array_distinct(F.filter(F.concat(windows, lines), opened))
+    return words.select("doc_id", "mark", "block", F.explode(each).alias("words"))
 
 
 def classify(found: DataFrame, scan: Scan = Scan(), trained: tuple[PipelineModel, list[str], float] | None = None) -> DataFrame:
-    """Adds family, probability and matched (share of the best template found) to paragraphs; unknown where not accepted or confirmed."""
+    """Adds family, probability and matched (share of the best template found) to rows with words; unknown where not accepted or confirmed."""
     model, names, accept = trained or train(found.sparkSession, scan)
     # Written out, or each use below would split the paragraph and run the model again.
-    split = cut(found.withColumn("words", trimmed(F.col("paragraph"))), "paragraphs")
-    scored = cut(model.transform(cut(split.withColumn("grams", grams(F.col("words"))), "grams")).select(*found.columns, "grams", vector_to_array("probability").alias("probability")), "scored")
+    made = cut(found.withColumn("grams", grams(F.col("words"))), "grams")
+    scored = cut(model.transform(made).select(*found.columns, "grams", vector_to_array("probability").alias("probability")), "scored")
     best = F.array_max(F.transform("probability", lambda p, i: F.struct(p.alias("p"), i.alias("i"))))
     own = scored.withColumn("best", best).withColumn("family", F.get(F.array(*(F.lit(x) for x in names)), F.col("best.i"))).withColumn("probability", F.col("best.p"))
 
@@ -216,19 +279,15 @@ def classify(found: DataFrame, scan: Scan = Scan(), trained: tuple[PipelineModel
 
 
 def licences(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
-    """doc_id, n_paragraphs, n_licences (confirmed notices), families (sorted, comma-joined).
+    """doc_id, n_paragraphs, n_licences (families confirmed in a paragraph, over all), families (sorted, comma-joined).
 
-    Paragraphs are lines with a word. A notice is a confirmed line, or a family
-    that only the windows over a run of other lines confirm. Null and empty
-    texts have none. Rows that repeat a doc_id share their findings; rows
-    without doc_id are left out.
+    Paragraphs are runs of lines with a word, between blank lines. Null and
+    empty texts have none. Rows with equal doc_id and text have equal findings;
+    texts that share a doc_id but differ have each their own. Rows without
+    doc_id are left out.
     """
-    own = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
-    some = own.where("text is not null")
-    trained = train(docs.sparkSession, scan)
-    lines = cut(classify(paragraphs(some), scan, trained).where(F.col("family") != UNKNOWN).select("doc_id", "place", "family"), "lines")
-    wrapped = classify(windows(some, lines), scan, trained).where(F.col("family") != UNKNOWN)
-    found = lines.select("doc_id", F.struct(F.lit("").alias("in"), F.col("place").alias("at")).alias("notice"), "family").union(wrapped.select("doc_id", F.struct(F.col("family").alias("in"), F.col("block").alias("at")).alias("notice"), "family"))
-    by_doc = found.groupBy("doc_id").agg(F.countDistinct("notice").alias("n"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"))
-    size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return own.select("doc_id", size.cast("long").alias("n_paragraphs")).join(by_doc, "doc_id", "left").select("doc_id", "n_paragraphs", F.coalesce("n", F.lit(0)).cast("long").alias("n_licences"), F.coalesce("families", F.lit("")).alias("families"))
+    own = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull()).withColumn("mark", F.xxhash64("text"))
+    found = classify(pieces(own.where("text is not null"), scan), scan).where(F.col("family") != UNKNOWN)
+    by_doc = found.groupBy("doc_id", "mark").agg(F.countDistinct("block", "family").alias("n"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"))
+    met = own.select("doc_id", "mark", F.size(paragraphs(F.col("text"))).cast("long").alias("n_paragraphs")).join(by_doc, ["doc_id", "mark"], "left")
+    return met.select("doc_id", "n_paragraphs", F.coalesce("n", F.lit(0)).cast("long").alias("n_licences"), F.coalesce("families", F.lit("")).alias("families"))
