@@ -45,7 +45,7 @@ RUNS = "seed long, whole long, doc_id long, mark long, lo int, hi int, at int, m
 BLOCKS = "h1 long, h2 long, doc_id long, mark long, lo int, hi int, at int, hot int"
 PLACE = ["doc_id", "mark", "lo"]
 #: One of SAMPLED documents is looked at for hot seeds: those with LEAST rows there that fill one in HOT of a shuffle partition.
-SAMPLED, LEAST, HOT, SALTS = 64, 8, 4, 32
+SAMPLED, LEAST, HOT, SALTS = 64, 64, 4, 32
 
 
 def texts(docs: DataFrame, *carry: str) -> DataFrame:
