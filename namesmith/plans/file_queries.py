@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.functions import canopies, names, text
-from namesmith.operators import convert, evaluate, features, hierarchy, report
+from namesmith.operators import convert, evaluate, features, report
+from namesmith.operators.hierarchy import BAGS, Model, Node, Trial, node_score
 from namesmith.plans import jobs
 from namesmith.plans.queries import BASELINE_SQL, CELLS, COMPONENT_SQL, M, keystore, mentions, table, two_clusterings
 from namesmith.plans.registry import query
@@ -302,19 +304,19 @@ def title_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(convert.title_tokens(title, drop_stop_words=True), "|").alias("tokens"))
 
 
-def nodes_of(rows: pd.DataFrame) -> list[hierarchy.Node]:
-    return [hierarchy.Node({k: hierarchy.Counter(r[k]) for k in hierarchy.BAGS}, [], r["id"], 1) for r in rows.to_dict("records")]
+def nodes_of(rows: pd.DataFrame) -> list[Node]:
+    return [Node({k: Counter(r[k]) for k in BAGS}, [], r["id"], 1) for r in rows.to_dict("records")]
 
 
 def tree_scores(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Each mention's score alone, and what it gains with the next of its name."""
-    model, out = hierarchy.Model(), []
+    model, out = Model(), []
     found = nodes_of(rows.sort_values("id"))
     for a, b in zip(found, [*found[1:], None], strict=True):
-        a.score, gain = hierarchy.node_score(a, model), None
+        a.score, gain = node_score(a, model), None
         if b:
-            b.score = hierarchy.node_score(b, model)
-            trial = hierarchy.Trial(model)
+            b.score = node_score(b, model)
+            trial = Trial(model)
             trial.do(("up", a, b))
             gain = trial.gain()
             trial.undo()
@@ -334,4 +336,4 @@ def score_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score terms of trees: of single mentions, and of two of one name under a new root."""
     m = complete(mentions(spark, sf_dir))
     rows = features.mention_bags(m).join(m.select("mentionId", "title"), "mentionId").withColumnRenamed("mentionId", "id")
-    return rows.select("id", "title", *hierarchy.BAGS).groupBy("title").applyInPandas(tree_scores, "id string, alone double, gain double")
+    return rows.select("id", "title", *BAGS).groupBy("title").applyInPandas(tree_scores, "id string, alone double, gain double")
