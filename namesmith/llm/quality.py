@@ -25,6 +25,8 @@ from namesmith.plans.storage import cut, remove
 SPACES = r"[\x20\x09-\x0D]+"
 #: Fixed classes of characters; what is in none counts as lower case or other.
 CLASSES = {"upper": r"[A-Z]", "digit": r"[0-9]", "mark": r"[.,;:!?'\x22()\x2D]", "symbol": r"[#*$%&|<>]", "foreign": r"[^\x00-\x7F]"}
+#: Runs that no class counts; most of a text is such.
+PLAIN = r"[a-z\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
@@ -97,24 +99,29 @@ def repeated_words(words: Column, n: int) -> Column:
 
 
 def measures(docs: DataFrame, limits: Limits) -> DataFrame:
-    """doc_id, text, words and the base figures."""
+    """doc_id, text, words, marked and the base figures."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    seen = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("words", words(F.col("text")))
+    seen = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("words", words(F.col("text"))).withColumn("marked", marked(F.col("text")))
     return seen.select(
         "*",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(CLASSES["symbol"])).cast("long").alias("n_symbols"),
+        F.regexp_count("marked", F.lit(CLASSES["symbol"])).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words"), limits.window).alias("n_repeat_words"),
     )
 
 
-def class_counts(text: Column, word_chars: Column) -> list[Column]:
+def marked(text: Column) -> Column:
+    """What classes may count, in one pass over the text."""
+    return F.regexp_replace(text, PLAIN, "")
+
+
+def class_counts(marked: Column, size: Column, word_chars: Column) -> list[Column]:
     """Characters of each class, and spaces. What is not of a class is deleted in runs, which is faster than to count."""
     outside = lambda x: x.replace("[^", "[") if x.startswith("[^") else x.replace("[", "[^", 1)
-    found = [F.length(F.regexp_replace(text, outside(x) + "+", "")) for x in CLASSES.values()]
-    return [x.cast("double") for x in (*found, F.length(text) - word_chars)]
+    found = [F.length(F.regexp_replace(marked, outside(x) + "+", "")) for x in CLASSES.values()]
+    return [x.cast("double") for x in (*found, size - word_chars)]
 
 
 @dataclass(frozen=True)
@@ -128,14 +135,14 @@ class References:
 
 def references(docs: DataFrame, limits: Limits) -> References:
     """Sums over all documents with text and lang; ``top`` words and the class sums of each language reach the driver."""
-    own = docs.where("lang is not null and text is not null").select("lang", "text")
+    own = docs.where("lang is not null and text is not null").select("lang", "text", marked(F.col("text")).alias("marked"))
     counts = cut(own.select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limits.top).select("lang", "word", "n").collect()
     remove(counts)
     kinds = [f"c{i}" for i in range(len(CLASSES) + 1)]
-    sized = own.select("lang", F.length("text").alias("size"), *(x.alias(k) for k, x in zip(kinds, class_counts(F.col("text"), F.length(F.regexp_replace("text", SPACES, ""))), strict=True)))
+    sized = own.select("lang", F.length("text").alias("size"), *(x.alias(k) for k, x in zip(kinds, class_counts(F.col("marked"), F.length("text"), F.length(F.regexp_replace("text", SPACES, ""))), strict=True)))
     sums = {r["lang"]: r for r in sized.groupBy("lang").agg(F.sum("size").alias("size"), *(F.sum(k).alias(k) for k in kinds)).collect()}
     vocabulary = sorted({r["word"] for r in top})
     out = References(vocabulary, [], [])
@@ -170,9 +177,9 @@ def distance(twice: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), twice / 2))
 
 
-def nearest_classes(text: Column, word_chars: Column, refs: References) -> Column:
+def nearest_classes(marked: Column, size: Column, word_chars: Column, refs: References) -> Column:
     """Least distance of the text's character classes to a language's."""
-    counted = let(F.array(*class_counts(text, word_chars)), lambda c: F.transform(c, lambda x: x / F.length(text)))
+    counted = let(F.array(*class_counts(marked, size, word_chars)), lambda c: F.transform(c, lambda x: x / size))
     own = let(counted, lambda p: F.concat(p, F.array(F.greatest(F.lit(0.0), 1 - total(p)))))
     return let(own, lambda p: F.array_min(F.transform(literal(refs.classes), lambda q: distance(total(F.zip_with(p, q, term))))))
 
@@ -206,7 +213,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     base = (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.most_repeated * F.col("n_words"))
     judged = ~base & (F.col("n_words") >= limits.guard)
     if refs.common:
-        near_class, near_word = F.round(nearest_classes(F.col("text"), F.col("word_chars"), refs), 6), F.round(nearest_words(F.col("words"), refs), 6)
+        near_class, near_word = F.round(nearest_classes(F.col("marked"), F.length("text"), F.col("word_chars"), refs), 6), F.round(nearest_words(F.col("words"), refs), 6)
     else:
         near_class = near_word = F.lit(None).cast("double")
     out = seen.withColumn("base_failed", base).withColumn("class_distance", F.when(judged, near_class)).withColumn("word_distance", F.when(judged, near_word))
