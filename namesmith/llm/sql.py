@@ -63,6 +63,19 @@ j AS (SELECT b.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fa
 SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
  NOT base_failed AND coalesce(class_distance, 0) <= 0.25 AND coalesce(word_distance, 0) <= 0.45 AS kept FROM j"""
 
+#: crc32 goes bit by bit; grams of equal counts stand in the order of their codes: one letter, three, two.
+LANGUAGE = r"""WITH d AS (SELECT doc_id, lang, text, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda i: (ord(c) >> i) & 1)))), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))) AS crc FROM documents),
+f AS (SELECT doc_id, lang, text, 3 - crc % 4 AS fold FROM d),
+w AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM f) GROUP BY 1, 2),
+g AS (SELECT doc_id, gram, sum(n) AS n FROM (SELECT doc_id, n, unnest(list_concat(string_split(word, ''), list_transform(range(1, length(word) + 2), lambda i: substr(' ' || word || ' ', i, 2)), list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i, 3)))) AS gram FROM w) GROUP BY 1, 2),
+p AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, (length(gram) + 1) % 3 = 0, length(gram), gram) AS r FROM g QUALIFY r <= 300),
+l AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, (length(gram) + 1) % 3 = 0, length(gram), gram) AS r FROM g JOIN f USING (doc_id) WHERE fold <> 2 AND lang IS NOT NULL GROUP BY lang, gram QUALIFY r <= 300),
+k AS (SELECT doc_id, count(*) AS size FROM p GROUP BY 1),
+m AS (SELECT doc_id, lang, sum(300 - abs(p.r - l.r)) AS near FROM p JOIN l USING (gram) GROUP BY 1, 2),
+a AS (SELECT doc_id, x.lang, 300 * size - coalesce(near, 0) AS apart, 300 * size AS most FROM k CROSS JOIN (SELECT DISTINCT lang FROM l) x LEFT JOIN m USING (doc_id, lang)),
+o AS (SELECT doc_id, lang, apart, coalesce(lead(apart) OVER (PARTITION BY doc_id ORDER BY apart, lang), most) AS other, row_number() OVER (PARTITION BY doc_id ORDER BY apart, lang) AS r FROM a)
+SELECT doc_id, coalesce(fold = 2, false) AS held_out, coalesce(o.lang, 'und') AS lang_pred, CASE WHEN other > 0 THEN CAST(other - apart AS DOUBLE) / CAST(other AS DOUBLE) ELSE 0.0 END AS score FROM f LEFT JOIN (SELECT * FROM o WHERE r = 1) o USING (doc_id)"""
+
 
 def urls(rules: list[tuple[str, str]], listed: list[str]) -> str:
     """Longest rule first, else the list."""

@@ -3,9 +3,10 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 
-from namesmith.llm import langid, licenses, toxicity
+from namesmith.llm import langid, licenses, sql, toxicity
 
 from .helpers import corpus, frame
 
@@ -39,6 +40,22 @@ def test_language_of_odd_texts(spark):
     assert langid.identify_held_out(frame(spark, corpus()).limit(0)).count() == 0
 
 
+def test_languages_equal_the_sql(spark, tmp_path):
+    """Mixed texts of few words, so that counts and distances tie; odd documents among them."""
+    rng = random.Random(6)
+    every = [w for x in WORDS.values() for w in x]
+    rows = [(i, " ".join(rng.choice(every) for _ in range(rng.randint(0, 12))), rng.choice([None, *WORDS])) for i in range(200)]
+    rows += [(i + 200, t, None) for i, (_, t) in enumerate(corpus())]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(path)
+    got = [tuple(r) for r in langid.identify_held_out(spark.read.parquet(path)).collect()]
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{path}/*.parquet'")
+    want = c.sql(sql.LANGUAGE).fetchall()
+    assert sorted(got) == sorted(want)
+    assert len({r[2] for r in want}) > 2 and any(r[3] == 0 and r[2] != "und" for r in want)
+
+
 def test_gram_counts_by_hand():
     texts = ["Ab, b\u00c9!", "", "c"]
     raw = [t.encode() for t in texts]
