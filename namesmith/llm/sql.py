@@ -76,6 +76,15 @@ a AS (SELECT doc_id, x.lang, 300 * size - coalesce(near, 0) AS apart, 300 * size
 o AS (SELECT doc_id, lang, apart, coalesce(lead(apart) OVER (PARTITION BY doc_id ORDER BY apart, lang), most) AS other, row_number() OVER (PARTITION BY doc_id ORDER BY apart, lang) AS r FROM a)
 SELECT doc_id, coalesce(fold = 2, false) AS held_out, coalesce(o.lang, 'und') AS lang_pred, CASE WHEN other > 0 THEN CAST(other - apart AS DOUBLE) / CAST(other AS DOUBLE) ELSE 0.0 END AS score FROM f LEFT JOIN (SELECT * FROM o WHERE r = 1) o USING (doc_id)"""
 
+#: A row's number goes through four rounds at a time, and again while it is outside of the table.
+SHARDS = r"""WITH RECURSIVE t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, b: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS crc FROM range(256) r(i)),
+d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, row, n, list_transform(range(n), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM d),
+c AS (SELECT doc_id, row, n, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) AS crc FROM b, t),
+s AS (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS side FROM (SELECT count(*) AS n FROM documents)),
+p AS (SELECT row, row // side AS l, row % side AS r, 0 AS k FROM c, s UNION ALL SELECT row, r, (l + CAST('0x' || substr(md5('1:' || k % 4 || ':' || r), 1, 15) AS BIGINT) % side) % side, k + 1 FROM p, s WHERE k % 4 <> 0 OR k = 0 OR l * side + r >= n)
+SELECT doc_id, c.n + 1 AS size, crc AS text_crc32, 'rows' AS law, CAST((l * side + r) % 16 AS INT) AS shard, (l * side + r) // 16 AS slot, CAST(NULL AS INT) AS grown_shard FROM c JOIN p USING (row), s WHERE k > 0 AND k % 4 = 0 AND l * side + r < s.n"""
+
 
 def urls(rules: list[tuple[str, str]], listed: list[str]) -> str:
     """Longest rule first, else the list."""
