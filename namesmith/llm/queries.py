@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namesmith.llm import decontaminate, langid, licenses, minhash, packing, quality, sharding, sql, substring_dedup, suffix_dedup, toxicity, urlfilter
+from namesmith.llm import collocations, decontaminate, langid, licenses, minhash, packing, quality, sharding, sql, substring_dedup, suffix_dedup, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,11 +67,15 @@ def op11_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir)).drop("row")
 
 
+def op13_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_suffix_array, op2_paragraph_classifier, op3_seed_extend, op4_divergence, op5_prefix_join, op6_weak_supervision, op7_rank_order, op8_bloom_cascade, op9_vector_best_fit, op10_minhash, op11_feistel)
+    every = (op1_suffix_array, op2_paragraph_classifier, op3_seed_extend, op4_divergence, op5_prefix_join, op6_weak_supervision, op7_rank_order, op8_bloom_cascade, op9_vector_best_fit, op10_minhash, op11_feistel, op13_suffix_phrases)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """What SQL expresses. The others fit models or tokenize; tests hold them against plain versions."""
-    return {"op1_suffix_array": sql.BYTES, "op3_seed_extend": sql.WORDS, "op4_divergence": sql.QUALITY, "op5_prefix_join": sql.BENCHMARK, "op7_rank_order": sql.LANGUAGE, "op8_bloom_cascade": sql.urls(RULES, LISTED), "op10_minhash": sql.NEAR, "op11_feistel": sql.SHARDS}
+    return {"op1_suffix_array": sql.BYTES, "op3_seed_extend": sql.WORDS, "op4_divergence": sql.QUALITY, "op5_prefix_join": sql.BENCHMARK, "op7_rank_order": sql.LANGUAGE, "op8_bloom_cascade": sql.urls(RULES, LISTED), "op10_minhash": sql.NEAR, "op11_feistel": sql.SHARDS, "op13_suffix_phrases": sql.PHRASES}

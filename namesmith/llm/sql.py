@@ -85,6 +85,17 @@ s AS (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS side FROM (SELECT count(*) AS n
 p AS (SELECT row, row // side AS l, row % side AS r, 0 AS k FROM c, s UNION ALL SELECT row, r, (l + CAST('0x' || substr(md5('1:' || k % 4 || ':' || r), 1, 15) AS BIGINT) % side) % side, k + 1 FROM p, s WHERE k % 4 <> 0 OR k = 0 OR l * side + r >= n)
 SELECT doc_id, c.n + 1 AS size, crc AS text_crc32, 'rows' AS law, CAST((l * side + r) % 16 AS INT) AS shard, (l * side + r) // 16 AS slot, CAST(NULL AS INT) AS grown_shard FROM c JOIN p USING (row), s WHERE k > 0 AND k % 4 = 0 AND l * side + r < s.n"""
 
+PHRASES = rf"""WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d), t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+p AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+c AS (SELECT lang, m, phrase, count(*) AS f FROM (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM p, range(1, 6) r(m) WHERE i + m - 1 <= len(w)) GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+k AS (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS w FROM c WHERE m > 1),
+s AS (SELECT k.lang, k.phrase, k.f AS a, j AS k, h.f AS l, e.f AS r, n, CAST(1000::HUGEINT * k.f * n // (h.f::HUGEINT * e.f) AS BIGINT) AS score FROM k JOIN range(1, 5) x(j) ON j < k.m
+ JOIN c h ON h.lang = k.lang AND h.phrase = array_to_string(k.w[1:j], ' ') JOIN c e ON e.lang = k.lang AND e.phrase = array_to_string(k.w[j + 1:], ' ') JOIN t ON t.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+g AS (SELECT lang, phrase FROM b WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.lang = b.lang AND len(k.w) > len(string_split(b.phrase, ' ')) AND contains(' ' || k.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * k.f >= 100 * b.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b JOIN g USING (lang, phrase)) WHERE rank <= 2000"""
+
 
 def urls(rules: list[tuple[str, str]], listed: list[str]) -> str:
     """Longest rule first, else the list."""
