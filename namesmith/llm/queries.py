@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namesmith.llm import collocations, decontaminate, langid, licenses, minhash, packing, quality, sharding, sql, substring_dedup, suffix_dedup, toxicity, urlfilter
+from namesmith.llm import collocations, decontaminate, langid, licenses, minhash, packing, quality, sharding, sql, substring_dedup, suffix_dedup, toxicity, urlfilter, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,12 +67,16 @@ def op11_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir)).drop("row")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_suffix_array, op2_paragraph_classifier, op3_seed_extend, op4_divergence, op5_prefix_join, op6_weak_supervision, op7_rank_order, op8_bloom_cascade, op9_vector_best_fit, op10_minhash, op11_feistel, op13_suffix_phrases)
+    every = (op1_suffix_array, op2_paragraph_classifier, op3_seed_extend, op4_divergence, op5_prefix_join, op6_weak_supervision, op7_rank_order, op8_bloom_cascade, op9_vector_best_fit, op10_minhash, op11_feistel, op12_whitening, op13_suffix_phrases)
     return {f.__name__: f for f in every}
 
 
