@@ -54,19 +54,25 @@ def keyed(found: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, items: DataFrame, length: int = 10, limit: int = BROADCAST) -> DataFrame:
-    """Where windows occur: doc_id, lo, hi (in words, hi exclusive), items."""
+    """Where windows occur: doc_id, mark, lo, hi (in words, hi exclusive), items.
+
+    mark is a hash of the text, which tells texts of one doc_id apart. Rows
+    without doc_id are searched as any others.
+    """
     keys = cut(keyed(windows(items, length), docs, limit), "windows")
     known = small(keys, F.octet_length("window") + F.octet_length("token") + 64 * F.size("items") + 64, limit)
     lo = F.col("pos") - F.col("off")
     fits = (lo >= 0) & (lo + F.col("n") <= F.size("words"))
     equal = folded(F.array_join(F.slice("words", lo + 1, F.col("n")), " ")) == F.col("window")
-    split = docs.select("doc_id", words(F.col("text")).alias("words"))
+    own = ("doc_id", F.xxhash64("text").alias("mark"))
+    split = docs.select(*own, words(F.col("text")).alias("words"))
     if known is not keys:
-        met = split.select("doc_id", "words", F.posexplode("words").alias("pos", "word")).join(known, (F.lower("word") == F.col("token")) & fits & equal)
+        met = split.select("doc_id", "mark", "words", F.posexplode("words").alias("pos", "word")).join(known, (F.lower("word") == F.col("token")) & fits & equal)
     else:
-        places = split.select("doc_id", F.posexplode("words").alias("pos", "word")).join(keys.select("token", "window"), F.lower("word") == F.col("token")).select("doc_id", "pos", "window")
-        met = places.join(keys, "window").join(split, "doc_id").where(fits & equal)
-    return met.select("doc_id", lo.alias("lo"), (lo + F.col("n")).alias("hi"), "items")
+        places = split.select("doc_id", "mark", F.posexplode("words").alias("pos", "word")).join(keys.select("token", "window"), F.lower("word") == F.col("token"))
+        places = places.select(F.col("doc_id").alias("at"), F.col("mark").alias("of"), "pos", "window")
+        met = places.join(keys, "window").join(split.dropDuplicates(["doc_id", "mark"]), F.col("at").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("mark"))).where(fits & equal)
+    return met.select("doc_id", "mark", lo.alias("lo"), (lo + F.col("n")).alias("hi"), "items")
 
 
 def covered(spans: Column) -> Column:
@@ -81,17 +87,18 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, limit: in
 
     Words are compared with A-Z lower-cased; an item of fewer words than a
     window, but not none, is one window. Null texts and items have no words.
-    Rows that repeat a doc_id share their hits; rows without doc_id are left
-    out. No items: nothing is contaminated.
+    Rows with equal doc_id and text have equal results, texts that share a
+    doc_id but differ have each their own; rows without doc_id are left out. No
+    items: nothing is contaminated.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
     hits = (
         occurrences(docs, items, length, limit)
-        .groupBy("doc_id")
+        .groupBy("doc_id", "mark")
         .agg(F.collect_set(F.struct("lo", "hi")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        .select("doc_id", covered(F.col("spans")).alias("n_hit"), "items")
+        .select("doc_id", "mark", covered(F.col("spans")).alias("n_hit"), "items")
     )
-    met = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(hits, "doc_id", "left")
+    met = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.size(words(F.col("text"))).cast("long").alias("n_words")).join(hits, ["doc_id", "mark"], "left")
     found = F.coalesce("items", F.array().cast("array<string>"))
     return met.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(found).cast("long").alias("n_items"),

@@ -13,7 +13,7 @@ def by_hand(rows, items, n):
         w = ALNUM.findall(lower_ascii(t))
         for p in range(max(1, len(w) - n + 1)) if w else []:
             windows.setdefault(tuple(w[p : p + n]), set()).add(str(i))
-    out = {}
+    out = []
     for i, t in rows:
         w = ALNUM.findall(lower_ascii(t))
         hit, found = [False] * len(w), set()
@@ -22,17 +22,20 @@ def by_hand(rows, items, n):
                 if tuple(w[p : p + size]) in windows:
                     hit[p : p + size] = [True] * size
                     found |= windows[tuple(w[p : p + size])]
-        out[i] = (len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(hit))
-    return out
+        out.append((i, len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(hit)))
+    return sorted(out)
 
 
 @pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_contamination(spark, limit):
     rows = corpus()
+    shared = rows[0][0]
+    rows += [(shared, "x River, stone! y"), (shared, "clean text"), (shared, "clean text"), (shared, rows[12][1])]
     texts = [t for _, t in rows if t]
     items = [(1, " ".join(texts[12].split()[:25])), (2, "River, stone!"), (10, None), (11, " ,"), (12, texts[-1][300:700]), (13, texts[12].upper()), (13, "lamp"), (14, "osas osas osas osas osas osas osas osas osas osas osas")]
     frame_of_items = spark.createDataFrame([(i, t, 1, "x") for i, t in items], "item_id long, text string, doc_id int, words string")
-    got = {r.doc_id: tuple(r)[1:6] for r in decontaminate.contamination(frame(spark, rows), frame_of_items, limit=limit).collect()}
+    got = sorted(tuple(r)[:6] for r in decontaminate.contamination(frame(spark, rows), frame_of_items, limit=limit).collect())
+    assert all(r[2] <= r[1] for r in got)
     assert got == by_hand(rows, items, 10)
 
 
