@@ -64,10 +64,15 @@ def passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a benchmark window; without items none goes."""
+    """Drops documents with a benchmark window; without items none goes.
+
+    Texts that share a doc_id are judged each on its own, and so are rows
+    without doc_id.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.occurrences(docs, items).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = decontaminate.occurrences(docs, items).select(F.col("doc_id").alias("id"), "mark").distinct()
+    rows = bundled(docs).withColumn("own", F.xxhash64("text"))
+    return restored(rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("mark")), "left_anti"), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
