@@ -32,7 +32,7 @@ def test_run_packs_what_is_left(spark):
 
 
 def test_names():
-    assert [q.split("_")[0] for q in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.fixture
