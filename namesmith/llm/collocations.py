@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,74 +34,113 @@ _END = np.zeros(256, bool)
 _END[list(ENDS)] = True
 
 
+def sorted_places(keys: np.ndarray) -> np.ndarray:
+    """argsort of non-negative keys: key and place are sorted as one number where both fit."""
+    bits = max(1, len(keys).bit_length())
+    if len(keys) and int(keys.max()).bit_length() + bits > 63:
+        return np.argsort(keys, kind="stable")
+    return np.sort((keys.astype(np.int64) << bits) | np.arange(len(keys))) & ((1 << bits) - 1)
+
+
+def dense(keys: np.ndarray) -> np.ndarray:
+    """Ids from 1 in the order of the keys; equal keys, equal ids."""
+    order = sorted_places(keys)
+    own = keys[order]
+    ids = np.empty(len(keys), np.int64)
+    ids[order] = np.cumsum(np.r_[True, own[1:] != own[:-1]]) if len(keys) else 0
+    return ids
+
+
 def ids_of(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Ids from 1 for pairs of hashes; equal pairs, equal ids."""
-    order = np.lexsort((two, one))
-    new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])] if len(order) else np.zeros(0, bool)
+    if not len(one):
+        return np.zeros(0, np.int64)
+    # Sorted by as much of one hash as leaves room for the place; both are compared in full.
+    bits = np.uint64(len(one).bit_length())
+    order = (np.sort((one >> bits << bits) | np.arange(len(one), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    for attempt in (0, 1):
+        a, b = one[order], two[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        if attempt or np.array_equal(new[1:], (a[1:] >> bits) != (a[:-1] >> bits)):
+            break
+        order = np.lexsort((two, one))
     ids = np.empty(len(order), np.int64)
     ids[order] = np.cumsum(new)
     return ids
 
 
 class Shard:
-    """The words of some documents: normal bytes (one space between words), word spans, ids, what is left of each piece."""
+    """The words of some documents: normal bytes (one space between words), word spans, what is left of each piece, and languages."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, lang: np.ndarray) -> None:
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, lang: np.ndarray, keys: np.ndarray) -> None:
         low = kernels.lower_ascii(buf)
         starts, ends, at = kernels.words(low, offs, _INSIDE)
+        n = len(starts)
         doc = np.repeat(np.arange(len(offs) - 1), np.diff(at))
         stops = np.r_[0, np.cumsum(_END[low])]
-        same = (doc[1:] == doc[:-1]) & (stops[ends[:-1]] == stops[starts[1:]]) if len(starts) else np.zeros(0, bool)
-        own = lang[doc].astype(np.uint64)
-        salt = kernels.mix(own + np.uint64(1))
-        self.lang = own.astype(np.int64)
-        self.ids = ids_of(kernels.word_hashes(low, starts, ends, 0) ^ salt, kernels.word_hashes(low, starts, ends, 1) ^ salt)
-        # Where a piece ends, as seen from each of its words.
-        last = np.flatnonzero(np.r_[~same, True]) if len(starts) else np.zeros(0, np.int64)
-        self.left = (last[np.searchsorted(last, np.arange(len(starts)))] + 1 - np.arange(len(starts))) if len(starts) else np.zeros(0, np.int64)
+        same = (doc[1:] == doc[:-1]) & (stops[ends[:-1]] == stops[starts[1:]]) if n else np.zeros(0, bool)
+        last = np.flatnonzero(np.r_[~same, True]) if n else np.zeros(0, np.int64)
+        self.left = np.repeat(last + 1, np.diff(np.r_[-1, last])) - np.arange(n)
+        self.lang, self.salts = lang[doc], keys[lang[doc]]
         sizes = ends - starts
-        self.starts = np.r_[0, np.cumsum(sizes + 1)[:-1]] if len(starts) else starts
-        self.ends = self.starts + sizes
-        flat = np.full(int(sizes.sum() + len(sizes)), 32, np.uint8)
-        flat[ranges(self.starts, sizes)] = low[ranges(starts, sizes)]
-        self.flat = flat
-
-    def ranks(self, most: int) -> dict[int, np.ndarray]:
-        """Ids of the phrases of 1, 2, 4 ... words at each place, shorter where the piece ends: prefix doubling."""
+        self.ends = np.cumsum(sizes + 1) - 1
+        self.starts = self.ends - sizes
+        self.flat = np.full(int(sizes.sum() + n), 32, np.uint8)
+        self.flat[ranges(self.starts, sizes)] = low[ranges(starts, sizes)]
+        self.sums = kernels.prefix(kernels.BYTES[0][self.flat], 0)
+
+    def reduced(self, places: np.ndarray, most: int) -> np.ndarray:
+        """Gives ids to the words that phrases of up to ``most`` words at the given places hold; returns these words' places."""
+        size = np.minimum(self.left[places], most)
+        edges = np.zeros(len(self.left) + 1, np.int64)
+        np.add.at(edges, places, 1)
+        np.add.at(edges, places + size, -1)
+        live = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+        self.ids = np.zeros(len(self.left), np.int64)
+        lo, hi = self.starts[live], self.ends[live]
+        one = kernels.stretch(self.sums, lo, hi, 0)
+        for i in np.flatnonzero(hi - lo > kernels.LONG).tolist():
+            one[i] = xxhash.xxh3_64_intdigest(self.flat[lo[i] : hi[i]].tobytes())
+        two = kernels.word_hashes(self.flat, lo, hi, 1)
+        self.ids[live] = ids_of(one ^ self.salts[live], two ^ kernels.mix(self.salts[live].copy()))
+        return live
+
+    def ranks(self, live: np.ndarray, most: int) -> dict[int, np.ndarray]:
+        """Ids of the phrases of 1, 2, 4 ... words at live places, shorter where the piece ends: prefix doubling."""
         out, size = {1: self.ids}, 1
         while size < most:
             rank = out[size]
             after = np.zeros_like(rank)
-            has = np.flatnonzero(self.left > size)
+            has = live[self.left[live] > size]
             after[has] = rank[has + size]
-            out[2 * size] = np.unique(rank * (int(after.max(initial=0)) + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
+            out[2 * size] = np.zeros_like(rank)
+            out[2 * size][live] = dense(rank[live] * (int(after.max(initial=0)) + 1) + after[live])
             size *= 2
         return out
 
     def intervals(self, lengths: tuple[int, ...], allowed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(m, places, counts): each phrase of m words at allowed places once, with how often it starts there."""
-        ranks = self.ranks(max(lengths))
-        sizes = sorted(ranks, reverse=True)
         at = np.flatnonzero(allowed & (self.left >= min(lengths)))
         if not len(at):
             return
-        array = at[np.argsort(ranks[sizes[0]][at], kind="stable")]
+        ranks = self.ranks(self.reduced(at, max(lengths)), max(lengths))
+        sizes = sorted(ranks, reverse=True)
+        array = at[sorted_places(ranks[sizes[0]][at])]
         a, b = array[:-1], array[1:]
         lcp = np.zeros(len(a), np.int64)
         for size in sizes:
-            x, y = a + lcp, b + lcp
             fits = np.flatnonzero((self.left[a] - lcp >= size) & (self.left[b] - lcp >= size))
-            lcp[fits] += size * (ranks[size][x[fits]] == ranks[size][y[fits]])
+            lcp[fits] += size * (ranks[size][a[fits] + lcp[fits]] == ranks[size][b[fits] + lcp[fits]])
         for m in lengths:
             long = self.left[array] >= m
-            head = np.r_[True, lcp < m] & long
-            group = np.cumsum(head)
-            yield m, array[head], np.bincount(group[long], minlength=int(group[-1]) + 1)[1:] if len(group) else group
+            heads = np.flatnonzero(np.r_[True, lcp < m] & long)
+            if len(heads):
+                # Shorter suffixes lie before the phrases of m words that they begin, never among equal ones.
+                yield m, array[heads], np.add.reduceat(long.astype(np.int64), heads)
 
     def slots(self, places: np.ndarray, m: int, bits: int) -> np.ndarray:
         """Bitmap slots of the phrases of m words at the given places."""
-        hi = self.ends[places + m - 1]
-        return slot(kernels.stretch(self.sums, self.starts[places], hi, 0), self.lang_keys[places], bits)
+        return slot(kernels.stretch(self.sums, self.starts[places], self.ends[places + m - 1], 0), self.salts[places], bits)
 
     def phrases(self, places: np.ndarray, m: int) -> pa.Array:
         lo, hi = self.starts[places], self.ends[places + m - 1]
@@ -117,27 +157,24 @@ def ranges(lo: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(lo - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
 
 
-def slot(hashes: np.ndarray, lang_keys: np.ndarray, bits: int) -> np.ndarray:
-    return (kernels.mix(hashes + lang_keys) & np.uint64(bits - 1)).astype(np.int64)
+def slot(hashes: np.ndarray, salts: np.ndarray, bits: int) -> np.ndarray:
+    return (kernels.mix(hashes + salts) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def lang_key(names: list[str]) -> np.ndarray:
-    import xxhash
-
     return np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in names], np.uint64)
 
 
 def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[Shard, np.ndarray]]:
     """The shards of the batches, with the names of the languages."""
     kernels.release()
+    for which in (0, 1):  # tables that would otherwise be made anew for each longer shard
+        kernels.powers(which, size + (1 << 19))
     for batch in batches:
         names, lang = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True)
         keys = lang_key(list(names))
         for first, buf, offs in kernels.slices(*kernels.utf8(batch.column("text")), size):
-            shard = Shard(buf, offs, lang[first : first + len(offs) - 1])
-            shard.lang_keys = keys[shard.lang]
-            shard.sums = kernels.prefix(kernels.BYTES[0][shard.flat], 0)
-            yield shard, names
+            yield Shard(buf, offs, lang[first : first + len(offs) - 1], keys), names
 
 
 def counted(docs: DataFrame, lengths: tuple[int, ...], part: int = 0, bitmap: np.ndarray | None = None, size: int = SHARD) -> DataFrame:
