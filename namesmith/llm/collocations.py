@@ -4,9 +4,11 @@ A shard is a run of whole documents. Its words get ids, the suffixes of its
 pieces are sorted by numpy prefix doubling through the longest phrase, and the
 intervals of the LCP array are its n-grams with their counts. Spark sums these
 by language and phrase. As a phrase is no more frequent than its parts, shards
-count up in lengths: a longer n-gram is only sent on where both its parts of one
-word less are frequent, told by a bitmap of bounded size that may let others
-through but keeps none back.
+count up in lengths: a longer n-gram is only sent on where its shorter parts are
+frequent, told by a bitmap of bounded size that may let others through but keeps
+none back. Pairs and triples, of which most are rare, are first counted by hash;
+only those whose hash is frequent go on as text, and the text's count is what
+holds.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from namesmith.llm import kernels
 from namesmith.llm.decontaminate import BROADCAST, small
 from namesmith.plans.storage import cut
 
-COUNTS = "lang string, m int, phrase string, f long"
+COUNTS = "lang string, phrase string, h long, f long"
 #: Bytes of text in a shard, and the most bits of a bitmap (bitmaps go to all tasks).
 SHARD, MOST_BITS = 1 << 21, 1 << 29
 #: What ends a piece, and what parts words in it.
@@ -138,9 +140,9 @@ class Shard:
                 # Shorter suffixes lie before the phrases of m words that they begin, never among equal ones.
                 yield m, array[heads], np.add.reduceat(long.astype(np.int64), heads)
 
-    def slots(self, places: np.ndarray, m: int, bits: int) -> np.ndarray:
-        """Bitmap slots of the phrases of m words at the given places."""
-        return slot(kernels.stretch(self.sums, self.starts[places], self.ends[places + m - 1], 0), self.salts[places], bits)
+    def hashes(self, places: np.ndarray, m: int) -> np.ndarray:
+        """Hashes of the phrases of m words at the given places, with their language."""
+        return salted(kernels.stretch(self.sums, self.starts[places], self.ends[places + m - 1], 0), self.salts[places])
 
     def phrases(self, places: np.ndarray, m: int) -> pa.Array:
         lo, hi = self.starts[places], self.ends[places + m - 1]
@@ -157,8 +159,8 @@ def ranges(lo: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(lo - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
 
 
-def slot(hashes: np.ndarray, salts: np.ndarray, bits: int) -> np.ndarray:
-    return (kernels.mix(hashes + salts) & np.uint64(bits - 1)).astype(np.int64)
+def salted(hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    return kernels.mix(hashes + salts)
 
 
 def lang_key(names: list[str]) -> np.ndarray:
@@ -177,74 +179,86 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[Shard
             yield Shard(buf, offs, lang[first : first + len(offs) - 1], keys), names
 
 
-def counted(docs: DataFrame, lengths: tuple[int, ...], part: int = 0, bitmap: np.ndarray | None = None, size: int = SHARD) -> DataFrame:
-    """(lang, m, phrase, f), phrases of the given lengths of which the bitmap has all parts of ``part`` words.
+def counted(docs: DataFrame, named: tuple[int, ...], hashed: tuple[int, ...] = (), part: int = 0, bitmap: np.ndarray | None = None, size: int = SHARD) -> DataFrame:
+    """(lang, phrase, h, f): phrases of which the bitmap has all parts of ``part`` words.
 
-    Without a bitmap all phrases count, and words in all with m = 0.
+    Those of the lengths ``named`` come as text (h is 0), those of ``hashed`` as
+    a hash h, which takes a third of the room. Without a bitmap all phrases count,
+    and a language's words in all, as the phrase "".
     """
     held = None if bitmap is None else docs.sparkSession.sparkContext.broadcast(bitmap)
+    lengths = tuple(sorted({*named, *hashed}))
+    names_of = ["lang", "phrase", "h", "f"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(names, shard, places, m, f):
-            columns = [pa.array(names[shard.lang[places]], pa.string()), pa.array(np.full(len(places), m, np.int32)), shard.phrases(places, m), pa.array(f.astype(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "m", "phrase", "f"])
-
         for shard, names in shards(batches, size):
             good = shard.left >= max(part, 1)
             if held:
                 bits, at = held.value, np.flatnonzero(good)
-                slots = shard.slots(at, part, 8 * len(bits))
-                good[at] = (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+                slots = shard.hashes(at, part) & np.uint64(8 * len(bits) - 1)
+                good[at] = (bits[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
             else:
                 n = np.bincount(shard.lang, minlength=len(names))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names)), pa.array(n.astype(np.int64))], names=["lang", "m", "phrase", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([""] * len(names)), pa.array(np.zeros(len(names), np.int64)), pa.array(n.astype(np.int64))], names=names_of)
             starts, whole = good, {}
-            for m in range(max(part, 1), max(lengths) + 1):
+            for m in range(max(part, 1), lengths[-1] + 1):
                 if part and m > part:  # The last part of the phrase that starts here.
                     starts = starts & np.r_[good[m - part :], np.zeros(min(m - part, len(good)), bool)]
                 whole[m] = starts & (shard.left >= m)
-            for m, places, f in shard.intervals(lengths, whole[min(lengths)]):
+            for m, places, f in shard.intervals(lengths, whole[lengths[0]]):
                 keep = whole[m][places]
-                if keep.any():
-                    yield rows(names, shard, places[keep], m, f[keep])
+                places, f = places[keep], pa.array(f[keep].astype(np.int64))
+                if len(places) and m in named:
+                    yield pa.RecordBatch.from_arrays([pa.array(names[shard.lang[places]], pa.string()), shard.phrases(places, m), pa.array(np.zeros(len(places), np.int64)), f], names=names_of)
+                elif len(places):
+                    none = pa.nulls(len(places), pa.string())
+                    yield pa.RecordBatch.from_arrays([none, none, kernels.signed(shard.hashes(places, m)), f], names=names_of)
+
+    return docs.mapInArrow(emit, COUNTS).groupBy("lang", "phrase", "h").agg(F.sum("f").alias("f"))
 
-    return docs.mapInArrow(emit, COUNTS)
+
+def passes(longest: int) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]]:
+    """(part, named, hashed) of each pass: words; pairs by hash; pairs, and triples by hash; triples and longer ones."""
+    every = [(0, (1,), ()), (1, (), (2,)), (2, (2,), (3,)), (3, tuple(range(3, longest + 1)), ())]
+    return [(part, named, tuple(m for m in hashed if m <= longest)) for part, named, hashed in every if part <= longest and (named or hashed)]
 
 
 def frequent(docs: DataFrame, longest: int = 5, least: int = 100, size: int = SHARD, most_bits: int = MOST_BITS) -> DataFrame:
     """(lang, m, phrase, f): words and phrases of up to ``longest`` words that come ``least`` times in their language, and each language's words in all (m = 0, phrase "")."""
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    tables, bitmap, part = [], None, 0
-    for lengths in [(1,), (2,), (3,), tuple(range(4, longest + 1))]:
-        lengths = tuple(m for m in lengths if m <= longest)
-        if not lengths:
-            break
-        found = counted(own, lengths, part, bitmap, size).groupBy("lang", "m", "phrase").agg(F.sum("f").alias("f"))
-        tables.append(cut(found.where((F.col("f") >= least) | (F.col("m") == 0)), "phrases"))
-        part = max(lengths)
-        bitmap = bitmap_of(tables[-1].where(F.col("m") == part), most_bits)
-        if bitmap is None:
+    bitmap, out = None, None
+    for part, named, hashed in passes(max(2, longest)):
+        if part and bitmap is None:
             break
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+        found = counted(own, named, hashed, part, bitmap, size)
+        table = cut(found.where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
+        if named:
+            some = table.where("phrase is not null").select("lang", "phrase", "f")
+            out = some if out is None else out.unionByName(some)
+        hashes = table.where("phrase is null").select("h") if hashed else hashes_of(table.where("phrase <> ''"))
+        bitmap = bitmap_of(hashes, most_bits)
+    return out.withColumn("m", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))).where(F.col("m") <= longest)
 
 
-def bitmap_of(phrases: DataFrame, most_bits: int) -> np.ndarray | None:
-    """A bit per slot of a phrase's hash; none if there are no phrases. At most ``most_bits`` bits come to the driver, whatever the number of phrases."""
-    n = phrases.count()
-    if not n:
-        return None
-    bits = min(most_bits, 1 << max(16, (16 * n).bit_length()))
+def hashes_of(phrases: DataFrame) -> DataFrame:
+    """(h): as a shard hashes them."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = kernels.utf8(batch.column("phrase"))
             hashes = kernels.stretch(kernels.prefix(kernels.BYTES[0][buf], 0), offs[:-1], offs[1:], 0)
-            yield pa.RecordBatch.from_arrays([pa.array(slot(hashes, lang_key(batch.column("lang").to_pylist()), bits) + 1)], names=["slot"])
+            yield pa.RecordBatch.from_arrays([kernels.signed(salted(hashes, lang_key(batch.column("lang").to_pylist())))], names=["h"])
+
+    return phrases.select("lang", "phrase").mapInArrow(emit, "h long")
+
 
-    slots = phrases.select("lang", "phrase").mapInArrow(emit, "slot long")
+def bitmap_of(hashes: DataFrame, most_bits: int) -> np.ndarray | None:
+    """A bit per slot of a hash; none if there are no hashes. At most ``most_bits`` bits come to the driver, whatever the number of phrases."""
+    n = hashes.count()
+    if not n:
+        return None
+    bits = min(most_bits, 1 << max(16, (16 * n).bit_length()))
+    slots = hashes.select((F.col("h").bitwiseAND(F.lit(bits - 1)) + 1).alias("slot"))
     parts = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
     for r in parts.toLocalIterator():
