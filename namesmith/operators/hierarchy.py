@@ -4,28 +4,36 @@ Rounds go from the finest canopy to the coarsest. Spark groups the current
 roots by the round's canopy and deals groups to tasks; there pairs of nodes
 propose merges and splits, and a move is accepted by the model score. Merged
 roots go on with the sum of their bags, so a task never holds the mentions of a
-block, only what is still apart. A group of more than ``most`` roots is dealt
-again and again (``dealt``), each time otherwise, until hardly anything merges:
-no two roots are kept apart for good. Random numbers follow from a block's name
-and rows are sorted, so partitioning never changes a result.
+block, only what is still apart.
+
+A group of more than ``most`` roots meets by a schedule. Its roots are dealt to
+q * q lots, the points of an affine plane of prime order q, and a sweep has a
+meeting for each direction of lines: a task samples the q lots of one line.
+Any two lots lie on one line, so in a sweep each two roots share a task (those
+that merge go on as one). Sweeps, each with other lots, go on until one merges
+nothing; each begins with a meeting of roots that share tokens. A group that fits
+a task is the plane of one point. Random numbers follow from a block's name and
+rows are sorted, so partitioning never changes a result.
 """
 
 from __future__ import annotations
 
 import math
 import random
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.functions.canopies import Canopy
 from namesmith.functions.names import Processor, identity
+from namesmith.operators.components import components
 from namesmith.operators.features import mention_bags, title_vectors
-from namesmith.plans.storage import cut, remove
+from namesmith.plans.storage import cut, remove, shared_folder
 
 BAGS = ("firstNames", "middleNames", "emails", "institutions", "coauthors", "topics", "text", "keywords", "venues")
 
@@ -287,6 +295,7 @@ class Trial:
 def sample(roots: list[Node], model: Model, rng: random.Random) -> list[Node]:
     """Roots after sampling moves among the nodes of these trees."""
     nodes, idle = [x for r in roots for x in r.nodes()], 0
+    place = {id(x): i for i, x in enumerate(nodes)}
     for x in nodes:
         x.score = node_score(x, model)
     for _ in range(min(len(nodes) * model.steps_per_node, model.most_steps)):
@@ -314,11 +323,18 @@ def sample(roots: list[Node], model: Model, rng: random.Random) -> list[Node]:
             trial.do(options[pick - 1])
             trial.gain()
             trial.keep()
-            nodes = [x for x in nodes if not any(x is g for g in trial.gone)] + ([trial.made] if trial.made else [])
+            for g in trial.gone:  # the last node takes its place
+                at, last = place.pop(id(g)), nodes.pop()
+                if last is not g:
+                    nodes[at], place[id(last)] = last, at
+            if trial.made:
+                place[id(trial.made)] = len(nodes)
+                nodes.append(trial.made)
     return [x for x in nodes if x.parent is None]
 
 
 ROOT = "node string, members array<string>, count long, canopies array<string>, vec array<double>, " + ", ".join(f"{k} map<string,double>" for k in BAGS)
+COLUMNS = ["node", "count", "canopies", "vec", *BAGS]
 
 
 def cluster_block(block: str, rows: pd.DataFrame, model: Model) -> pd.DataFrame:
@@ -333,59 +349,121 @@ def cluster_block(block: str, rows: pd.DataFrame, model: Model) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["node", "members", "count", "canopies", "vec", *BAGS])
 
 
-def dealt(roots: DataFrame, name: Column, most: int, turn: int) -> DataFrame:
-    """Roots with n, the size of their group, and the block they are sampled in.
+def prime(n: int) -> int:
+    """The least prime of at least n."""
+    while n < 2 or any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
 
-    Groups over ``most`` are dealt by the least hash of a root's tokens, which
-    brings together roots that share many, and what is still over by a hash of
-    the root. Both differ from turn to turn.
-    """
-    tokens = F.flatten(F.array(*(F.map_keys(k) for k in BAGS if k not in ("firstNames", "middleNames"))))
-    lot = F.pmod(F.coalesce(F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, F.lit(turn)))), F.xxhash64("node", F.lit(turn))), F.ceil(F.col("n") / most))
+
+def plane(size: int, most: int) -> int:
+    """The order of the plane on which so many roots meet: 1 if they fit a task, else lines of about nine tenths of ``most`` roots."""
+    return 1 if size <= most else prime(math.ceil(size / (0.9 * most)))
+
+
+def line(node: Column, order: Column, sweep: int, turn: int) -> Column:
+    """The line of a direction (0 .. order) that a root's lot lies on, from 0; lots differ from sweep to sweep."""
+    x, y = (F.pmod(F.xxhash64(node, F.lit(sweep), F.lit(axis)), order) for axis in "xy")
+    return F.when(order == turn, x).otherwise(F.pmod(y + x * turn, order))
+
+
+def grouped(roots: DataFrame, name: Column, most: int) -> DataFrame:
+    """Roots with their group, its size n and the order of its plane."""
+    orders = F.udf(lambda n: plane(n, most), "int")
     sizes = roots.groupBy(name.alias("group")).agg(F.count("*").alias("n"))
-    own = roots.withColumn("group", name).join(sizes, "group").withColumn("lot", F.when(F.col("n") > most, lot).otherwise(0))
-    lots = own.groupBy("group", "lot").agg(F.count("*").alias("m"))
-    part = F.when(F.col("m") > most, F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("m") / most))).otherwise(0)
-    return own.join(lots, ["group", "lot"]).withColumn("block", F.concat_ws("#", "group", F.col("lot").cast("string"), part.cast("string"), F.lit(str(turn)))).drop("m", "lot")
+    sizes = sizes.withColumn("order", F.when(F.col("n") <= most, F.lit(1)).otherwise(orders("n")))
+    return roots.select("*", name.alias("group")).join(sizes, "group")
+
+
+def kin(roots: DataFrame, most: int, sweep: int) -> DataFrame:
+    """roots with a line (below 0, so none of a plane's) by the least hash of their tokens, which brings together those that share many; ``most`` to a line."""
+    tokens = F.flatten(F.array(*(F.map_keys(k) for k in BAGS if k not in ("firstNames", "middleNames"))))
+    lot = F.pmod(F.coalesce(F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, F.lit(sweep)))), F.xxhash64("node", F.lit(sweep))), F.col("order"))
+    own = roots.withColumn("lot", lot)
+    sizes = own.groupBy("group", "lot").agg(F.ceil(F.count("*") / most).alias("parts"))
+    part = F.pmod(F.xxhash64("node", F.lit(sweep)), F.col("parts"))
+    return own.join(sizes, ["group", "lot"]).withColumn("line", -1 - F.col("lot") - F.col("order") * part).drop("lot", "parts")
+
+
+def met(lined: DataFrame, model: Model, meeting: str) -> DataFrame:
+    """The roots after the lines have met, with ``members`` (the roots that each was made of)."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return cluster_block(f"{key[0]}#{key[1]}#{meeting}", part, model)
+
+    return cut(lined.groupBy("group", "line").applyInPandas(run, ROOT), "met")
+
+
+class Merges:
+    """A written table of (old, new) roots that grows by a meeting at a time."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/merges-{uuid.uuid4().hex}", 0
+
+    def add(self, found: DataFrame) -> int:
+        """Appends a meeting's merges and returns how many there were."""
+        n = found.select(F.coalesce(F.sum(F.size("members") - 1), F.lit(0))).first()[0]
+        if n:
+            found.select(F.explode("members").alias("old"), F.col("node").alias("new")).where("old <> new").write.mode("append").parquet(self.path)
+        self.n += n
+        return n
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema("old string, new string").parquet(self.path)
 
 
-def resolve(mentions: DataFrame, canopies: list[Canopy], model: Model = Model(), processor: Processor = identity, keystore: DataFrame | None = None, dim: int = 0, most: int = 2000, settled: float = 0.001) -> DataFrame:
+def gathered(roots: DataFrame, name: Column, model: Model, most: int, sweep: int, merges: Merges) -> DataFrame:
+    """The roots of a round: every group has met, large ones until a whole sweep merged nothing.
+
+    A sweep of a large group begins with a meeting of kin, as what is alike
+    should meet first, and goes through all lines of its plane.
+    """
+    groups = cut(grouped(roots, name, most), "groups")
+    quiet = groups.where("n = 1").select(*COLUMNS)
+    while not groups.where("n > 1").isEmpty():
+        whole = met(groups.where("n > 1 and order = 1").withColumn("line", F.lit(0)), model, str(sweep))
+        merges.add(whole)
+        quiet = quiet.unionByName(whole.select(*COLUMNS))
+        large, changed = groups.where("order > 1").select(*COLUMNS, "group", "order"), 0
+        orders = cut(large.select("group", "order").distinct(), "orders")
+        last_turn = orders.agg(F.max("order")).first()[0]
+        for turn in range(-1, last_turn + 1) if last_turn else ():
+            active = large.where(F.col("order") >= turn)
+            lined = kin(active, most, sweep) if turn < 0 else active.withColumn("line", line(F.col("node"), F.col("order"), sweep, turn))
+            found = met(lined, model, f"{sweep}#{turn}")
+            changed += merges.add(found)
+            still = found.select(*COLUMNS).withColumn("group", name).join(orders, "group").select(large.columns)
+            last, large = large, cut(still.unionByName(large.where(F.col("order") < turn)), "large")
+            remove(last, found)
+        sweep += 1
+        if not changed:
+            return quiet.unionByName(large.select(*COLUMNS))
+        groups = cut(grouped(large.select(*COLUMNS), name, most), "groups")
+        quiet = quiet.unionByName(groups.where("n = 1").select(*COLUMNS))
+    return quiet
+
+
+def resolve(mentions: DataFrame, canopies: list[Canopy], model: Model = Model(), processor: Processor = identity, keystore: DataFrame | None = None, dim: int = 0, most: int = 2000) -> DataFrame:
     """(mention_id, entity_id) by sampling in rounds over canopies, from fine to coarse.
 
-    Names of mentions and coauthors are processed first. ``most`` bounds the
-    roots that a task holds; a larger group is dealt in further turns until a
-    turn merges no more than the share ``settled`` of its roots. Trees of
-    earlier turns are settled: they merge and move as wholes.
+    Names of mentions and coauthors are processed first. A task holds about
+    ``most`` roots at most; larger groups meet by a schedule of tasks that brings
+    each two of their roots together. Trees of earlier meetings are settled: they
+    merge and move as wholes. An entity's id is its least mention.
     """
     named = mentions.dropDuplicates(["mentionId"]).withColumn("self", processor(F.col("self"))).withColumn("coauthors", F.transform("coauthors", lambda a: processor(a)))
     named = named.withColumn("canopies", F.array(*(c(F.col("self")) for c in canopies)))
     bags = mention_bags(named).drop("canopy", "lastNames").join(named.select("mentionId", "canopies"), "mentionId")
     vectors = title_vectors(named, keystore, dim) if keystore is not None else None
     rows = bags.join(vectors, "mentionId") if vectors is not None else bags.withColumn("vec", F.array().cast("array<double>"))
-    columns = ["node", "count", "canopies", "vec", *BAGS]
-    roots = cut(rows.withColumnRenamed("mentionId", "node").withColumn("count", F.lit(1).cast("long")).select(*columns), "roots")
-    member = roots.select(F.col("node").alias("mention_id"), "node")
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return cluster_block(key[0], part, model)
-
-    turn = 0
+    roots = cut(rows.withColumnRenamed("mentionId", "node").withColumn("count", F.lit(1).cast("long")).select(*COLUMNS), "roots")
+    ids, merges = roots.select(F.col("node").alias("mention_id")), Merges(mentions.sparkSession)
     for i in range(len(canopies)):
         name = F.get("canopies", F.lit(i))
-        while True:
-            blocks = cut(dealt(roots, name, most, turn), "dealt")
-            found = cut(blocks.where("n > 1").select("block", *columns).groupBy("block").applyInPandas(run, ROOT), "found")
-            over = blocks.where(F.col("n") > most).count()
-            merged = found.select("node", F.explode("members").alias("old")).where("node <> old")
-            moved = merged.join(blocks.where(F.col("n") > most).select(F.col("node").alias("old")), "old", "left_semi").count() if over else 0
-            last, before = roots, member
-            roots = cut(blocks.where("n = 1").select(*columns).unionByName(found.select(*columns)), "roots")
-            member = cut(before.join(merged.withColumnRenamed("node", "new"), F.col("node") == F.col("old"), "left").select("mention_id", F.coalesce("new", "node").alias("node")), "members")
-            one = blocks.select(F.min("group") == F.max("group")).first()[0]
-            remove(last, before, blocks, found)
-            turn += 1
-            if moved <= settled * over:
-                break
-        if one:
-            break
-    return member.select("mention_id", F.col("node").alias("entity_id"))
+        last, roots = roots, cut(gathered(roots, name, model, most, 1000 * i, merges), "roots")
+        if i:
+            remove(last)
+    if not merges.n:
+        return ids.withColumn("entity_id", F.col("mention_id"))
+    parts = components(merges.table(), "old", "new")
+    return ids.join(parts, F.col("mention_id") == F.col("node"), "left").select("mention_id", F.coalesce("component", "mention_id").alias("entity_id"))

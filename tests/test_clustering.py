@@ -2,14 +2,15 @@ import copy
 import math
 import random
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from namesmith.functions import canopies, vectors
-from namesmith.operators import evaluate, features, hierarchy, pairwise
+from namesmith.operators import blocking, evaluate, features, hierarchy, pairwise
 from namesmith.operators.components import components
-from namesmith.schema import complete
+from namesmith.schema import author, complete
 
 
 def mentions(spark, rows):
@@ -118,12 +119,16 @@ def test_sampler_invariants(spark):
 
 
 def test_groups_larger_than_a_task(spark):
-    """Entities with more mentions than a task holds come out whole: what is dealt apart meets again."""
+    """What a cap makes of a group is what one task makes of it.
+
+    This model gains by drawing in lone mentions, whoever they are, so one task
+    ends with one entity; so must tasks of 20.
+    """
     rows = [(f"m{e}{k:03d}", "ann", "x", [f"c{e}", f"d{e}"]) for e in range(3) for k in range(60)]
-    got = dict(map(tuple, hierarchy.resolve(mentions(spark, rows), [canopies.first_and_last], hierarchy.Model(greedy=True, size_weight=0.0), most=20).collect()))
-    assert len(got) == 180
-    assert {m: e[:2] for m, e in got.items()} == {m: m[:2] for m in got}, "no entity mixes people"
-    assert len(set(got.values())) <= 6
+    run = lambda most: dict(map(tuple, hierarchy.resolve(mentions(spark, rows), [canopies.first_and_last], hierarchy.Model(greedy=True, size_weight=0.0), most=most).collect()))
+    whole, capped = run(1000), run(20)
+    assert len(whole) == len(capped) == 180
+    assert set(whole.values()) == set(capped.values()) == {"m0000"}
 
 
 def plain_sample(leaves, model, rng):
@@ -232,3 +237,71 @@ def test_pooled_and_nearest(spark):
     assert {r.id: r.vec for r in features.pooled(rows, "id", "words", store, 2, mean=False).collect()}[3] == [2.0, 1.0]
     assert [r.word for r in features.nearest(store, "a", 2).collect()] == ["a", "c"]
     assert features.nearest(store, "nobody", 2).count() == 0
+
+
+def planted(spark, entities=40, size=12, seed=2):
+    """One block of mentions; each has three of its entity's five coauthors and words that all share."""
+    rng = random.Random(seed)
+    rows = [(f"m{e:02d}{k:02d}", "ann", "x", rng.sample([f"c{e}_{j}" for j in range(5)], 3)) for e in range(entities) for k in range(size)]
+    return mentions(spark, rows)
+
+
+#: Separates the planted entities: without a shared coauthor a node does not belong.
+STRICT = hierarchy.Model(bags={"coauthors": hierarchy.Bag(40, -0.25)}, names={}, size_weight=0.0)
+
+
+def test_groups_over_the_cap_meet_as_if_there_were_none(spark):
+    """Pair recall where 480 roots meet in tasks of 60 is that of one task."""
+    df = planted(spark)
+    gold = df.select(F.col("mentionId").alias("mention_id"), F.substring("mentionId", 1, 3).alias("entity_id"))
+    score = {}
+    for most, model in ((10_000, replace(STRICT, steps_per_node=300)), (60, STRICT)):  # about as many proposals in all
+        found = hierarchy.resolve(df, [canopies.first_and_last], model, most=most)
+        score[most] = evaluate.pairwise_scores(found, gold).first()
+    assert score[60].precision > 0.98
+    assert score[60].recall >= score[10_000].recall - 0.03
+    assert score[60].recall > 0.9
+
+
+def test_every_two_lots_meet_once_a_sweep(spark):
+    """On planes of several orders: two roots of different lots share one line in a sweep, two of one lot all."""
+    for order in (2, 5, 7):
+        rows = spark.range(200).select(F.col("id").cast("string").alias("node"))
+        turns = range(order + 1)
+        lines = rows.select("node", *(hierarchy.line(F.col("node"), F.lit(order), 3, t).alias(f"t{t}") for t in turns)).collect()
+        for r in lines[:40]:
+            for s in lines:
+                meetings = sum(r[f"t{t}"] == s[f"t{t}"] for t in turns)
+                assert meetings in (1, order + 1)
+    assert [hierarchy.prime(n) for n in (1, 2, 4, 9, 14, 20)] == [2, 2, 5, 11, 17, 23]
+    assert hierarchy.plane(2000, 2000) == 1 and hierarchy.plane(2001, 2000) == 2 and hierarchy.plane(10**6, 2000) == 557
+
+
+def test_results_do_not_depend_on_partitions_over_the_cap(spark):
+    df = planted(spark, 12, 6)
+    run = lambda d: dict(map(tuple, hierarchy.resolve(d, [canopies.first_and_last], STRICT, most=20).collect()))
+    assert run(df) == run(df.repartition(7))
+
+
+def test_two_and_eight_shared_values_by_prefixes(spark):
+    """The whole rule against every pair of a block, and how many pairs the count filter saves."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(160):
+        some = lambda head, kinds, n: [f"{head}{min(rng.randrange(kinds), rng.randrange(kinds))}" for _ in range(rng.randint(0, n))]
+        rows.append((f"m{i:03d}", rng.choice(["ann", "anna", "annabellissima", ""]), rng.choice("xy"), some("c", 60, 8), some("e", 400, 2), some("o", 300, 2), some("t", 40, 25), some("k", 4, 2)))
+    rows += [(r[0] + "z", *r[1:]) for r in rows[:5]]
+    df = spark.createDataFrame(rows, "mentionId string, f string, l string, c array<string>, e array<string>, o array<string>, topics array<string>, keywords array<string>")
+    m = complete(df.select("mentionId", author(F.col("f"), None, F.col("l"), None, F.col("e"), F.col("o")).alias("self"), F.transform("c", lambda c: author(None, None, c)).alias("coauthors"), "topics", "keywords"))
+    m = blocking.assign(m, canopies.last_and_first_n(1)).repartition(3)
+    edits = lambda a, b: hierarchy.edits(a, b)
+    share = lambda x, y, k: len(set(x[k]) & set(y[k]))
+    want = {
+        (x[0], y[0]) for x in rows for y in rows
+        if x[0] < y[0] and x[2] == y[2] and x[1][:1] == y[1][:1] and edits(x[1], y[1]) < 8 and (share(x, y, 4) or share(x, y, 5) or share(x, y, 3) >= 2 or (share(x, y, 6) >= 8 and share(x, y, 7)))
+    }
+    assert set(map(tuple, pairwise.matches(m, pairwise.deterministic).collect())) == want and len(want) > 100
+    assert any(share(x, y, 6) >= 8 for x in rows for y in rows if (x[0], y[0]) in want)
+    pairs = lambda e: pairwise.candidates(pairwise.keys(m), e).alias("x").join(pairwise.candidates(pairwise.keys(m), e).alias("y"), F.expr("x.canopy = y.canopy and x.mark = y.mark and x.id < y.id")).count()
+    assert pairs((("coauthors", 2),)) < 0.6 * pairs((("coauthors", 1),))
+    assert pairs((("topics", 8),)) < 0.25 * pairs((("topics", 1),))
