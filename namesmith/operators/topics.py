@@ -1,9 +1,9 @@
-"""Topics and word vectors, by Spark ML."""
+"""Topics, by Spark ML."""
 
 from __future__ import annotations
 
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, StopWordsRemover, Word2Vec
+from pyspark.ml.feature import CountVectorizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +22,3 @@ def topics(docs: DataFrame, key: str, tokens: str, k: int = 50, top: int = 10, v
     strongest = F.transform(F.slice(F.sort_array(shares), F.lit(1), F.lit(top)), lambda s: s["i"].cast("string"))
     return model.transform(counted).select(key, strongest.alias("topics"))
 
-
-def word_vectors(lines: DataFrame, tokens: str, size: int = 200, window: int = 5, least: int = 50, iterations: int = 5, partitions: int | None = None, seed: int = 1) -> DataFrame:
-    """(word, vec): skip-gram vectors of words that come ``least`` times.
-
-    Trained in ``partitions`` parts whose vectors are combined after each
-    iteration; by default as many as the session runs at once.
-    """
-    partitions = partitions or lines.sparkSession.sparkContext.defaultParallelism
-    model = Word2Vec(inputCol=tokens, outputCol="_v", vectorSize=size, windowSize=window, minCount=least, maxIter=iterations, numPartitions=partitions, seed=seed).fit(lines)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from namesmith.functions import canopies, names, text
 from namesmith.operators import convert, evaluate, features, report
-from namesmith.operators.hierarchy import BAGS, Model, Node, Trial, node_score
+from namesmith.operators.hierarchy import BAGS, Bag, Model, Name, Node, Trial, node_score
 from namesmith.plans import jobs
-from namesmith.plans.queries import BASELINE_SQL, CELLS, COMPONENT_SQL, M, keystore, mentions, table, two_clusterings
+from namesmith.plans.queries import BASELINE_SQL, CELLS, COMPONENT_SQL, M, P, keystore, mentions, people, table, two_clusterings
 from namesmith.plans.registry import query
 from namesmith.plans.storage import shared_folder
 from namesmith.schema import author, complete
@@ -337,3 +337,103 @@ def score_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = complete(mentions(spark, sf_dir))
     rows = features.mention_bags(m).join(m.select("mentionId", "title"), "mentionId").withColumnRenamed("mentionId", "id")
     return rows.select("id", "title", *BAGS).groupBy("title").applyInPandas(tree_scores, "id string, alone double, gain double")
+
+
+#: One term of the model at a time: a bag of each kind, first names, and title vectors.
+TERMS = {k: Model(names={}, bags={k: Bag(4, -0.125, 0.125, 0.25)}, title=Bag(), size_weight=0.0) for k in ("emails", "institutions", "coauthors", "topics", "text", "keywords", "venues")}
+TERMS |= {"firstNames": Model(names={"firstNames": Name()}, bags={}, title=Bag(), size_weight=0.0), "title": Model(names={}, bags={}, title=Bag(4, -0.25, 0.75), size_weight=0.0)}
+
+
+def term_scores(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Each mention's score alone by each term, and what it gains under one root with the next of its last name."""
+    out = []
+    records = rows.sort_values("id").to_dict("records")
+    for one, other in zip(records, [*records[1:], None], strict=True):
+        for term, model in TERMS.items():
+            a, *rest = (Node({k: Counter(r[k]) for k in BAGS}, [float(x) for x in r["vec"]] if term == "title" else [], r["id"], 1) for r in (one, other) if r)
+            a.score, gain = node_score(a, model), None
+            for b in rest:
+                b.score = node_score(b, model)
+                trial = Trial(model)
+                trial.do(("up", a, b))
+                gain = round(trial.gain(), 9) + 0.0
+                trial.undo()
+            out.append((one["id"], term, round(a.score, 9) + 0.0, gain))
+    return pd.DataFrame(out, columns=["id", "term", "alone", "gain"])
+
+
+@query("score_terms_of_people", P + """, nx AS (SELECT *, lead(id) OVER (PARTITION BY last ORDER BY id) AS id2, lead(first) OVER (PARTITION BY last ORDER BY id) AS first2, lead(k) OVER (PARTITION BY last ORDER BY id) AS k2 FROM m),
+ tok AS (SELECT id, 'emails' AS term, unnest(mails) AS token FROM m UNION ALL SELECT id, 'institutions', place FROM m UNION ALL SELECT id, 'coauthors', unnest(others) FROM m UNION ALL SELECT id, 'topics', unnest(topics) FROM m
+  UNION ALL SELECT id, 'text', unnest([head, kind, head, keyword]) FROM m UNION ALL SELECT id, 'keywords', keyword FROM m UNION ALL SELECT id, 'venues', unnest(venues) FROM m),
+ b AS (SELECT id, term, token, count(*) AS n FROM tok GROUP BY 1, 2, 3),
+ u AS (SELECT id, term, token, sum(n) AS n FROM (SELECT * FROM b UNION ALL SELECT nx.id, term, token, n FROM nx JOIN b ON b.id = nx.id2) GROUP BY 1, 2, 3),
+ st AS (SELECT id, term, sum(n) AS total, count(*) AS kinds FROM b GROUP BY 1, 2), ut AS (SELECT id, term, sum(n) AS total, count(*) AS kinds FROM u GROUP BY 1, 2),
+ s AS (SELECT id, term, sqrt(sum(n * n)) AS norm, -0.25 * max(kinds) / max(total) + CASE WHEN max(kinds) > 1 THEN 0.125 * sum(n / total * ln(n / total)) / ln(max(kinds)) ELSE 0 END AS alone FROM b JOIN st USING (id, term) GROUP BY 1, 2),
+ r AS (SELECT id, term, -0.25 * max(kinds) / max(total) + CASE WHEN max(kinds) > 1 THEN 0.125 * sum(n / total * ln(n / total)) / ln(max(kinds)) ELSE 0 END AS both FROM u JOIN ut USING (id, term) GROUP BY 1, 2),
+ d AS (SELECT nx.id, x.term, sum(x.n * y.n) AS dot FROM nx JOIN b x ON x.id = nx.id JOIN b y ON y.id = id2 AND y.term = x.term AND y.token = x.token GROUP BY 1, 2),
+ bags AS (SELECT nx.id, term, coalesce(s.alone, 0) AS alone, CASE WHEN id2 IS NOT NULL THEN coalesce(r.both, 0) - coalesce(s.alone, 0) - coalesce(s2.alone, 0) + CASE WHEN s.norm > 0 AND s2.norm > 0 THEN 8 * (coalesce(dot, 0) / (s.norm * s2.norm) - 0.125) ELSE 0 END END AS gain
+  FROM nx CROSS JOIN (VALUES ('emails'), ('institutions'), ('coauthors'), ('topics'), ('text'), ('keywords'), ('venues')) v(term) LEFT JOIN s USING (id, term) LEFT JOIN s s2 ON s2.id = id2 AND s2.term = v.term LEFT JOIN r ON r.id = nx.id AND r.term = v.term LEFT JOIN d ON d.id = nx.id AND d.term = v.term),
+ names AS (SELECT id, 'firstNames' AS term, CASE WHEN first = '' THEN -4.0 ELSE 0 END AS alone, CASE WHEN id2 IS NOT NULL THEN CASE WHEN first = '' AND first2 = '' THEN 4.0 ELSE CASE WHEN first = '' OR first2 = '' THEN 4.0 ELSE 0 END
+  - CASE WHEN first <> '' AND first2 <> '' AND first <> first2 THEN CASE WHEN first[1] <> first2[1] THEN 3 ELSE 0 END + CASE WHEN len(first) > 1 AND len(first2) > 1 THEN least(16, 3 * levenshtein(first, first2)) ELSE 0 END ELSE 0 END END END AS gain FROM nx),
+ e AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), f AS (SELECT nx.id, id2, x.v AS v, y.v AS w FROM nx LEFT JOIN e x ON x.k = nx.k LEFT JOIN e y ON y.k = k2),
+ g AS (SELECT id, id2, v, w, list_transform(range(1, 65), lambda i: abs(coalesce(v[i], 0) + coalesce(w[i], 0))) AS a, list_transform(v, lambda x: abs(x)) AS av, list_transform(w, lambda x: abs(x)) AS aw FROM f),
+ h AS (SELECT id, id2, v, w, CASE WHEN v IS NULL AND w IS NULL THEN 0 ELSE 0.75 * list_sum(list_transform(a, lambda x: CASE WHEN x > 0 THEN x / list_sum(a) * ln(x / list_sum(a)) ELSE 0 END)) / ln(64) END AS both,
+  CASE WHEN v IS NULL THEN 0 ELSE 0.75 * list_sum(list_transform(av, lambda x: CASE WHEN x > 0 THEN x / list_sum(av) * ln(x / list_sum(av)) ELSE 0 END)) / ln(64) END AS alone,
+  CASE WHEN w IS NULL THEN 0 ELSE 0.75 * list_sum(list_transform(aw, lambda x: CASE WHEN x > 0 THEN x / list_sum(aw) * ln(x / list_sum(aw)) ELSE 0 END)) / ln(64) END AS alone2 FROM g),
+ vecs AS (SELECT id, 'title' AS term, alone, CASE WHEN id2 IS NOT NULL THEN both - alone - alone2 + CASE WHEN v IS NOT NULL AND w IS NOT NULL THEN 8 * (list_cosine_similarity(v, w) - 0.25) ELSE 0 END END AS gain FROM h)
+ SELECT id, term, CAST(round(alone, 7) AS DOUBLE) + 0 AS alone, CAST(round(gain, 7) AS DOUBLE) + 0 AS gain FROM (SELECT * FROM bags UNION ALL SELECT * FROM names UNION ALL SELECT * FROM vecs)""")
+def score_terms_of_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term alone on the fuller view: e-mails, institutions, coauthors, topics, texts, keywords, venues, absent first names, title vectors."""
+    m = people(spark, sf_dir)
+    vec = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("m"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("mentionId"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = features.mention_bags(m).join(m.select("mentionId", F.col("self.lastName").alias("last")), "mentionId").join(vec, "mentionId", "left")
+    rows = rows.select(F.col("mentionId").alias("id"), "last", F.coalesce("v", F.array_repeat(F.lit(0.0), 64)).alias("vec"), *BAGS)
+    scores = rows.groupBy("last").applyInPandas(term_scores, "id string, term string, alone double, gain double")
+    return scores.select("id", "term", (F.round("alone", 7) + 0).alias("alone"), (F.round("gain", 7) + 0).alias("gain"))
+
+
+@query("convert_papers", """SELECT 'Lee' || n_regionkey AS last, n_name AS first, 'Kim' AS other, 'On ' || n_name || ' & more' AS title, 'V' || n_regionkey AS venue, 't' || n_nationkey % 3 AS topic FROM nation
+ UNION ALL SELECT 'Kim', 'Bo', 'Lee' || n_regionkey, 'On ' || n_name || ' & more', 'V' || n_regionkey, '' FROM nation""")
+def convert_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TEI papers to mention JSON by the job, with topics by id, and back."""
+    folder, out, side = tei(spark, sf_dir), fresh(spark, "mentions-json"), fresh(spark, "topics")
+    rows = readers.paper_mentions(readers.tei_papers(spark, folder)).where("self.lastName <> 'Kim'").select("mentionId", "title")
+    number = table(spark, sf_dir, "nation").select(F.concat(F.lit("On "), F.col("n_name"), F.lit(" & more")).alias("title"), F.array(F.concat(F.lit("t"), (F.col("n_nationkey") % 3).cast("string"))).alias("v"))
+    writers.text_lines(writers.keyword_lines(rows.join(number, "title").select("mentionId", "v"), "mentionId", "v"), side)
+    jobs.convert_papers(spark, folder, out, topics=side)
+    m = readers.json_mentions(spark, out)
+    return m.select(
+        F.initcap("self.lastName").alias("last"), F.upper("self.firstName").alias("first"), F.initcap(F.col("coauthors")[0]["lastName"]).alias("other"), "title", F.col("venues")[0]["name"].alias("venue"), F.coalesce(F.get("topics", F.lit(0)), F.lit("")).alias("topic")
+    ).withColumn("first", F.when(F.col("first") == "BO", "Bo").otherwise(F.col("first")))
+
+
+@query("convert_bibtex", """SELECT 'k' || s_suppkey AS key, p AS place, CASE p WHEN 0 THEN 'Bee' || s_suppkey ELSE 'Knuth' END AS last, 'Two lines' AS body FROM supplier, (VALUES (0), (1)) v(p)""")
+def convert_bibtex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BibTeX to mention JSON by the job, and back."""
+    out = fresh(spark, "mentions-json")
+    jobs.convert_bibtex(spark, bib(spark, sf_dir), out, "*.txt")
+    m = readers.json_mentions(spark, out)
+    return m.select(F.concat(F.lit("k"), F.split_part("title", F.lit(" "), F.lit(3))).alias("key"), F.element_at(F.split("mentionId", "-"), -1).cast("long").alias("place"), F.col("self.lastName").alias("last"), F.col("text").alias("body"))
+
+
+@query("sorted_results", """SELECT row_number() OVER (ORDER BY lpad(CAST(o_orderkey AS VARCHAR), 9, '0')) - 1 AS place, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS mention_id, 'e' || o_custkey AS entity_id FROM orders""")
+def sorted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clustering as written: each row's place in its file, after those of the files before it."""
+    path = fresh(spark, "clusters")
+    rows = table(spark, sf_dir, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("mention_id"), F.concat(F.lit("e"), F.col("o_custkey").cast("string")).alias("entity_id"))
+    writers.write_clusters(rows.repartition(7, "entity_id"), path)
+    lines = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.split(F.rtrim("value"), "\n").alias("lines"))
+    sizes = lines.select("file", F.size("lines").alias("n"))
+    before = sizes.alias("x").join(sizes.alias("y"), F.expr("y.file < x.file"), "left").groupBy("x.file").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("base"))
+    each = lines.join(before, "file").select("base", F.posexplode("lines").alias("i", "line"))
+    return each.select((F.col("base") + F.col("i")).alias("place"), F.split_part("line", F.lit("\t"), F.lit(1)).alias("mention_id"), F.split_part("line", F.lit("\t"), F.lit(2)).alias("entity_id"))
+
+
+@query("timing", "SELECT 'coreference' AS name, true AS taken, count(*) AS mentions FROM part")
+def timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an experiment writes about its time: a name and milliseconds."""
+    out, m = fresh(spark, "experiment"), mentions(spark, sf_dir)
+    jobs.experiment(m, out, jobs.Options(rule="baseline", canopies=("firstAndLast",), processor="LowerCaseAllNames"))
+    line = spark.read.text(f"{out}/timing").select(F.split("value", "\t").alias("v"))
+    n = spark.read.text(f"{out}/predicted").agg(F.count("*").alias("mentions"))
+    return line.select(F.col("v")[0].alias("name"), (F.col("v")[1].cast("long") > 0).alias("taken")).join(n)

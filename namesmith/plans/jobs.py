@@ -44,6 +44,17 @@ def ingest_papers(spark: SparkSession, folder: str, store: str, topics: str | No
     writers.store(convert.paper_to_mention(rows, side(topics), side(keywords)), store)
 
 
+def convert_papers(spark: SparkSession, folder: str, out: str, topics: str | None = None, keywords: str | None = None, encoding: str | None = None) -> None:
+    """Paper headers to mention JSON, a line per mention."""
+    side = lambda p: readers.tsv_lists(spark, p) if p else None
+    writers.json_lines(convert.paper_to_mention(readers.paper_mentions(readers.tei_papers(spark, folder, encoding)), side(topics), side(keywords)), out)
+
+
+def convert_bibtex(spark: SparkSession, folder: str, out: str, pattern: str = "*.bib") -> None:
+    """BibTeX files to mention JSON, a line per mention; files that don't parse are left out (``bibtex.failures`` lists them)."""
+    writers.json_lines(bibtex.mentions(bibtex.entries(spark, folder, pattern)), out)
+
+
 def ingest_bibtex(spark: SparkSession, folder: str, store: str) -> None:
     writers.store(bibtex.mentions(bibtex.entries(spark, folder)), store)
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.functions import canopies, names, text, vectors
-from namesmith.operators import blocking, convert, evaluate, features, hierarchy, pairwise, phrases, profile, report, topics
+from namesmith.operators import blocking, convert, evaluate, features, hierarchy, neighbours, pairwise, phrases, profile, report, topics
+from namesmith.operators import word_vectors as vectors_of_words
 from namesmith.plans.registry import query
 from namesmith.schema import MENTION, author, complete
 from namesmith.sources import readers, writers
@@ -129,6 +130,42 @@ def match_institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.matches(m, pairwise.deterministic).select(number(F.col("a")).alias("a"), number(F.col("b")).alias("b"))
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fuller view: parts as mentions with e-mails, institutions, coauthors, topics, keywords, venues and texts from all their lines; every fourth first name is an initial, every ninth absent."""
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    key = lambda head, *c: F.concat(F.lit(head), F.concat_ws("_", *(x.cast("string") for x in c)))
+    order, seller = F.col("l_orderkey"), F.col("l_suppkey")
+    some = lambda c: F.sort_array(F.collect_set(c))
+    lines = line.groupBy("l_partkey").agg(
+        some(key("s", seller, order % 7)).alias("others"), some(key("t", order % 97)).alias("topics"), some(F.when(F.expr("l_linenumber = 1 and l_returnflag = 'R'"), key("s", seller, F.lit("@x.org")))).alias("mails"),
+        some(key("v", F.year("l_shipdate"), F.col("l_linestatus"))).alias("venues"),
+    )
+    word, none = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i)), F.array().cast("array<string>")
+    first = F.when(F.expr("p_partkey % 9 = 0"), "").when(F.expr("p_partkey % 4 = 0"), F.substring(word(1), 1, 1)).otherwise(word(1))
+    me = author(first, F.array(F.split_part("p_brand", F.lit("#"), F.lit(2))), word(2), None, F.coalesce("mails", none), F.array(F.concat("p_brand", "p_type")))
+    rows = part.join(lines, part.p_partkey == lines.l_partkey, "left")
+    text_of = F.array(word(1), F.lower("p_type"), word(1), key("k", F.col("p_size") % 5))
+    return complete(rows.select(
+        F.concat(F.lit("m"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("mentionId"), F.col("p_brand").alias("goldEntityId"), me.alias("self"),
+        F.transform(F.coalesce("others", none), lambda s: author(None, None, s)).alias("coauthors"), F.col("p_name").alias("title"), F.array(key("k", F.col("p_size") % 5)).alias("keywords"),
+        F.coalesce("topics", none).alias("topics"), F.transform(F.coalesce("venues", none), lambda v: F.struct(v.alias("name"))).alias("venues"), text_of.alias("tokenizedText"),
+    ))
+
+
+#: The fuller view in SQL.
+P = """WITH l AS (SELECT l_partkey AS k, list(DISTINCT 's' || l_suppkey || '_' || l_orderkey % 7) AS others, list(DISTINCT 't' || l_orderkey % 97) AS topics,
+ list(DISTINCT 's' || l_suppkey || '_@x.org') FILTER (WHERE l_linenumber = 1 AND l_returnflag = 'R') AS mails, list(DISTINCT 'v' || year(l_shipdate) || '_' || l_linestatus) AS venues FROM lineitem GROUP BY 1),
+m AS (SELECT 'm' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, CASE WHEN p_partkey % 9 = 0 THEN '' WHEN p_partkey % 4 = 0 THEN p_name[1] ELSE split_part(p_name, ' ', 1) END AS first, split_part(p_name, ' ', 2) AS last, split_part(p_name, ' ', 1) AS head, lower(p_type) AS kind, p_partkey AS k,
+ split_part(p_brand, '#', 2) AS middle, p_brand || p_type AS place, 'k' || p_size % 5 AS keyword, coalesce(others, []) AS others, coalesce(topics, []) AS topics, coalesce(mails, []) AS mails, coalesce(venues, []) AS venues, p_name AS title FROM part LEFT JOIN l ON p_partkey = l.k)"""
+
+
+@query("match_whole_rule", P + """ SELECT x.id AS a, y.id AS b FROM m x JOIN m y ON x.last = y.last AND substr(x.first, 1, 1) = substr(y.first, 1, 1) AND x.id < y.id
+ WHERE levenshtein(x.first, y.first) < 8 AND (len(list_intersect(x.mails, y.mails)) > 0 OR x.place = y.place OR len(list_intersect(x.others, y.others)) >= 2 OR (len(list_intersect(x.topics, y.topics)) >= 8 AND x.keyword = y.keyword))""")
+def match_whole_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deterministic rule with all its evidence."""
+    return pairwise.matches(blocking.assign(people(spark, sf_dir), canopies.last_and_first_n(1)), pairwise.deterministic)
+
+
 @query("components", M.replace("WITH", "WITH RECURSIVE", 1) + ", " + BASELINE_SQL + ", " + COMPONENT_SQL + " SELECT mention_id, entity_id FROM c")
 def entity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.resolve_pairwise(blocked(spark, sf_dir))
@@ -224,6 +261,22 @@ def nearest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.nearest(keystore(spark, sf_dir), "v7", 10).select("word", F.round("similarity", 9).alias("similarity"))
 
 
+@query("nearest_many", """SELECT 'v' || q AS query, rank, word, round(similarity, 9) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY similarity DESC, word) AS INT) AS rank FROM
+ (SELECT x.vec_id AS q, 'v' || y.vec_id AS word, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 12) AS similarity FROM embeddings x, embeddings y WHERE x.vec_id % 100 = 0)) WHERE rank <= 10""")
+def nearest_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: words whose id is divisible by 100, against all."""
+    store = keystore(spark, sf_dir)
+    asked = store.where(F.substring("word", 2, 20).cast("long") % 100 == 0)
+    return neighbours.nearest_exact(asked, store).withColumn("similarity", F.round("similarity", 9))
+
+
+@query("nearest_index")
+def nearest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the index; a test holds its recall against the exact way."""
+    store = keystore(spark, sf_dir)
+    return neighbours.build(store).search(store.where(F.substring("word", 2, 20).cast("long") % 100 == 0))
+
+
 TOKENS = "list_filter(string_split(lower(text), ' '), lambda x: x <> '')"
 
 
@@ -451,4 +504,4 @@ def topic_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("word_vectors")
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "conversations").select(convert.text_tokens(F.col("text")).alias("tokens"))
-    return topics.word_vectors(lines, "tokens")
+    return vectors_of_words.word_vectors(lines, "tokens")
