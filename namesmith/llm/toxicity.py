@@ -4,14 +4,16 @@
    on words and word beginnings that mark toxic training documents; pattern
    voters on shouting, on repeated signs, and on the absence of any marked word.
 2. Label model. A generative model of the votes, fitted by expectation
-   maximisation on labelled and unlabelled documents alike, without their
-   labels: how often each voter fires on toxic and on clean documents, and for
-   each voter at most one other on which it depends, with the rates for both
-   states of that one. Which depend on each other is estimated too: the
-   strongest tree of dependences that the class doesn't explain.
+   maximisation on labelled and unlabelled documents alike: how often each voter
+   fires on toxic and on clean documents, and for each voter at most one other on
+   which it depends, with the rates for both states of that one. Which depend on
+   each other is estimated too: the strongest tree of dependences that the class
+   doesn't explain. A known label is one more voter, which abstains elsewhere and
+   whose accuracy for either class is estimated with the others: many votes can
+   overrule it.
 3. Classifier. A logistic regression on damped voter counts is fitted to the
-   posterior labels and scores every document. Where a label is known it is one
-   more piece of evidence for the posterior, after the model is fitted.
+   posterior labels of all these documents, as far as they are settled, and
+   scores every document.
 
 Learning takes at most ``Training.documents`` labelled and as many other
 documents, chosen by a hash of their ids, one of those with equal text; scoring
@@ -61,12 +63,11 @@ class Training:
     rounds: int = 30
     #: Dependences weaker than this (nats) are left out.
     dependence: float = 0.002
-    ridge: float = 0.1
-    #: How far a known label is trusted, and the largest logit that votes alone may give against it.
-    trust: float = 0.999
-    sure: float = 5.0
+    ridge: float = 0.3
+    #: The accuracy of labels that the label model starts from, and the most it may find.
+    trust: tuple[float, float] = (0.9, 0.999)
     #: How much a document without a label counts for the classifier.
-    unlabelled: float = 0.05
+    unlabelled: float = 0.02
 
 
 def folded(buf: np.ndarray) -> np.ndarray:
@@ -218,8 +219,8 @@ def dependences(votes: np.ndarray, post: np.ndarray, least: float) -> np.ndarray
     return parent
 
 
-def label_model(votes: np.ndarray, signs: np.ndarray, how: Training) -> np.ndarray:
-    """Posterior that each document is toxic, from binary votes alone.
+def label_model(votes: np.ndarray, signs: np.ndarray, labels: np.ndarray, how: Training) -> tuple[np.ndarray, tuple[float, float]]:
+    """Posterior that each document is toxic, from binary votes and labels (NaN: none), and the labels' accuracy on toxic and on clean ones.
 
     signs: 1 for voters that speak for toxic, -1 for those against, 0 for those
     that may do either. Such a voter's rates keep that order; it is all that
@@ -228,6 +229,7 @@ def label_model(votes: np.ndarray, signs: np.ndarray, how: Training) -> np.ndarr
     speak = (votes * (signs > 0)).sum(axis=1)
     post = np.clip(0.25 * speak + 0.01, 0.01, 0.99)
     parent = np.full(votes.shape[1], -1)
+    known, named, trust = ~np.isnan(labels), labels == 1, [how.trust[0]] * 2
     for step in range(2 * how.rounds):
         if step == how.rounds:
             parent = dependences(votes, post, how.dependence)
@@ -247,11 +249,35 @@ def label_model(votes: np.ndarray, signs: np.ndarray, how: Training) -> np.ndarr
             y0, n0, y1, n1 = np.log(r0), np.log(1 - r0), np.log(r1), np.log(1 - r1)
             logs.append(joint @ (y1 - y0 - n1 + n0) + votes @ (y0 - n0) + given @ (n1 - n0) + n0.sum())
         share = np.clip(post.mean(), 1e-4, 0.5)
-        new = 1 / (1 + np.exp(-np.clip(logs[0] - logs[1] + np.log(share / (1 - share)), -30, 30)))
+        told = np.where(named, np.log(trust[0] / (1 - trust[1])), np.log((1 - trust[0]) / trust[1])) * known
+        new = 1 / (1 + np.exp(-np.clip(logs[0] - logs[1] + told + np.log(share / (1 - share)), -30, 30)))
+        for i, (w, right) in enumerate(((new, named), (1 - new, known & ~named))):
+            trust[i] = float(np.clip((w @ right + 9) / (w @ known + 10), 0.5, how.trust[1]))
         done, post = np.abs(new - post).max() < 1e-4, new
         if done and step >= how.rounds:
             break
-    return post
+    return tempered(logs[0] - logs[1] + np.log(share / (1 - share)), labels, how)
+
+
+def tempered(z: np.ndarray, labels: np.ndarray, how: Training) -> tuple[np.ndarray, tuple[float, float]]:
+    """The posterior where votes that still depend on each other count as much as they bear out.
+
+    Votes' logits are scaled by two numbers, fitted on documents with labels
+    together with the labels' accuracies: a label is the class that the scaled
+    votes make likely, seen through its errors. Labels then join as a voter.
+    """
+    known, named, trust = ~np.isnan(labels), labels == 1, [how.trust[0]] * 2
+    z, able = np.clip(z, -30, 30), known.any() and named.any() and (known & ~named).any()
+    slope, shift = 1.0, 0.0
+    for _ in range(how.rounds):
+        told = np.where(named, np.log(trust[0] / (1 - trust[1])), np.log((1 - trust[0]) / trust[1])) * known
+        post = 1 / (1 + np.exp(-np.clip(slope * z + shift + told, -30, 30)))
+        for i, (w, right) in enumerate(((post, named), (1 - post, known & ~named))):
+            trust[i] = float(np.clip((w @ right + 9) / (w @ known + 10), 0.5, how.trust[1]))
+        if able:
+            slope, shift = logistic(z[known][:, None], post[known], np.ones(int(known.sum())), 1.0)
+            slope = max(slope, 0.05)
+    return post, (trust[0], trust[1])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float, steps: int = 50) -> np.ndarray:
@@ -312,10 +338,11 @@ def fit(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model
     votes = np.c_[x > 0, dense[:, :1] == 0, dense[:, 2] > 0.3, dense[:, 3] > 0].astype(np.float32)
     signs = np.r_[np.ones(len(voters)), -1, 0, 0]
     used = votes.any(axis=0)
-    post = np.clip(label_model(votes[:, used], signs[used], how).astype(float), 1e-9, 1 - 1e-9)
-    label = np.log(how.trust / (1 - how.trust)) * (2 * got["toxic"].fillna(0.5).to_numpy(dtype=float) - 1)
-    post = 1 / (1 + np.exp(-np.clip(np.log(post / (1 - post)), -how.sure, how.sure) - label))
-    return Model(voters, logistic(np.c_[x, dense], post, np.where(got["toxic"].isna(), how.unlabelled, 1.0), how.ridge))
+    labels = got["toxic"].to_numpy(dtype=float)
+    post, _ = label_model(votes[:, used].astype(float), signs[used], labels, how)
+    # What the label model leaves open teaches little.
+    sure = (2 * post - 1) ** 2 * np.where(np.isnan(labels), how.unlabelled, 1.0)
+    return Model(voters, logistic(np.c_[x, dense], post, sure, how.ridge))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
