@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -107,7 +108,98 @@ TEMPLATES = {
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
         "SPDX-License-Identifier: Unlicense",
     ],
+    "lgpl-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "Licensed under the GNU Lesser General Public License version 2.1 or later.",
+        "Released under the LGPL version 2.1.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ],
+    "lgpl-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "Licensed under the GNU Lesser General Public License version 3 or later.",
+        "Released under the LGPL version 3.",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ],
+    "agpl-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the GNU Affero General Public License version 3 or later.",
+        "Released under the AGPL version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
+    "apache-1.1": [
+        "Licensed under the Apache License, Version 1.1.",
+        "Released under the Apache Software License, Version 1.1.",
+        "SPDX-License-Identifier: Apache-1.1",
+    ],
+    "cc-by-sa-4.0": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Released under CC BY-SA 4.0.",
+    ],
+    "cc-by-nd-4.0": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Released under CC BY-ND 4.0.",
+    ],
+    "cc-by-nc-sa-4.0": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Released under CC BY-NC-SA 4.0.",
+    ],
+    "cc-by-nc-nd-4.0": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "Released under CC BY-NC-ND 4.0.",
+    ],
+    "epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "Released under the Eclipse Public License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
     UNKNOWN: [
+        "Licensed under the Apache License, Version 1.0.",
+        "Licensed under the Boost Software License, Version 1.0.",
+        "Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt",
+        "SPDX-License-Identifier: BSL-1.0",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+        "SPDX-License-Identifier: Zlib",
+        "Released under the zlib License.",
+        "This program is free software. It comes without any warranty, to the extent permitted by applicable law. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2.",
+        "Licensed under the Artistic License 2.0.",
+        "This library is free software; you can redistribute it and/or modify it under the same terms as Perl itself.",
+        "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License.",
+        "Licensed under the EUPL, Version 1.2 or, as soon they will be approved by the European Commission, subsequent versions of the EUPL.",
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. Released under CC0 1.0.",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+        "This work is licensed under a Creative Commons Attribution 2.5 License.",
+        "Licensed under CC BY 3.0.",
+        "Licensed under CC BY-SA 3.0.",
+        "Licensed under CC BY-NC 3.0.",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License.",
+        "Licensed under the Mozilla Public License, version 1.1.",
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3.",
+        "Licensed under the Eclipse Public License, version 1.0.",
+        "Licensed under the Microsoft Public License.",
+        "Licensed under the Python Software Foundation License, version 2.",
+        "Licensed under the GNU General Public License version 1.",
+        "Licensed under the GNU Library General Public License, version 2.0.",
+        "Licensed under the Academic Free License version 3.0.",
+        "Licensed under the Open Software License version 3.0.",
+        "Licensed under the PostgreSQL License.",
+        "Licensed under the University of Illinois NCSA Open Source License.",
+        "Licensed under the Business Source License 1.1.",
+        "Licensed under the Elastic License 2.0.",
+        "Licensed under the Server Side Public License, version 1.",
         "All rights reserved.",
         "Copyright by the authors. All rights reserved.",
         "He drove without a licence and lost his license for a year.",
@@ -144,6 +236,27 @@ TEMPLATES = {
         "No part of this book may be reproduced in any form without permission.",
     ],
 }
+#: Words (or runs of up to three) of which a paragraph must hold one of each group to be of a family, and runs that tell other licences of its kin.
+_LESSER, _AFFERO = ("lesser", "lgpl"), ("affero", "agpl")
+_NC, _SA, _ND = ("by nc", "noncommercial", "non commercial"), ("by sa", "nc sa", "sharealike", "share alike"), ("by nd", "nc nd", "noderivatives", "noderivs", "no derivatives")
+_OLD_CC = ("1.0", "2.0", "2.5", "3.0")
+NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "apache-1.1": (("1.1",),), "mpl-2.0": (("mozilla", "mpl"),), "epl-2.0": (("eclipse", "epl"), ("2.0",)),
+    "lgpl-2.1": (_LESSER, ("2.1",)), "lgpl-3.0": (_LESSER, ("version 3", "3.0", "v3")), "agpl-3.0": (_AFFERO,),
+    "cc-by-4.0": (("4.0",),), "cc-by-nc-4.0": (("4.0",), _NC), "cc-by-sa-4.0": (("4.0",), _SA), "cc-by-nd-4.0": (("4.0",), _ND), "cc-by-nc-sa-4.0": (("4.0",), _NC, _SA), "cc-by-nc-nd-4.0": (("4.0",), _NC, _ND),
+    "mit": (("mit", "permission is hereby", "copyright notice and", "the software is"),), "isc": (("isc", "with or without"),),
+}
+BARS: dict[str, tuple[str, ...]] = {
+    "apache-2.0": ("version 1.1", "version 1.0", "license 1.1", "apache 1.1", "apache 1.0"), "mpl-2.0": ("version 1.1", "version 1.0", "mpl 1.1"), "epl-2.0": ("version 1.0", "epl 1.0"),
+    "gpl-2.0": (*_LESSER, *_AFFERO, "library general", "version 1", "version 3", "gpl 3.0"), "gpl-3.0": (*_LESSER, *_AFFERO, "library general", "version 1", "version 2", "gpl 2.0", "version 2.0"),
+    "lgpl-2.1": (*_AFFERO,), "lgpl-3.0": (*_AFFERO, "version 2.1", "lgpl 2.1"), "agpl-3.0": (*_LESSER, "version 1", "agpl 1.0"),
+    "cc-by-4.0": (*_NC, *_SA, *_ND, *_OLD_CC), "cc-by-nc-4.0": (*_SA, *_ND, *_OLD_CC), "cc-by-sa-4.0": (*_NC, *_ND, *_OLD_CC), "cc-by-nd-4.0": (*_NC, *_SA, *_OLD_CC), "cc-by-nc-sa-4.0": (*_ND, *_OLD_CC), "cc-by-nc-nd-4.0": (*_SA, *_OLD_CC),
+}
+#: Runs by which a text says that a licence does not hold.
+DENIALS = (
+    "not licensed under", "not released under", "not available under", "not distributed under", "not covered by", "not under the", "not published under", "no longer licensed", "no longer released",
+    "no longer under", "no longer available", "never licensed under", "never released under", "not be licensed", "not be released",
+)
 #: Words in a window, and from one window to the next; the longest template fits into what two windows share.
 WINDOW, STEP = 176, 44
 FOLDS = 2
@@ -216,24 +329,61 @@ def examples(spark: SparkSession) -> DataFrame:
     return every.withColumn("grams", grams(F.col("words")))
 
 
-def train(spark: SparkSession, scan: Scan = Scan()) -> tuple[PipelineModel, list[str], float]:
-    """The model, its classes in order, and the least probability at which a family is accepted."""
+def holds(family: str, grams: set[str]) -> bool:
+    """Whether n-grams have what tells the family from its kin, and no denial."""
+    return all(grams & set(some) for some in NEEDS.get(family, ())) and not grams & {*BARS.get(family, ()), *DENIALS}
+
+
+def share_of(family: str, grams: set[str]) -> float:
+    """The share of the best template of the family that n-grams have."""
+    return max(len(grams & set(w)) / len(w) for w in map(template_grams, TEMPLATES[family]))
+
+
+@dataclass(frozen=True)
+class Trained:
+    """The model, its classes in order, the temperature its margins are divided by, and the least probability of a known family at which it is accepted."""
+
+    model: PipelineModel
+    names: list[str]
+    temperature: float
+    accept: float
+
+
+def softmax(margins: np.ndarray, temperature: float) -> np.ndarray:
+    z = (margins - margins.max(axis=1, keepdims=True)) / temperature
+    return np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+
+
+def train(spark: SparkSession, scan: Scan = Scan()) -> Trained:
+    """Fits the classes, and calibrates on templates that a model has seen no variant of.
+
+    The temperature makes these templates' probabilities most likely. A notice is
+    accepted from the probability of not being unknown that no unknown template
+    reaches, among those that would be confirmed; from a half at least. It goes to
+    the likeliest family, which its own words must confirm.
+    """
     every = examples(spark).coalesce(1).cache()
     names = sorted(TEMPLATES)
-    families = [F.get("p", F.lit(i)) for i, k in enumerate(names) if k != UNKNOWN]
 
     def fitted(rows: DataFrame) -> PipelineModel:
         stages = [HashingTF(inputCol="grams", outputCol="features", numFeatures=scan.features, binary=True), LogisticRegression(family="multinomial", regParam=scan.regularization, elasticNetParam=scan.sparsity, maxIter=25)]
         return Pipeline(stages=stages).fit(rows)
 
-    highest = 0.5
+    unseen = []
     for fold in range(FOLDS):
-        scored = fitted(every.where(F.col("fold") != fold)).transform(every.where((F.col("fold") == fold) & (F.col("family") == UNKNOWN)))
-        found = scored.select(vector_to_array("probability").alias("p")).select(F.max(F.greatest(*families)).alias("m")).first()["m"]
-        highest = max(highest, found or 0.0)
+        unseen += fitted(every.where(F.col("fold") != fold)).transform(every.where(F.col("fold") == fold)).select("label", "grams", vector_to_array("rawPrediction").alias("margins")).collect()
+    labels, margins = np.array([int(r["label"]) for r in unseen]), np.array([r["margins"] for r in unseen])
+    likely = lambda t: np.log(np.maximum(softmax(margins, t)[np.arange(len(labels)), labels], 1e-12)).sum()
+    temperature = float(max(np.geomspace(0.25, 8, 41), key=likely))
+    odds, unknown = softmax(margins, temperature), names.index(UNKNOWN)
+    highest = 0.5
+    for r, p in zip(unseen, odds, strict=True):
+        best, grams = names[int(np.where(np.arange(len(p)) == unknown, -1, p).argmax())], set(r["grams"])
+        if int(r["label"]) == unknown and holds(best, grams) and share_of(best, grams) >= scan.confirm:
+            highest = max(highest, float(1 - p[unknown]))
     model = fitted(every)
     every.unpersist()
-    return model, names, highest
+    return Trained(model, names, temperature, highest)
 
 
 def paragraphs(text: Column) -> Column:
@@ -255,26 +405,37 @@ def pieces(docs: DataFrame, scan: Scan) -> DataFrame:
     return words.select("doc_id", "mark", "block", F.explode(each).alias("words"))
 
 
-def classify(found: DataFrame, scan: Scan = Scan(), trained: tuple[PipelineModel, list[str], float] | None = None) -> DataFrame:
-    """Adds family, probability and matched (share of the best template found) to rows with words; unknown where not accepted or confirmed."""
-    model, names, accept = trained or train(found.sparkSession, scan)
+def classify(found: DataFrame, scan: Scan = Scan(), trained: Trained | None = None) -> DataFrame:
+    """Adds family, probability (of any known family) and matched (share of the best template found) to rows with words; unknown where not accepted or confirmed."""
+    by = trained or train(found.sparkSession, scan)
     # Written out, or each use below would split the paragraph and run the model again.
     made = cut(found.withColumn("grams", grams(F.col("words"))), "grams")
-    scored = cut(model.transform(made).select(*found.columns, "grams", vector_to_array("probability").alias("probability")), "scored")
-    best = F.array_max(F.transform("probability", lambda p, i: F.struct(p.alias("p"), i.alias("i"))))
-    own = scored.withColumn("best", best).withColumn("family", F.get(F.array(*(F.lit(x) for x in names)), F.col("best.i"))).withColumn("probability", F.col("best.p"))
-
-    def share(own_grams: Column, family: Column) -> Column:
+    scored = cut(by.model.transform(made).select(*found.columns, "grams", vector_to_array("rawPrediction").alias("margins")), "scored")
+    top = F.array_max("margins")
+    total = F.aggregate("margins", F.lit(0.0), lambda s, x: s + F.exp((x - top) / by.temperature))
+    unknown = by.names.index(UNKNOWN)
+    best = F.array_max(F.filter(F.transform("margins", lambda m, i: F.struct(m.alias("m"), (-i).alias("i"))), lambda x: x["i"] != -unknown))
+    own = scored.withColumn("family", F.get(F.array(*(F.lit(x) for x in by.names)), -best["i"])).withColumn("probability", 1 - F.exp((F.get("margins", F.lit(unknown)) - top) / by.temperature) / total)
+
+    def some(own_grams: Column, runs: tuple[str, ...]) -> Column:
+        return F.arrays_overlap(own_grams, F.array(*map(F.lit, runs)))
+
+    def confirmed(own_grams: Column, family: Column) -> Column:
+        """The share of the family's best template; 0 without what tells it from its kin."""
         out = F.lit(0.0)
-        for name in names:
+        for name in by.names:
             if name != UNKNOWN:
                 wanted = [template_grams(t) for t in TEMPLATES[name]]
-                out = F.when(family == name, F.greatest(*(F.size(F.array_intersect(own_grams, F.array(*map(F.lit, w)))) / len(w) for w in wanted))).otherwise(out)
+                share = F.greatest(*(F.size(F.array_intersect(own_grams, F.array(*map(F.lit, w)))) / len(w) for w in wanted), F.lit(0.0))
+                told = ~some(own_grams, (*BARS.get(name, ()), *DENIALS))
+                for runs in NEEDS.get(name, ()):
+                    told = told & some(own_grams, runs)
+                out = F.when(family == name, F.when(told, share).otherwise(0.0)).otherwise(out)
         return out
 
-    matched = F.get(F.transform(F.array(F.struct("grams", "family")), lambda x: share(x["grams"], x["family"])), F.lit(0))
+    matched = F.get(F.transform(F.array(F.struct("grams", "family")), lambda x: confirmed(x["grams"], x["family"])), F.lit(0))
     out = own.withColumn("matched", matched)
-    good = (F.col("probability") >= accept) & (F.col("matched") >= scan.confirm)
+    good = (F.col("probability") >= by.accept) & (F.col("matched") >= scan.confirm)
     return out.select(*found.columns, F.when(good, F.col("family")).otherwise(UNKNOWN).alias("family"), "probability", "matched")
 
 
