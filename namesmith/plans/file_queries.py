@@ -356,9 +356,9 @@ def term_scores(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
                 b.score = node_score(b, model)
                 trial = Trial(model)
                 trial.do(("up", a, b))
-                gain = round(trial.gain(), 9) + 0.0
+                gain = trial.gain()
                 trial.undo()
-            out.append((one["id"], term, round(a.score, 9) + 0.0, gain))
+            out.append((one["id"], term, a.score, gain))
     return pd.DataFrame(out, columns=["id", "term", "alone", "gain"])
 
 
@@ -369,18 +369,18 @@ def term_scores(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
  u AS (SELECT id, term, token, sum(n) AS n FROM (SELECT * FROM b UNION ALL SELECT nx.id, term, token, n FROM nx JOIN b ON b.id = nx.id2) GROUP BY 1, 2, 3),
  st AS (SELECT id, term, sum(n) AS total, count(*) AS kinds FROM b GROUP BY 1, 2), ut AS (SELECT id, term, sum(n) AS total, count(*) AS kinds FROM u GROUP BY 1, 2),
  s AS (SELECT id, term, sqrt(sum(n * n)) AS norm, -0.25 * max(kinds) / max(total) + CASE WHEN max(kinds) > 1 THEN 0.125 * sum(n / total * ln(n / total)) / ln(max(kinds)) ELSE 0 END AS alone FROM b JOIN st USING (id, term) GROUP BY 1, 2),
- r AS (SELECT id, term, -0.25 * max(kinds) / max(total) + CASE WHEN max(kinds) > 1 THEN 0.125 * sum(n / total * ln(n / total)) / ln(max(kinds)) ELSE 0 END AS both FROM u JOIN ut USING (id, term) GROUP BY 1, 2),
+ r AS (SELECT id, term, -0.25 * max(kinds) / max(total) + CASE WHEN max(kinds) > 1 THEN 0.125 * sum(n / total * ln(n / total)) / ln(max(kinds)) ELSE 0 END AS pair FROM u JOIN ut USING (id, term) GROUP BY 1, 2),
  d AS (SELECT nx.id, x.term, sum(x.n * y.n) AS dot FROM nx JOIN b x ON x.id = nx.id JOIN b y ON y.id = id2 AND y.term = x.term AND y.token = x.token GROUP BY 1, 2),
- bags AS (SELECT nx.id, term, coalesce(s.alone, 0) AS alone, CASE WHEN id2 IS NOT NULL THEN coalesce(r.both, 0) - coalesce(s.alone, 0) - coalesce(s2.alone, 0) + CASE WHEN s.norm > 0 AND s2.norm > 0 THEN 8 * (coalesce(dot, 0) / (s.norm * s2.norm) - 0.125) ELSE 0 END END AS gain
+ bags AS (SELECT nx.id, term, coalesce(s.alone, 0) AS alone, CASE WHEN id2 IS NOT NULL THEN coalesce(r.pair, 0) - coalesce(s.alone, 0) - coalesce(s2.alone, 0) + CASE WHEN s.norm > 0 AND s2.norm > 0 THEN 8 * (coalesce(dot, 0) / (s.norm * s2.norm) - 0.125) ELSE 0 END END AS gain
   FROM nx CROSS JOIN (VALUES ('emails'), ('institutions'), ('coauthors'), ('topics'), ('text'), ('keywords'), ('venues')) v(term) LEFT JOIN s USING (id, term) LEFT JOIN s s2 ON s2.id = id2 AND s2.term = v.term LEFT JOIN r ON r.id = nx.id AND r.term = v.term LEFT JOIN d ON d.id = nx.id AND d.term = v.term),
  names AS (SELECT id, 'firstNames' AS term, CASE WHEN first = '' THEN -4.0 ELSE 0 END AS alone, CASE WHEN id2 IS NOT NULL THEN CASE WHEN first = '' AND first2 = '' THEN 4.0 ELSE CASE WHEN first = '' OR first2 = '' THEN 4.0 ELSE 0 END
   - CASE WHEN first <> '' AND first2 <> '' AND first <> first2 THEN CASE WHEN first[1] <> first2[1] THEN 3 ELSE 0 END + CASE WHEN len(first) > 1 AND len(first2) > 1 THEN least(16, 3 * levenshtein(first, first2)) ELSE 0 END ELSE 0 END END END AS gain FROM nx),
  e AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), f AS (SELECT nx.id, id2, x.v AS v, y.v AS w FROM nx LEFT JOIN e x ON x.k = nx.k LEFT JOIN e y ON y.k = k2),
  g AS (SELECT id, id2, v, w, list_transform(range(1, 65), lambda i: abs(coalesce(v[i], 0) + coalesce(w[i], 0))) AS a, list_transform(v, lambda x: abs(x)) AS av, list_transform(w, lambda x: abs(x)) AS aw FROM f),
- h AS (SELECT id, id2, v, w, CASE WHEN v IS NULL AND w IS NULL THEN 0 ELSE 0.75 * list_sum(list_transform(a, lambda x: CASE WHEN x > 0 THEN x / list_sum(a) * ln(x / list_sum(a)) ELSE 0 END)) / ln(64) END AS both,
+ h AS (SELECT id, id2, v, w, CASE WHEN v IS NULL AND w IS NULL THEN 0 ELSE 0.75 * list_sum(list_transform(a, lambda x: CASE WHEN x > 0 THEN x / list_sum(a) * ln(x / list_sum(a)) ELSE 0 END)) / ln(64) END AS pair,
   CASE WHEN v IS NULL THEN 0 ELSE 0.75 * list_sum(list_transform(av, lambda x: CASE WHEN x > 0 THEN x / list_sum(av) * ln(x / list_sum(av)) ELSE 0 END)) / ln(64) END AS alone,
   CASE WHEN w IS NULL THEN 0 ELSE 0.75 * list_sum(list_transform(aw, lambda x: CASE WHEN x > 0 THEN x / list_sum(aw) * ln(x / list_sum(aw)) ELSE 0 END)) / ln(64) END AS alone2 FROM g),
- vecs AS (SELECT id, 'title' AS term, alone, CASE WHEN id2 IS NOT NULL THEN both - alone - alone2 + CASE WHEN v IS NOT NULL AND w IS NOT NULL THEN 8 * (list_cosine_similarity(v, w) - 0.25) ELSE 0 END END AS gain FROM h)
+ vecs AS (SELECT id, 'title' AS term, alone, CASE WHEN id2 IS NOT NULL THEN pair - alone - alone2 + CASE WHEN v IS NOT NULL AND w IS NOT NULL THEN 8 * (list_cosine_similarity(v, w) - 0.25) ELSE 0 END END AS gain FROM h)
  SELECT id, term, CAST(round(alone, 7) AS DOUBLE) + 0 AS alone, CAST(round(gain, 7) AS DOUBLE) + 0 AS gain FROM (SELECT * FROM bags UNION ALL SELECT * FROM names UNION ALL SELECT * FROM vecs)""")
 def score_terms_of_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term alone on the fuller view: e-mails, institutions, coauthors, topics, texts, keywords, venues, absent first names, title vectors."""
@@ -422,7 +422,7 @@ def sorted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh(spark, "clusters")
     rows = table(spark, sf_dir, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("mention_id"), F.concat(F.lit("e"), F.col("o_custkey").cast("string")).alias("entity_id"))
     writers.write_clusters(rows.repartition(7, "entity_id"), path)
-    lines = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.split(F.rtrim("value"), "\n").alias("lines"))
+    lines = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.split(F.regexp_replace("value", "\n$", ""), "\n").alias("lines"))
     sizes = lines.select("file", F.size("lines").alias("n"))
     before = sizes.alias("x").join(sizes.alias("y"), F.expr("y.file < x.file"), "left").groupBy("x.file").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("base"))
     each = lines.join(before, "file").select("base", F.posexplode("lines").alias("i", "line"))
