@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.functions import canopies, names, text
-from namesmith.operators import convert, evaluate, features, report
+from namesmith.operators import blocking, convert, evaluate, features, report
 from namesmith.operators.hierarchy import BAGS, Bag, Model, Name, Node, Trial, node_score
 from namesmith.plans import jobs
 from namesmith.plans.queries import BASELINE_SQL, CELLS, COMPONENT_SQL, M, P, keystore, mentions, people, table, two_clusterings
@@ -437,3 +437,13 @@ def timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = spark.read.text(f"{out}/timing").select(F.split("value", "\t").alias("v"))
     n = spark.read.text(f"{out}/predicted").agg(F.count("*").alias("mentions"))
     return line.select(F.col("v")[0].alias("name"), (F.col("v")[1].cast("long") > 0).alias("taken")).join(n)
+
+
+@query("fetch_from_buckets", M + """ SELECT 'LAST_' || last || '_FIRST_' || first AS canopy, id, title FROM m""")
+def fetch_from_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks' mentions from a store that is laid out by id and isn't shuffled for it."""
+    m, path = mentions(spark, sf_dir), fresh(spark, "buckets")
+    name = "mentions_" + uuid.uuid4().hex
+    writers.bucketed_store(m, name, path, 8)
+    found = blocking.fetch(blocking.tasks(m, canopies.first_and_last), readers.bucketed_store(spark, name, path, 8))
+    return found.select("canopy", F.col("mentionId").alias("id"), "title")

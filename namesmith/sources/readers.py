@@ -168,3 +168,10 @@ def field_counts(spark: SparkSession, root: str) -> DataFrame:
 def last_line_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     own = Window.partitionBy(key).orderBy(F.desc(order))
     return df.withColumn("_r", F.row_number().over(own)).where("_r = 1").drop("_r")
+
+
+def bucketed_store(spark: SparkSession, name: str, path: str, buckets: int, key: str = "mentionId") -> DataFrame:
+    """The store that ``writers.bucketed_store`` wrote, also in a session whose catalog doesn't know it yet."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
