@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesmith.functions import canopies, names, text, vectors
-from namesmith.operators import blocking, convert, evaluate, features, hierarchy, neighbours, pairwise, phrases, profile, report, topics
+from namesmith.operators import blocking, convert, evaluate, features, hierarchy, near_names, neighbours, pairwise, phrases, profile, report, topics
 from namesmith.operators import word_vectors as vectors_of_words
 from namesmith.plans.registry import query
 from namesmith.schema import MENTION, author, complete
@@ -378,6 +378,14 @@ def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.edit_distance(F.col("p_name"), F.col("p_type")).cast("long").alias("distance"), (F.levenshtein(word(1), word(2), 4) >= 0).alias("near"))
 
 
+@query("near_names", """WITH n AS (SELECT DISTINCT p_brand AS block, p_name || ' ' || p_size AS name FROM part)
+ SELECT x.block, x.name AS a, y.name AS b, levenshtein(x.name, y.name) AS distance FROM n x JOIN n y ON x.block = y.block AND x.name < y.name WHERE levenshtein(x.name, y.name) <= 3""")
+def close_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a brand within three edits, by segments."""
+    rows = table(spark, sf_dir, "part").select("p_brand", F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name"))
+    return near_names.near_names(rows, "p_brand", "name", 3).withColumn("distance", F.col("distance").cast("long"))
+
+
 @query("years", """SELECT o_orderkey AS id, strftime(o_orderdate, '%Y') AS year FROM orders""")
 def years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.year_of(F.col("o_orderdate").cast("string")).alias("year"))
