@@ -58,11 +58,12 @@ def near_names(rows: DataFrame, block: str, name: str, d: int) -> DataFrame:
     size = F.char_length("name")
     shorter = names.where(size > d).select("block", F.col("name").alias("s"), F.explode(segments(F.col("name"), d)).alias("key"))
     longer = names.where(size > d).select("block", F.col("name").alias("t"), F.explode(substrings(F.col("name"), d)).alias("key"))
-    met = shorter.join(longer, ["block", "key"]).select("block", "s", "t")
+    # Sizes before keys are made mislead Spark into sending all keys of one side to every task through the driver.
+    met = shorter.join(longer.hint("merge"), ["block", "key"]).select("block", "s", "t")
     if d:
         left = names.where(size <= 2 * d).select("block", F.col("name").alias("t"), F.explode(shortened(F.col("name"), d)).alias("key"))
         few = left.where(F.char_length("t") <= d).withColumnRenamed("t", "s")
-        met = met.unionByName(few.join(left, ["block", "key"]).select("block", "s", "t"))
+        met = met.unionByName(few.join(left.hint("merge"), ["block", "key"]).select("block", "s", "t"))
     distance = F.levenshtein("a", "b", d)
-    pairs = met.where("s <> t").select("block", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
-    return pairs.withColumn("distance", distance).where("distance >= 0")
+    pairs = met.where("s <> t").select("block", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
+    return pairs.withColumn("distance", distance).where("distance >= 0").distinct()

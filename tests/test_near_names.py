@@ -43,3 +43,10 @@ def test_far_fewer_meetings_than_pairs(spark):
     keys = lambda f, as_: df.select("block", df.name.alias(as_), near_names.F.explode(f(df.name, 2)).alias("key"))
     met = keys(near_names.segments, "s").join(keys(near_names.substrings, "t"), ["block", "key"]).where("s <> t").count()
     assert met < 400 * 399 / 20
+
+
+def test_keys_are_not_sent_through_the_driver(spark):
+    """Keys are many times the names: no side is broadcast, whatever the estimated size of the names."""
+    df = near_names.near_names(spark.createDataFrame([("p", "abcdef"), ("p", "abcdeg")], "b string, n string"), "b", "n", 2)
+    assert [tuple(r) for r in df.collect()] == [("p", "abcdef", "abcdeg", 1)]
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
