@@ -305,3 +305,34 @@ def test_two_and_eight_shared_values_by_prefixes(spark):
     pairs = lambda e: pairwise.candidates(pairwise.keys(m), e).alias("x").join(pairwise.candidates(pairwise.keys(m), e).alias("y"), F.expr("x.canopy = y.canopy and x.mark = y.mark and x.id < y.id")).count()
     assert pairs((("coauthors", 2),)) < 0.6 * pairs((("coauthors", 1),))
     assert pairs((("topics", 8),)) < 0.25 * pairs((("topics", 1),))
+
+
+@pytest.mark.parametrize("pack", [1, 3, 256])
+def test_rows_that_a_rule_cannot_tell_apart(spark, pack, monkeypatch):
+    """Packs of equal rows, dense and sparse blocks, and repeated ids give the pairs of the plain rule, each once."""
+    monkeypatch.setattr(pairwise, "PACK", pack)
+    monkeypatch.setattr(pairwise, "SHARE", 2)
+    rng = random.Random(pack)
+    rows = [(f"{i:02d}", rng.choice(["maria", "mario", "alexander"]), rng.choice("xy"), rng.choice([["p"], ["q", "p"], ["p", "q"], ["r"], [f"s{i}"]])) for i in range(40)]
+    rows += [rows[0], (rows[1][0], "maria", "x", ["p", "q"])]
+    df = mentions(spark, rows)
+    x, y = (pairwise.keys(df).alias(n) for n in "xy")
+    for rule in (pairwise.baseline, pairwise.deterministic):
+        want = sorted(set(map(tuple, x.join(y, F.expr("x.id < y.id") & rule("x", "y")).select("x.id", "y.id").collect())))
+        assert sorted(map(tuple, pairwise.matches(df, rule).collect())) == want and len(want) > 10
+
+
+@pytest.mark.parametrize("pack", [2, 256])
+def test_equal_pairs(spark, pack, monkeypatch):
+    monkeypatch.setattr(pairwise, "PACK", pack)
+    rows = [(i, "ab"[i % 2] if i % 5 else None, i % 3) for i in range(30)]
+    got = sorted(map(tuple, pairwise.equal_pairs(spark.createDataFrame(rows, "id long, k string, n int"), "id", ["k", "n"]).collect()))
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1:] == b[1:])
+
+
+def test_outcome_counts(spark):
+    """Counts from the contingency table are those of the listed pairs; an outcome without pairs has no row."""
+    rng = random.Random(3)
+    p, g = (spark.createDataFrame([(f"m{i}", rng.choice("abc")) for i in range(60)], "mention_id string, entity_id string") for _ in "pg")
+    for x, y in ((p, g), (p, p)):
+        assert sorted(map(tuple, evaluate.outcome_counts(x, y).collect())) == sorted(map(tuple, evaluate.pair_outcomes(x, y).groupBy("outcome").count().collect()))
