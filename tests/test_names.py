@@ -1,3 +1,6 @@
+import time
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +103,16 @@ def test_accents_query_strips_whole_texts(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in queries.accents(spark, str(tmp_path)).orderBy("doc_id").collect()] == want
     monkeypatch.setattr(queries.text, "strip_accents", lambda x: x)
     assert [tuple(r) for r in queries.accents(spark, str(tmp_path)).orderBy("doc_id").collect()] != want
+
+
+def test_accents_in_time_that_follows_the_text(spark):
+    """Every character of the basic plane, alone and in a long text, against unicodedata; no list of forms is searched for each letter."""
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if ord(c) < 128)
+    kept = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000 and not set(plain(chr(i))) & {"=", ";"}]
+    texts = ["".join(kept[i : i + 500]) for i in range(0, len(kept), 500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert {r.i: r.t for r in rows.select("i", text.strip_accents(F.col("t")).alias("t")).collect()} == {i: plain(t) for i, t in enumerate(texts)}
+    began = time.time()
+    long = spark.range(200, numPartitions=4).select(F.repeat(F.lit("é ü ñ "), 5000).alias("t"))
+    assert long.select(F.sum(F.length(text.strip_accents(F.col("t"))))).first()[0] == 200 * 5000 * 6
+    assert time.time() - began < 40
