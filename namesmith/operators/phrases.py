@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namesmith.functions.text import remove_punctuation, split_trimmed, trim_ends
-from namesmith.plans.storage import cut
+from namesmith.plans.storage import cut, small_batches
 
 #: Bytes of a vocabulary that go to all tasks at once.
 BROADCAST = 64 << 20
+#: Words that a task follows at once: what it holds for each is some hundred bytes.
+WORDS = 1 << 17
 FOUND = "array<struct<i:long,n:long,phrase:string>>"
 
 
@@ -102,6 +104,16 @@ def tag_batch(trie: Trie, words: pa.Array, most: int, inclusive: bool) -> tuple[
     return pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(place), pa.array(n[order]), trie.phrases.take(pa.array(phrase[order]))
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about WORDS words together; a longer row is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + WORDS, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def tag_phrases(texts: DataFrame, vocabulary: DataFrame, longest: int, key: str = "id", inclusive: bool = True, limit: int = BROADCAST) -> DataFrame:
     """(key, phrases): vocabulary phrases (words joined by _) in order of place, then length.
 
@@ -113,7 +125,7 @@ def tag_phrases(texts: DataFrame, vocabulary: DataFrame, longest: int, key: str
     """
     spark, kind = texts.sparkSession, texts.schema[key].dataType.simpleString()
     most = longest if inclusive else longest - 1
-    own = texts.select(F.col(key), split_trimmed(F.col("text"), r"\s+").alias("words"))
+    own = small_batches(texts).select(F.col(key), split_trimmed(F.col("text"), r"\s+").alias("words"))
     known = vocabulary.select(F.lower(F.col(vocabulary.columns[0])).alias("phrase")).where("phrase is not null").distinct()
     size = known.select(F.coalesce(F.sum(F.octet_length("phrase") + 16), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // limit))
@@ -125,9 +137,10 @@ def tag_phrases(texts: DataFrame, vocabulary: DataFrame, longest: int, key: str
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                offsets, place, n, phrase = tag_batch(trie.value, batch.column("words"), most, inclusive)
-                found = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([place, n, phrase], names=["i", "n", "phrase"]))
-                yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("words"), batch.column("before"), found], names=names)
+                for some in slices(batch):
+                    offsets, place, n, phrase = tag_batch(trie.value, some.column("words"), most, inclusive)
+                    found = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([place, n, phrase], names=["i", "n", "phrase"]))
+                    yield pa.RecordBatch.from_arrays([some.column(key), some.column("words"), some.column("before"), found], names=names)
 
         found = rows.mapInArrow(emit, f"`{key}` {kind}, words array<string>, before {FOUND}, found {FOUND}")
         return found.select(key, "words", F.concat("before", "found").alias("before"))

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from namesmith.operators import phrases
@@ -55,3 +56,15 @@ def test_texts_are_not_shuffled(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     found = phrases.tag_phrases(rows, spark.createDataFrame([(v,) for v in vocabulary], "v string"), 4)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_are_followed_in_slices(spark, monkeypatch):
+    """A task holds some words at a time, and slices of a batch give what the whole gives."""
+    sizes = [0, 3, 4, None, 9, 1, 1, 1, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array([None if n is None else ["w"] * n for n in sizes], pa.list_(pa.string()))], names=["words"])
+    monkeypatch.setattr(phrases, "WORDS", 5)
+    assert [x.num_rows for x in phrases.slices(batch)] == [2, 2, 1, 4]
+    vocabulary, texts = case(4)
+    got = [phrases.tag_batch(phrases.Trie(sorted(vocabulary)), x.column("words"), 4, True) for x in phrases.slices(pa.RecordBatch.from_arrays([pa.array([t.split() if t else [] for t in texts])], names=["words"]))]
+    whole = phrases.tag_batch(phrases.Trie(sorted(vocabulary)), pa.array([t.split() if t else [] for t in texts]), 4, True)
+    assert [p for g in got for p in g[3].to_pylist()] == whole[3].to_pylist() and len(got) > 5
