@@ -113,11 +113,12 @@ def paper_mentions(papers: DataFrame, apart: bool = True) -> DataFrame:
     The id joins paper, last and first name. Of authors on one paper with equal
     ids the first keeps it; apart: the others get their place added.
     """
-    own = F.filter("authors", lambda a: a["lastName"] != "")
-    each = papers.withColumn("authors", own).select("*", F.posexplode("authors").alias("place", "self"))
     name = lambda a: F.regexp_replace(F.concat(F.col("paperId"), F.lit("_LN_"), a["lastName"], F.lit("_FN_"), a["firstName"]), "[^A-Za-z0-9_-]", "")
-    mention = name(F.col("self"))
-    again = F.array_position(F.transform("authors", name), mention) <= F.col("place")
+    # Ids are made once a paper, before it becomes a row for each author.
+    own = papers.withColumn("authors", F.filter("authors", lambda a: a["lastName"] != "")).withColumn("_names", F.transform("authors", name))
+    each = own.select("*", F.posexplode("authors").alias("place", "self"))
+    mention = F.get("_names", F.col("place"))
+    again = F.array_position("_names", mention) <= F.col("place")
     others = F.filter("authors", lambda a, i: i != F.col("place"))
     return each.select((F.when(again, F.concat(mention, F.lit("_"), F.col("place").cast("string"))).otherwise(mention) if apart else mention).alias("mentionId"), "paperId", "self", others.alias("coauthors"), "title", "year", "venues", "abstractText")
 

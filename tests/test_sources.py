@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from namesmith.operators import blocking, convert, evaluate, pairwise
 from namesmith.functions import canopies
+from namesmith.schema import author
 from namesmith.sources import bibtex, readers, writers
 
 
@@ -160,3 +161,12 @@ def test_tasks_round_trip(spark, tmp_path):
     assert (tmp_path / "d" / "prefix=misc").exists()
     assert pairwise.block_pairs(m.withColumn("canopy", F.col("self.lastName"))).count() == 1
     assert evaluate.entity_members(clusters).first().members == ["1", "2"]
+
+
+def test_ids_of_a_paper_are_made_once(spark):
+    """Not again for each author: the only expression that makes them stands below the one that makes rows of authors."""
+    papers = spark.createDataFrame([("1",)], "paperId string").select("paperId", F.array(*(author(F.lit(f), None, F.lit("Lee")) for f in "aab")).alias("authors"), F.lit("t").alias("title"), F.lit("").alias("year"), F.array(F.lit("v")).alias("venues"), F.lit("").alias("abstractText"))
+    found = readers.paper_mentions(papers.repartition(2))
+    assert sorted(r.mentionId for r in found.collect()) == ["1_LN_Lee_FN_a", "1_LN_Lee_FN_a_1", "1_LN_Lee_FN_b"]
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "regexp_replace" not in above
