@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from namesmith.functions import canopies, vectors
 from namesmith.operators import blocking, evaluate, features, hierarchy, pairwise
 from namesmith.operators.components import components
+from namesmith.plans import registry
 from namesmith.schema import author, complete
 
 
@@ -336,3 +337,18 @@ def test_outcome_counts(spark):
     p, g = (spark.createDataFrame([(f"m{i}", rng.choice("abc")) for i in range(60)], "mention_id string, entity_id string") for _ in "pg")
     for x, y in ((p, g), (p, p)):
         assert sorted(map(tuple, evaluate.outcome_counts(x, y).collect())) == sorted(map(tuple, evaluate.pair_outcomes(x, y).groupBy("outcome").count().collect()))
+
+
+def test_pooled_makes_no_row_for_each_dimension(spark):
+    store = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, None])], "word string, vec array<double>")
+    rows = spark.createDataFrame([(1, ["a", "a", "b", "c"])], "id int, words array<string>")
+    found = features.pooled(rows, "id", "words", store, 2)
+    assert found.first().vec == [0.75, pytest.approx(1 / 3)]
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["score_terms", "score_terms_of_people"])
+def test_a_name_is_not_one_task(spark, name):
+    """Rows of one name are dealt to tasks by id."""
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "GroupsInPandas" not in plan
