@@ -36,12 +36,10 @@ def pooled(df: DataFrame, key: str, words: str, keystore: DataFrame, dim: int, m
 
     The keystore joins as any table: Spark broadcasts it where its size allows.
     """
-    each = df.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n")).join(keystore, "word")
+    each = df.select(key, F.explode(words).alias("word")).join(keystore, "word")
     # A row per key and word, not one for each dimension too.
-    at = lambda i: F.get("vec", F.lit(i))
-    total = lambda i: F.sum(F.col("n") * at(i))
-    pooled_at = lambda i: total(i) / F.sum(F.when(at(i).isNotNull(), F.col("n"))) if mean else total(i)
-    found = each.groupBy(key).agg(*(pooled_at(i).alias(f"x{i}") for i in range(dim))).select(key, F.array(*(F.col(f"x{i}") for i in range(dim))).alias("vec"))
+    pool = F.avg if mean else F.sum
+    found = each.groupBy(key).agg(*(pool(F.get("vec", F.lit(i))).alias(f"x{i}") for i in range(dim))).select(key, F.array(*(F.col(f"x{i}") for i in range(dim))).alias("vec"))
     return df.select(key).join(found, key, "left").select(key, F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
 
 
