@@ -339,6 +339,12 @@ def share_of(family: str, grams: set[str]) -> float:
     return max(len(grams & set(w)) / len(w) for w in map(template_grams, TEMPLATES[family]))
 
 
+def evidence(spark: SparkSession) -> DataFrame:
+    """family, wanted, needs, bars: what confirms a family. A table of twenty rows: as literals, its n-grams would fill the driver's memory with copies of the plan."""
+    rows = [(k, [template_grams(t) for t in TEMPLATES[k]], [list(some) for some in NEEDS.get(k, ())], [*BARS.get(k, ()), *DENIALS]) for k in sorted(TEMPLATES) if k != UNKNOWN]
+    return spark.createDataFrame(rows, "family string, wanted array<array<string>>, needs array<array<string>>, bars array<string>")
+
+
 @dataclass(frozen=True)
 class Trained:
     """The model, its classes in order, the temperature its margins are divided by, and the least probability of a known family at which it is accepted."""
@@ -416,25 +422,9 @@ def classify(found: DataFrame, scan: Scan = Scan(), trained: Trained | None = No
     unknown = by.names.index(UNKNOWN)
     best = F.array_max(F.filter(F.transform("margins", lambda m, i: F.struct(m.alias("m"), (-i).alias("i"))), lambda x: x["i"] != -unknown))
     own = scored.withColumn("family", F.get(F.array(*(F.lit(x) for x in by.names)), -best["i"])).withColumn("probability", 1 - F.exp((F.get("margins", F.lit(unknown)) - top) / by.temperature) / total)
-
-    def some(own_grams: Column, runs: tuple[str, ...]) -> Column:
-        return F.arrays_overlap(own_grams, F.array(*map(F.lit, runs)))
-
-    def confirmed(own_grams: Column, family: Column) -> Column:
-        """The share of the family's best template; 0 without what tells it from its kin."""
-        out = F.lit(0.0)
-        for name in by.names:
-            if name != UNKNOWN:
-                wanted = [template_grams(t) for t in TEMPLATES[name]]
-                share = F.greatest(*(F.size(F.array_intersect(own_grams, F.array(*map(F.lit, w)))) / len(w) for w in wanted), F.lit(0.0))
-                told = ~some(own_grams, (*BARS.get(name, ()), *DENIALS))
-                for runs in NEEDS.get(name, ()):
-                    told = told & some(own_grams, runs)
-                out = F.when(family == name, F.when(told, share).otherwise(0.0)).otherwise(out)
-        return out
-
-    matched = F.get(F.transform(F.array(F.struct("grams", "family")), lambda x: confirmed(x["grams"], x["family"])), F.lit(0))
-    out = own.withColumn("matched", matched)
+    share = F.array_max(F.transform("wanted", lambda w: F.size(F.array_intersect("grams", w)) / F.size(w)))
+    told = F.forall("needs", lambda some: F.arrays_overlap("grams", some)) & ~F.arrays_overlap("grams", "bars")
+    out = own.join(F.broadcast(evidence(found.sparkSession)), "family", "left").withColumn("matched", F.when(told, share).otherwise(0.0))
     good = (F.col("probability") >= by.accept) & (F.col("matched") >= scan.confirm)
     return out.select(*found.columns, F.when(good, F.col("family")).otherwise(UNKNOWN).alias("family"), "probability", "matched")
 

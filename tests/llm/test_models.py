@@ -256,6 +256,15 @@ def test_licences_by_hand(spark):
     assert got == want
 
 
+def test_templates_are_no_part_of_the_plan(spark):
+    """Their n-grams come as a table: as literals they would fill the driver with copies of the plan."""
+    found = spark.createDataFrame([(["released", "under", "the", "mit", "license"],), (["some", "words"],)], "words array<string>")
+    made = licenses.classify(found, trained=licenses.train(spark))
+    plan = made._jdf.queryExecution().toString()
+    assert "permission is hereby" not in plan and len(plan) < 50_000
+    assert sorted((r.family, r.matched) for r in made.select("family", "matched").collect()) == [("mit", 1.0), ("unknown", 0.0)]
+
+
 def test_licences_of_repeated_ids(spark):
     rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (1, "Licensed under CC BY 4.0."), (None, "x")]
     assert sorted(r.families for r in licenses.licences(frame(spark, rows)).collect()) == ["cc-by-4.0", "mit", "mit"]
