@@ -98,3 +98,24 @@ def test_one_step_follows_the_gradient():
                 # Context words share the whole pull of their mean, as is customary.
                 want = -1e-3 * slope * (3 if which == 0 else 1)
                 assert abs((new - old)[i, j] - want) < 1e-6
+
+
+def test_the_last_model_does_not_go_to_the_driver(spark, monkeypatch):
+    df, kind, read = planted(spark, 200), type(spark.range(1)), []
+    fetch = kind.toLocalIterator
+    monkeypatch.setattr(kind, "toLocalIterator", lambda self, *a, **k: read.append(1) or fetch(self, *a, **k))
+    for iterations in (1, 3):
+        read.clear()
+        found = vectors(df, iterations=iterations, least=5)
+        assert len(read) == iterations - 1
+        assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+        assert all(len(r.vec) == 16 and any(r.vec) for r in found.collect())
+
+
+def test_words_that_the_last_iteration_left_out_keep_their_vectors(spark):
+    before = np.arange(600, dtype=np.float32).reshape(300, 2)
+    times = [0.0] * 44
+    times[3] = 4.0
+    model = spark.createDataFrame([(1, 0, times, [2.0] * 88, [])], cbow.SUMS)
+    found = {r.word: r.vec for r in cbow.vectors(model, [f"w{i}" for i in range(300)], before).collect()}
+    assert found == {f"w{i}": [0.5, 0.5] if i == 259 else [2.0 * i, 2.0 * i + 1] for i in range(300)}
