@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from namesmith.llm import kernels
-from namesmith.plans.storage import cut, small_batches
+from namesmith.plans.storage import cut, remove, small_batches
 
 RUNS = "seed long, whole long, doc_id long, mark long, lo int, hi int, at int, more array<int>"
 BLOCKS = "h1 long, h2 long, doc_id long, mark long, lo int, hi int, at int, hot int"
@@ -186,7 +186,8 @@ def spans(docs: DataFrame, kind: str, n: int, k: int, earlier: str, block: int =
     if hot is not None:
         over = Window.partitionBy("seed", "whole").orderBy(*PLACE)
         top = met.where("hot = 1 and not again").withColumn("again", later(over, earlier)).withColumn("open", ~F.col("again") & (F.row_number().over(over) == 1))
-        met = cut(met.where("hot = 0 or again").unionByName(top), f"{kind}-runs")
+        first, met = met, cut(met.where("hot = 0 or again").unionByName(top), f"{kind}-runs")
+        remove(first)
     none = F.array().cast("array<int>")
     more = F.coalesce("more", none)
     every = F.concat(F.array("lo"), more)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from namesmith.llm import kernels, repeats
 
 
-def repeated_bytes(docs: DataFrame, depth: int = 100, seed: int = 20, block: int = 8) -> DataFrame:
+def repeated_bytes(docs: DataFrame, depth: int = 100, seed: int = 40, block: int = 8) -> DataFrame:
     """Byte spans (doc_id, mark, lo, hi) covered by a depth-byte string that also starts earlier.
 
     Earlier means in a smaller doc_id, or before in the same document; strings
@@ -40,7 +40,7 @@ def spans_of(texts: DataFrame, depth: int, seed: int, block: int = 8) -> DataFra
     return repeats.spans(texts, "bytes", depth, seed, "place", block)
 
 
-def dedup_bytes(docs: DataFrame, depth: int = 100, seed: int = 20) -> DataFrame:
+def dedup_bytes(docs: DataFrame, depth: int = 100, seed: int = 40) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
 
     A cut can split a character: ``kept`` is binary. Spans are as in

@@ -1,10 +1,13 @@
 """A store laid out by id."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from namesmith.functions import canopies
 from namesmith.operators import blocking
+from namesmith.plans.storage import cut
 from namesmith.schema import author, complete
 from namesmith.sources import readers, writers
 
@@ -48,3 +51,17 @@ def test_fetch_does_not_shuffle_the_store(spark, tmp_path):
 def test_repeated_ids_fail(spark, tmp_path):
     with pytest.raises(ValueError, match="repeated"):
         writers.bucketed_store(some(spark, 5).unionByName(some(spark, 5)), "store_of_copies", f"file://{tmp_path}/copies", 2)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(key, "false"), shuffled()
+    assert cut(spark.range(10_000).groupBy((F.col("id") % 99).alias("x")).count(), "counts").count() == 99
+    end = time.time() + 20
+    while (left := {x for x in shuffled() - before if x.endswith(".data")}) and time.time() < end:
+        spark.range(1).collect()
+        time.sleep(0.5)
+    # What is left is of the count above, at most.
+    assert len(left) <= 1 and spark.conf.get(key, "false") == was
