@@ -24,7 +24,9 @@ import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ from namesmith.operators.components import components
 from namesmith.operators.features import mention_bags, title_vectors
 from namesmith.plans.storage import cut, remove, shared_folder
 
+#: From so many children on (more than two), those that don't move are scored as columns.
+WIDE = 40
 BAGS = ("firstNames", "middleNames", "emails", "institutions", "coauthors", "topics", "text", "keywords", "venues")
 
 
@@ -82,7 +86,11 @@ class Model:
 
 
 class Node:
-    """A node of a tree. ``leaf`` names a mention, or a root of an earlier round, whose inside is settled."""
+    """A node of a tree. ``leaf`` names a mention, or a root of an earlier round, whose inside is settled.
+
+    ``over`` has the dot products with the parent's bags, ``fixed`` what of a node's
+    score its own bags decide, ``hist`` how many tokens of a bag have each count.
+    """
 
     def __init__(self, bags: dict[str, Counter], vec: list[float], leaf: str | None = None, count: int = 0) -> None:
         self.bags, self.vec, self.leaf, self.count = bags, vec, leaf, count
@@ -90,6 +98,10 @@ class Node:
         self.parent: Node | None = None
         self.children: list[Node] = []
         self.score = 0.0
+        self.over: dict[str, int] = {}
+        self.fixed: tuple[float, list[tuple]] | None = None
+        self.hist: dict[str, dict[int, int]] = {}
+        self.wide: Wide | None = None
 
     def root(self) -> Node:
         node = self
@@ -99,18 +111,29 @@ class Node:
 
     def add(self, other: Node, sign: int) -> None:
         self.count += sign * other.count
+        self.fixed = None
         if self.vec:
             self.vec = [a + sign * b for a, b in zip(self.vec, other.vec, strict=True)]
         for k, bag in other.bags.items():
-            own = self.bags[k]
+            if not bag:
+                continue
+            own, square, hist = self.bags[k], self.squares[k], self.hist.get(k)
             for token, n in bag.items():
-                was = own[token]
+                was = own.get(token, 0)
                 now = was + sign * n
-                self.squares[k] += now * now - was * was
+                square += now * now - was * was
                 if now:
                     own[token] = now
                 else:
                     del own[token]
+                if hist is not None:
+                    if was:
+                        hist[was] -= 1
+                        if not hist[was]:
+                            del hist[was]
+                    if now:
+                        hist[now] = hist.get(now, 0) + 1
+            self.squares[k] = square
 
     def leaves(self) -> list[Node]:
         return [x for x in self.nodes() if x.leaf]
@@ -119,6 +142,7 @@ class Node:
         return [self, *(x for c in self.children for x in c.nodes())]
 
 
+@lru_cache(1 << 16)
 def edits(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -131,6 +155,8 @@ def edits(a: str, b: str) -> int:
 def name_score(names: Counter, is_root: bool, w: Name) -> float:
     if len(names) > w.limit:
         return -w.weight * min(w.saturation, w.exceed)
+    if len(names) < 2:
+        return w.weight * (0.0 - (w.missing if not names and is_root else 0.0))
     found = sorted(names)
     pairs = [(a, b) for i, a in enumerate(found) for b in found[:i]]
     initials = sum(a[:1] != b[:1] for a, b in pairs)
@@ -158,6 +184,63 @@ def spread(weights: list[float]) -> float:
     return -sum(w / total * math.log(w / total) for w in weights if w) / math.log(len(weights)) if len(weights) > 1 and total else 0.0
 
 
+def bag_dot(a: Counter, b: Counter) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    get, out = b.get, 0
+    for token, n in a.items():
+        if m := get(token):
+            out += n * m
+    return out
+
+
+def title_score(node: Node, model: Model) -> float:
+    """The title term of a node under a parent."""
+    own, rest = dict(enumerate(node.vec)), {i: p - c for i, (p, c) in enumerate(zip(node.parent.vec, node.vec, strict=True))}
+    return model.title.weight * (cosine(own, rest) + model.title.shift) if any(node.vec) and any(rest.values()) else 0.0
+
+
+def child_score(node: Node, model: Model, over: dict[str, int]) -> float:
+    """``node_score`` of a node under a parent, from ``over`` (dot products with the parent's bags), whatever the size of the bags."""
+    if node.fixed is None:
+        names = 0.0
+        for k, w in model.names.items():
+            names += name_score(node.bags[k], False, w)
+        node.fixed = names, [(k, w.weight, w.shift, node.squares[k]) for k, w in model.bags.items() if w.weight and node.bags[k]]
+    score, parts = node.fixed
+    above = node.parent.squares
+    for k, weight, shift, square in parts:
+        whole = above[k]
+        if whole > square:
+            both = over[k]
+            rest = whole - 2 * both + square
+            score += weight * ((both - square) / math.sqrt(square * rest) + shift) if both > square and rest > 0 else weight * shift
+    if node.vec and model.title.weight:
+        score += title_score(node, model)
+    return score
+
+
+def root_score(node: Node, model: Model) -> float:
+    """``node_score`` of a root: entropies are of how many tokens have each count."""
+    score = 0.0
+    for k, w in model.names.items():
+        score += name_score(node.bags[k], True, w)
+        if not node.bags[k]:
+            score -= w.missing
+    for k, w in model.bags.items():
+        bag = node.bags[k]
+        if bag and (w.entropy or w.prior):
+            hist = node.hist.get(k)
+            if hist is None:
+                hist = node.hist[k] = dict(Counter(bag.values()))
+            total = sum(n * times for n, times in hist.items())
+            entropy = -sum(times * (n / total * math.log(n / total)) for n, times in hist.items()) / math.log(len(bag)) if len(bag) > 1 else 0.0
+            score -= w.entropy * entropy + w.prior * len(bag) / total
+    if node.vec and model.title.weight:
+        score -= model.title.entropy * spread([abs(x) for x in node.vec])
+    return score + model.size_weight * node.count**model.size_exponent
+
+
 def node_score(node: Node, model: Model) -> float:
     is_root, score = node.parent is None, 0.0
     for k, w in model.names.items():
@@ -172,8 +255,7 @@ def node_score(node: Node, model: Model) -> float:
             score -= w.entropy * spread(list(bag.values())) + w.prior * len(bag) / sum(bag.values())
     if node.vec and model.title.weight:
         if not is_root:
-            own, rest = dict(enumerate(node.vec)), {i: p - c for i, (p, c) in enumerate(zip(node.parent.vec, node.vec, strict=True))}
-            score += model.title.weight * (cosine(own, rest) + model.title.shift) if any(node.vec) and any(rest.values()) else 0.0
+            score += title_score(node, model)
         else:
             score -= model.title.entropy * spread([abs(x) for x in node.vec])
     if is_root:
@@ -202,23 +284,105 @@ def moves(a: Node, b: Node) -> list[tuple[str, Node, Node]]:
     return [("split", b, a) if a.count > b.count else ("split", a, b)]
 
 
+class Wide:
+    """The children of a node as columns: names' score, score, and for each weighted bag its square, the dot product with the node's and who has a token."""
+
+    def __init__(self, node: Node, model: Model, kinds: list[str]) -> None:
+        self.children = list(node.children)
+        self.place = {id(c): i for i, c in enumerate(self.children)}
+        for c in self.children:
+            if c.fixed is None:
+                child_score(c, model, c.over)
+        self.names = np.array([c.fixed[0] for c in self.children])
+        self.scores = np.array([c.score for c in self.children])
+        self.squares, self.overs, self.holders = {}, {}, {}
+        for k in kinds:
+            square = np.array([c.squares[k] for c in self.children], float)
+            if not square.any():
+                continue
+            self.squares[k], self.overs[k] = square, np.array([c.over[k] for c in self.children], float)
+            held: dict[str, tuple[list, list]] = {}
+            for i, c in enumerate(self.children):
+                for token, n in c.bags[k].items():
+                    places, counts = held.setdefault(token, ([], []))
+                    places.append(i)
+                    counts.append(n)
+            self.holders[k] = held
+
+    def after(self, node: Node, model: Model, moved: Node, sign: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Scores and dot products after a move, from the node's bags as they are then."""
+        scores, overs = self.names.copy(), {}
+        for k, square in self.squares.items():
+            over, held, bag = self.overs[k], self.holders[k], moved.bags[k]
+            if bag:
+                over = over.copy()
+                for token in bag if len(bag) < len(held) else held:
+                    if (n := bag.get(token)) and token in held:
+                        places, counts = held[token]
+                        if len(places) < 8:
+                            for i, m in zip(places, counts, strict=True):
+                                over[i] += sign * n * m
+                        else:
+                            if isinstance(places, list):
+                                places, counts = held[token] = np.array(places), np.array(counts, float)
+                            over[places] += (sign * n) * counts
+            overs[k], w, whole = over, model.bags[k], node.squares[k]
+            # Counts aren't negative: without anything in common, or without a rest, more is 0.
+            more = over - square
+            cosines = more / np.sqrt(np.maximum(square * (whole - over - more), 1.0))
+            scores += (cosines + w.shift) * (w.weight * ((square > 0) & (whole > square)))
+        return scores, overs
+
+
 class Trial:
-    """A move that is done, scored and undone: only nodes whose bags or surroundings change are scored anew."""
+    """A move that is done, scored and undone.
+
+    Only nodes whose bags, parent or parent's bags change are scored anew, and their
+    dot products with the parent's bags (``overs``) change by those with what moved.
+    """
 
     def __init__(self, model: Model) -> None:
         self.model = model
+        self.kinds = [k for k, w in model.bags.items() if w.weight]
         self.log: list[tuple] = []
         self.touched: dict[int, Node] = {}
+        self.overs: dict[int, dict[str, int]] = {}
+        self.wide: list[tuple[Node, int | None, Node, int]] = []
         self.made: Node | None = None
         self.gone: list[Node] = []
 
-    def touch(self, node: Node | None) -> None:
-        """A node and all above it, with their children."""
+    def touch(self, moved: Node, parent: Node, sign: int) -> None:
+        """The nodes above a moved one, and their children; bags are still as before the move."""
+        touched, overs = self.touched, self.overs
+        parts = [(k, moved.bags[k]) for k in self.kinds if moved.bags[k]]
+        below, node, last = moved, parent, {}
         while node:
-            self.touched[id(node)] = node
-            for c in node.children:
-                self.touched[id(c)] = c
-            node = node.parent
+            dots = {k: bag_dot(bag, node.bags[k]) for k, bag in parts}
+            if below is not moved:  # both bags change
+                over = dict(overs.get(id(below), below.over))
+                for k, _ in parts:
+                    over[k] += sign * (last[k] + dots[k]) + moved.squares[k]
+                overs[id(below)] = over
+            elif sign > 0:
+                overs[id(moved)] = dict.fromkeys(self.kinds, 0) | {k: dots[k] + moved.squares[k] for k, _ in parts}
+            wide = len(node.children) >= WIDE and not node.vec
+            if wide:
+                node.wide = node.wide or Wide(node, self.model, self.kinds)
+                self.wide.append((node, node.wide.place.get(id(below)), moved, sign))
+            for c in () if wide else node.children:
+                if c is below:
+                    continue
+                key, made, bags = id(c), None, c.bags
+                over = overs.get(key, c.over)
+                for k, bag in parts:
+                    if dots[k] and bags[k] and (d := bag_dot(bags[k], bag)):
+                        if made is None:
+                            made = dict(over)
+                        made[k] += sign * d
+                touched[key], overs[key] = c, over if made is None else made
+            touched[id(node)] = node
+            below, node, last = node, node.parent, dots
+        touched[id(moved)] = moved
 
     def link(self, child: Node, parent: Node, at: int | None = None) -> None:
         parent.children.insert(len(parent.children) if at is None else at, child)
@@ -226,12 +390,10 @@ class Trial:
         while up:
             up.add(child, 1)
             up = up.parent
-        self.touch(parent)
         self.log.append((self.unlink, child))
 
     def unlink(self, child: Node) -> None:
         parent = child.parent
-        self.touch(parent)
         at, up = next(i for i, c in enumerate(parent.children) if c is child), parent
         while up:
             up.add(child, -1)
@@ -241,9 +403,11 @@ class Trial:
         self.log.append((self.link, child, parent, at))
 
     def lift(self, node: Node) -> None:
-        """An inner node left with one child gives way to it."""
+        """An inner node left with one child gives way to it; their bags are the same."""
         only, above = node.children[0], node.parent
-        self.touch(node)
+        self.touched[id(only)] = only
+        if above:
+            self.overs[id(only)] = self.overs[id(node)]
         at = next((i for i, c in enumerate(above.children) if c is node), 0) if above else 0
         if above:
             above.children[at] = only
@@ -261,26 +425,35 @@ class Trial:
         kind, a, b = move
         if kind == "up":
             self.made = Node({k: Counter() for k in a.bags}, [0.0] * len(a.vec))
-            self.touch(a)
-            self.touch(b)
-            self.link(a, self.made)
-            self.link(b, self.made)
+            for x in (a, b):
+                self.touch(x, self.made, 1)
+                self.link(x, self.made)
             return
         moved = b if kind == "left" else a
         parent = moved.parent
         if parent:
+            self.touch(moved, parent, -1)
             self.unlink(moved)
             if len(parent.children) == 1 and not parent.leaf:
                 self.lift(parent)
-        self.touch(moved)
         if kind == "left":
+            self.touch(moved, a, 1)
             self.link(moved, a)
 
     def gain(self) -> float:
         """Score after the move less score before."""
         dead = {id(x) for x in self.gone}
-        self.new = {i: node_score(x, self.model) for i, x in self.touched.items() if i not in dead}
-        return sum(self.new.values()) - sum(x.score for x in self.touched.values())
+        model, overs = self.model, self.overs
+        self.new = {i: child_score(x, model, overs[i]) if x.parent else root_score(x, model) for i, x in self.touched.items() if i not in dead}
+        out = sum(self.new.values()) - sum(x.score for x in self.touched.values())
+        self.columns = []
+        for node, at, moved, sign in self.wide:
+            scores, rows = node.wide.after(node, model, moved, sign)
+            if at is not None:
+                scores[at] = node.wide.scores[at]
+            out += float(scores.sum() - node.wide.scores.sum())
+            self.columns.append((node, at, scores, rows))
+        return out
 
     def undo(self) -> None:
         log, self.log = self.log[::-1], []
@@ -290,6 +463,13 @@ class Trial:
     def keep(self) -> None:
         for i, x in self.touched.items():
             x.score = self.new.get(i, 0.0)
+            x.over = self.overs.get(i, x.over)
+        for node, at, scores, rows in self.columns:
+            for i, (c, score) in enumerate(zip(node.wide.children, scores.tolist(), strict=True)):
+                if i != at:
+                    c.score = score
+                    c.over = c.over | {k: int(v[i]) for k, v in rows.items()}
+            node.wide = None
 
 
 def sample(roots: list[Node], model: Model, rng: random.Random) -> list[Node]:
@@ -298,6 +478,7 @@ def sample(roots: list[Node], model: Model, rng: random.Random) -> list[Node]:
     place = {id(x): i for i, x in enumerate(nodes)}
     for x in nodes:
         x.score = node_score(x, model)
+        x.over = {k: bag_dot(x.bags[k], x.parent.bags[k]) for k, w in model.bags.items() if w.weight} if x.parent else {}
     for _ in range(min(len(nodes) * model.steps_per_node, model.most_steps)):
         if len(nodes) < 2 or idle >= model.idle_steps:
             break
@@ -391,7 +572,9 @@ def met(lined: DataFrame, model: Model, meeting: str) -> DataFrame:
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return cluster_block(f"{key[0]}#{key[1]}#{meeting}", part, model)
 
-    return cut(lined.groupBy("group", "line").applyInPandas(run, ROOT), "met")
+    # A stated number of parts isn't coalesced: roots are small rows, and by size alone few tasks would sample them all.
+    parts = int(lined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(lined.repartition(parts, "group", "line").groupBy("group", "line").applyInPandas(run, ROOT), "met")
 
 
 class Merges:

@@ -208,6 +208,28 @@ def test_sampler_against_a_plain_one(seed):
             assert x.score == pytest.approx(hierarchy.node_score(x, model))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_wide_nodes_are_scored_as_columns(seed, monkeypatch):
+    """Children scored one by one or as columns: the same trees, and scores that are those made anew."""
+
+    def leaves():
+        rng = random.Random(seed)
+        bag = lambda words, most: Counter(rng.choices(words, k=rng.randrange(most)))
+        some = lambda: {k: bag([f"{k}{i}" for i in range(12)], 3) for k in hierarchy.BAGS} | {"firstNames": Counter(["ann"]), "middleNames": Counter(["b"])}
+        return [hierarchy.Node(some(), [], f"m{i:03d}", 1) for i in range(60)]
+
+    found = []
+    for wide in (10**9, 3):
+        monkeypatch.setattr(hierarchy, "WIDE", wide)
+        roots = hierarchy.sample(leaves(), hierarchy.Model(steps_per_node=40), random.Random(seed))
+        found.append(sorted(sorted(x.leaf for x in r.leaves()) for r in roots))
+        for x in (x for r in roots for x in r.nodes()):
+            assert x.score == pytest.approx(hierarchy.node_score(x, hierarchy.Model()))
+            if x.parent:
+                assert {k: x.over[k] for k in x.over} == {k: hierarchy.bag_dot(x.bags[k], x.parent.bags[k]) for k in x.over}
+    assert found[0] == found[1] and len(found[0]) < 60
+
+
 def test_name_score():
     w = hierarchy.Name(initial=20, name=10, saturation=40, missing=25, weight=2)
     assert hierarchy.name_score(Counter("abcdef"), True, w) == -80
