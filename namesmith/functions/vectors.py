@@ -24,13 +24,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def bag(tokens: Column) -> Column:
-    """Token counts as a map<string,double>: tokens are sorted, and each run of equals is counted by where it begins."""
+    """Token counts as a map<string,double>: tokens are sorted, and where some repeat, each run of equals is counted by where it begins."""
 
     def counted(s: Column) -> Column:
         begins = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: (i < F.size(s)) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
         return let(begins, lambda b: F.map_from_arrays(F.transform(b, lambda i: F.get(s, i)), F.transform(b, lambda i, j: (F.coalesce(F.get(b, j + 1), F.size(s)) - i).cast("double"))))
 
-    return let(F.sort_array(tokens), counted)
+    def once(s: Column) -> Column:
+        return F.map_from_arrays(s, F.array_repeat(F.lit(1.0), F.size(s)))
+
+    return let(F.sort_array(tokens), lambda s: F.when(F.size(F.array_distinct(s)) == F.size(s), once(s)).otherwise(counted(s)))
 
 
 def bag_value(bag: Column, key: Column) -> Column:

@@ -1,62 +1,84 @@
 """The model's score terms of single mentions, and of two under a new root, for many pairs at once.
 
-Spark's expressions make a few numbers of each bag and of what two bags share;
-the terms are then numpy's, a batch at a time. They are those of ``hierarchy``'s
-nodes, which a test holds them against.
+Bags meet as lists of tokens and counts. A few numbers of each bag and of what two
+bags share, and the terms from them, are numpy's, a batch at a time. They are those of
+``hierarchy``'s nodes, which a test holds them against.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from namesmith.functions.text import let
-from namesmith.functions.vectors import bag_value, total
 from namesmith.operators.hierarchy import Model, Name, name_score
 
 KINDS = ("emails", "institutions", "coauthors", "topics", "text", "keywords", "venues")
 NAMES = ("firstNames", "middleNames")
 
 
-def weighed(n: Column) -> Column:
-    return n * F.ln(n)
+def weighed(n: np.ndarray) -> np.ndarray:
+    return n * np.log(n)
 
 
-def summed(bag: Column) -> Column:
-    """(kinds, sum, square, weighed) of a bag's counts n; the last is the sum of n ln n."""
-    values = F.map_values(bag)
-    each = {"kinds": F.size(bag).cast("double"), "sum": total(values), "square": total(F.transform(values, lambda n: n * n)), "weighed": total(F.transform(values, weighed))}
-    return F.struct(*(c.alias(k) for k, c in each.items()))
+def measured(rows: DataFrame) -> DataFrame:
+    """rows (bags in columns), with each bag's tokens and counts in two arrays, so that batches of them are flat."""
+    lists = [f(F.col(k)).alias(f"{k}_{n}") for k in KINDS for n, f in (("tokens", F.map_keys), ("counts", F.map_values))]
+    return rows.select(*(c for c in rows.columns if c not in KINDS), *lists)
 
 
-def shared(a: Column, b: Column) -> Column:
-    """(kinds, dot, more) of the tokens that two bags share; ``more`` is what n ln n gains where they are added."""
-    both = F.filter(F.transform(F.map_entries(a), lambda x: F.struct(x["value"].alias("n"), bag_value(b, x["key"]).alias("m"))), lambda x: x["m"] > 0)
-    more = lambda x: weighed(x["n"] + x["m"]) - weighed(x["n"]) - weighed(x["m"])
-    return let(both, lambda s: F.struct(F.size(s).cast("double").alias("kinds"), total(F.transform(s, lambda x: x["n"] * x["m"])).alias("dot"), total(F.transform(s, more)).alias("more")))
+def flattened(tokens: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(kinds of each bag; row, token and count of each entry); null is an empty bag."""
+    kinds = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    return kinds, np.repeat(np.arange(len(kinds)), kinds), tokens.flatten(), counts.flatten().to_numpy(zero_copy_only=False)
 
 
-def measured(rows: DataFrame) -> DataFrame:
-    """rows (bags in columns) with the numbers of each bag."""
-    return rows.select("*", *(summed(F.col(k)).alias(f"{k}_own") for k in KINDS))
+def numbers(one: tuple[pa.Array, pa.Array], other: tuple[pa.Array, pa.Array]) -> dict[str, np.ndarray]:
+    """Of two columns of bags, row by row: (kinds, sum, square, weighed) of each one's counts n, and (kinds, dot, more) of the tokens that both have.
+
+    ``weighed`` is the sum of n ln n, and ``more`` is what that gains where the bags are added.
+    """
+    found, sides = {}, (flattened(*one), flattened(*other))
+    size = len(sides[0][0])
+    added = lambda row, x: np.bincount(row, x, size).astype(float)  # noqa: E731 (of nothing it is whole numbers)
+    for x, (kinds, row, _, n) in zip(("", "2"), sides, strict=True):
+        found |= {f"kinds{x}": kinds.astype(float), f"sum{x}": added(row, n), f"square{x}": added(row, n * n), f"weighed{x}": added(row, weighed(n))}
+    (_, row, tokens, n), (_, row2, tokens2, m) = sides
+    codes = pa.concat_arrays([tokens, tokens2]).dictionary_encode()
+    ids, most = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(codes.dictionary))
+    _, at, at2 = np.intersect1d(row * most + ids[: len(row)], row2 * most + ids[len(row) :], assume_unique=True, return_indices=True)
+    row, n, m = row[at], n[at], m[at2]
+    return found | {"kinds_both": added(row, np.ones(len(row))), "dot_both": added(row, n * m), "more_both": added(row, weighed(n + m) - weighed(n) - weighed(m))}
+
+
+NUMBERS = (*(f"{n}{x}" for x in ("", "2") for n in ("kinds", "sum", "square", "weighed")), *(f"{n}_both" for n in ("kinds", "dot", "more")))
 
 
 def paired(pairs: DataFrame) -> DataFrame:
     """Flat columns for ``scores`` of (one, other): measured rows as structs, other may be null."""
-    cols = [F.col("one.id").alias("id"), F.col("other").isNotNull().alias("two"), F.col("one.vec").alias("vec"), F.col("other.vec").alias("vec2")]
+    plain = [F.col("one.id").alias("id"), F.col("other").isNotNull().alias("two"), F.col("one.vec").alias("vec"), F.col("other.vec").alias("vec2")]
     for k in NAMES:
-        cols += [F.array_sort(F.map_keys(f"one.{k}")).alias(k), F.array_sort(F.map_keys(f"other.{k}")).alias(f"{k}2")]
-    flat = pairs.select(*cols, "one", "other", *(shared(F.col(f"one.{k}"), F.col(f"other.{k}")).alias(f"{k}_shared") for k in KINDS))
-    none = F.lit(0.0)
-    for k in KINDS:
-        for n in ("kinds", "sum", "square", "weighed"):
-            flat = flat.withColumn(f"{k}_{n}", F.col(f"one.{k}_own.{n}")).withColumn(f"{k}_{n}2", F.coalesce(f"other.{k}_own.{n}", none))
-        flat = flat.withColumns({f"{k}_{n}_both": F.coalesce(F.col(f"{k}_shared.{n}"), none) for n in ("kinds", "dot", "more")})
-    return flat.drop("one", "other", *(f"{k}_shared" for k in KINDS))
+        plain += [F.array_sort(F.map_keys(f"one.{k}")).alias(k), F.array_sort(F.map_keys(f"other.{k}")).alias(f"{k}2")]
+    lists = [F.col(f"{side}.{k}_{n}").alias(f"{k}_{n}{x}") for k in KINDS for x, side in (("", "one"), ("2", "other")) for n in ("tokens", "counts")]
+    kept = pairs.select(*plain).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {c: batch.column(c) for c in kept.names}
+            for k in KINDS:
+                sides = ((batch.column(f"{k}_tokens{x}"), batch.column(f"{k}_counts{x}")) for x in ("", "2"))
+                found |= {f"{k}_{n}": pa.array(v) for n, v in numbers(*sides).items()}
+            yield pa.RecordBatch.from_pydict(found)
+
+    schema = StructType([*kept.fields, *(StructField(f"{k}_{n}", DoubleType()) for k in KINDS for n in NUMBERS)])
+    return pairs.select(*plain, *lists).mapInArrow(run, schema)
 
 
 @lru_cache(1 << 16)

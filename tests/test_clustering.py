@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -404,3 +405,22 @@ def test_terms_of_many_pairs_are_those_of_nodes(spark):
                 assert gain[i] == pytest.approx(trial.gain(), abs=1e-11)
                 trial.undo()
             assert rest or gain[i] != gain[i]
+
+
+def test_numbers_of_bags_and_of_what_they_share():
+    """A batch's numbers against counters, with empty and absent bags."""
+    rng = random.Random(5)
+    bags = [[Counter(rng.choices("abcdef", k=rng.randrange(8))) if rng.random() < 0.9 else None for _ in range(60)] for _ in range(2)]
+    column = lambda s, kind, use: pa.array([None if b is None else list(use(b)) for b in s], pa.list_(kind))
+    got = terms.numbers(*((column(s, pa.string(), lambda b: b), column(s, pa.float64(), lambda b: map(float, b.values()))) for s in bags))
+    assert set(got) == set(terms.NUMBERS)
+    weighed = lambda ns: sum(n * math.log(n) for n in ns)
+    for i, (a, b) in enumerate(zip(*(map(lambda x: x or Counter(), s) for s in bags), strict=True)):
+        both = a.keys() & b.keys()
+        for x, bag in (("", a), ("2", b)):
+            assert [got[f"{n}{x}"][i] for n in ("kinds", "sum", "square")] == [len(bag), bag.total(), sum(n * n for n in bag.values())]
+            assert got[f"weighed{x}"][i] == pytest.approx(weighed(bag.values()))
+        assert (got["kinds_both"][i], got["dot_both"][i]) == (len(both), sum(a[t] * b[t] for t in both))
+        assert got["more_both"][i] == pytest.approx(weighed((a + b).values()) - weighed(a.values()) - weighed(b.values()))
+    nothing = (pa.array([[], None], pa.list_(pa.string())), pa.array([[], None], pa.list_(pa.float64())))
+    assert all(x.dtype == float and not x.any() for x in terms.numbers(nothing, nothing).values())
