@@ -1,24 +1,189 @@
-"""Topics, by Spark ML."""
+"""Topics by latent Dirichlet allocation: online variational Bayes whose model is a table by word.
+
+Each iteration looks at a share of the documents, dealt to parts; a part gets the
+model's rows of its own words, and what it learns about them is added up by word.
+The driver sees the sums over words, a number for each topic, and at the end the
+model once, which ``vocabulary`` bounds. Rates and priors are those of Spark ML's
+LDA: offset 1024, decay 0.51, 5 % of the documents an iteration, 1/k for words, and
+the documents' prior is fitted.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from namesmith.plans.storage import cut, remove
+
+#: Distinct words of documents in a part, words in a block that is added up at once, the share of documents in an iteration, offset and decay of the rate.
+PART, BLOCK, SHARE, OFFSET, DECAY = 1 << 18, 256, 0.05, 1024, 0.51
+MODEL, LEARNED = "word int, vec array<double>", "word int, part int, vec array<float>"
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers: six steps of its recurrence, then its asymptotic series."""
+    steps = sum(1 / (x + i) for i in range(6))
+    y = x + 6
+    z = 1 / (y * y)
+    return np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132)))) - steps
+
+
+def trigamma(x: np.ndarray) -> np.ndarray:
+    steps = sum(1 / (x + i) ** 2 for i in range(6))
+    y = x + 6
+    z = 1 / (y * y)
+    return 1 / y + z / 2 + z / y * (1 / 6 - z * (1 / 30 - z * (1 / 42 - z / 30))) + steps
+
+
+def expected(x: np.ndarray) -> np.ndarray:
+    """Expectations of the logarithms of a Dirichlet distribution's shares."""
+    return digamma(x) - digamma(x.sum())
+
+
+def inferred(words: np.ndarray, counts: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A document's topics, its weights of topics and of words; words are its rows of the exponentiated model."""
+    gamma = np.ones(len(alpha))
+    theta = np.exp(expected(gamma))
+    share = counts / (words @ theta + 1e-100)
+    change = 1.0
+    while change > 1e-3:
+        before, gamma = gamma, theta * (share @ words) + alpha
+        theta = np.exp(expected(gamma))
+        share = counts / (words @ theta + 1e-100)
+        change = np.abs(gamma - before).mean()
+    return gamma, theta, share
+
+
+def counted(docs: DataFrame, tokens: str, vocabulary: int, least: float) -> tuple[DataFrame, int]:
+    """(document's columns, row, words, counts) with words as numbers, most frequent first, and how many words there are."""
+    rows = cut(StopWordsRemover(inputCol=tokens, outputCol="_words").transform(docs.where(F.size(tokens) > 0)).withColumn("row", F.monotonically_increasing_id()), "documents")
+    each = rows.select("row", F.explode("_words").alias("token")).groupBy("row", "token").agg(F.count("*").alias("n"))
+    least = least if least >= 1 else least * rows.count()
+    kinds = each.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).where(F.col("docs") >= least)
+    # The vocabulary is bounded by the parameter: so is what is numbered here and broadcast.
+    words = cut(kinds.orderBy(F.desc("n"), "token").limit(vocabulary), "words").orderBy(F.desc("n"), "token").collect()
+    index = docs.sparkSession.createDataFrame([(r["token"], i) for i, r in enumerate(words)], "token string, word int")
+    bags = each.join(F.broadcast(index), "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("bag"))
+    kept = [c for c in rows.columns if c not in (tokens, "_words")]
+    found = cut(rows.select(*kept).join(bags, "row", "left").select(*kept, F.col("bag.word").alias("words"), F.transform("bag.n", lambda n: n.cast("float")).alias("counts")), "counted")
+    remove(rows)
+    return found, len(words)
+
+
+def learned(batch: DataFrame, model: DataFrame, parts: int, totals: np.ndarray, alpha: np.ndarray) -> DataFrame:
+    """LEARNED of a batch: sums by word and part. Rows of word -1 hold the sum of the documents' expectations and their number."""
+    down = digamma(totals)
+
+    def run(docs: pa.Table, rows: pa.Table) -> pa.Table:
+        if not len(docs):
+            return pa.Table.from_pylist([], schema=schema)
+        rows, docs = rows.sort_by("word"), docs.sort_by("row")
+        known = rows["word"].to_numpy()
+        beta = np.exp(digamma(rows["vec"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)) - down)
+        sums, own = np.zeros_like(beta), np.zeros(len(alpha) + 1)
+        for words, counts in zip(docs["words"].to_numpy(), docs["counts"].to_numpy(), strict=True):
+            at = np.searchsorted(known, words)
+            gamma, theta, share = inferred(beta[at], counts.astype(float), alpha)
+            sums[at] += share[:, None] * theta
+            own += np.r_[expected(gamma), 1]
+        vecs = [*(sums * beta).astype(np.float32), own.astype(np.float32)]
+        part = docs["part"][0].as_py()
+        return pa.table([pa.array([*known, -1], pa.int32()), pa.array([part] * len(vecs), pa.int32()), pa.array(vecs, pa.list_(pa.float32()))], schema=schema)
+
+    schema = pa.schema([("word", pa.int32()), ("part", pa.int32()), ("vec", pa.list_(pa.float32()))])
+    dealt = batch.select("row", "words", "counts", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"))
+    needed = dealt.select(F.col("part").alias("to"), F.explode("words").alias("word")).distinct().join(model.hint("merge"), "word").select("to", "word", "vec")
+    return cut(dealt.groupBy("part").cogroup(needed.groupBy("to")).applyInArrow(run, LEARNED), "learned")
+
+
+def updated(model: DataFrame, news: DataFrame, rate: float, scale: float, eta: float) -> DataFrame:
+    """MODEL with its rows moved towards what a batch says; of words that it lacks, towards the prior."""
+
+    def run(old: pa.Table, new: pa.Table) -> pa.Table:
+        old, new = old.sort_by("word"), new.sort_by([("part", "ascending"), ("word", "ascending")])
+        words = old["word"].to_numpy()
+        flat = old["vec"].combine_chunks().flatten().to_numpy().reshape(len(old), -1)
+        said = np.zeros_like(flat)
+        if len(new):
+            np.add.at(said, np.searchsorted(words, new["word"].to_numpy()), new["vec"].combine_chunks().flatten().to_numpy().reshape(len(new), -1))
+        moved = (1 - rate) * flat + rate * (scale * said + eta)
+        return pa.table([pa.array(words, pa.int32()), pa.array(list(moved), pa.list_(pa.float64()))], names=["word", "vec"])
+
+    block = F.expr(f"word div {BLOCK}").alias("block")
+    return cut(model.groupBy(block).cogroup(news.where("word >= 0").groupBy(block)).applyInArrow(run, MODEL), "model")
+
+
+def fitted(alpha: np.ndarray, logs: np.ndarray, n: float, rate: float) -> np.ndarray:
+    """The documents' prior after a Newton step; as it was, where that leaves the positive numbers."""
+    slope = n * (-expected(alpha) + logs / n)
+    bend, turn = n * trigamma(alpha.sum()), -n * trigamma(alpha)
+    shift = (slope / turn).sum() / (1 / bend + (1 / turn).sum())
+    moved = alpha - rate * (slope - shift) / turn
+    return moved if (moved > 0).all() else alpha
+
+
+def sums(model: DataFrame, k: int) -> np.ndarray:
+    """Over words, a number for each topic."""
+    return np.array(model.agg(*(F.sum(F.get("vec", F.lit(i))) for i in range(k))).first(), float)
+
+
+def trained(docs: DataFrame, n_words: int, k: int, iterations: int, seed: int) -> tuple[DataFrame, np.ndarray]:
+    """MODEL after all iterations and the documents' prior. docs: (row, words, counts), null words: none."""
+    spark = docs.sparkSession
+    n_docs, size = docs.agg(F.count("*"), F.sum(F.greatest(F.size("words"), F.lit(0)))).first()
+    parts, eta, alpha = max(1, -int(-size * SHARE // PART), min(16, n_docs // 2000)), 1 / k, np.full(k, 50.0 / k)
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            vecs = [np.random.default_rng((seed, w)).gamma(100, 1 / 100, k) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(vecs, pa.list_(pa.float64()))], names=["word", "vec"])
+
+    model = cut(spark.range(n_words).mapInArrow(start, MODEL), "model")
+    full = docs.where("words is not null")
+    for turn in range(1, iterations + 1):
+        rate = (OFFSET + turn) ** -DECAY
+        batch = full.where(F.pmod(F.xxhash64("row", F.lit(seed), F.lit(turn)), F.lit(1 << 20)) < int(SHARE * (1 << 20)))
+        news = learned(batch, model, parts, sums(model, k), alpha)
+        before, model = model, updated(model, news, rate, n_docs / np.ceil(SHARE * n_docs), eta)
+        own = [r["vec"] for r in news.where("word < 0").orderBy("part").select("vec").collect()]
+        if own:
+            *logs, n = np.sum(np.array(own, float), axis=0)
+            alpha = fitted(alpha, np.array(logs), n, rate)
+        remove(before, news)
+    return model, alpha
+
 
 def topics(docs: DataFrame, key: str, tokens: str, k: int = 50, top: int = 10, vocabulary: int = 1 << 18, iterations: int = 20, least: float = 2.0, seed: int = 1) -> DataFrame:
     """(key, topics): a document's strongest topic numbers as strings, by an LDA model over non-stop-words.
 
     Words of fewer than ``least`` documents (a share of all below 1) are left
-    out; ``vocabulary`` bounds the model that every task holds.
+    out; ``vocabulary`` bounds the model. Of documents without words, and of equal
+    shares, the smaller numbers come first.
     """
-    plain = StopWordsRemover(inputCol=tokens, outputCol="_words").transform(docs.where(F.size(tokens) > 0))
-    counted = CountVectorizer(inputCol="_words", outputCol="features", vocabSize=vocabulary, minDF=least).fit(plain).transform(plain)
-    model = LDA(k=k, maxIter=iterations, docConcentration=[50.0 / k] * k, optimizer="online", seed=seed).fit(counted)
-    shares = F.transform(vector_to_array("topicDistribution"), lambda p, i: F.struct((-p).alias("p"), i.alias("i")))
-    strongest = F.transform(F.slice(F.sort_array(shares), F.lit(1), F.lit(top)), lambda s: s["i"].cast("string"))
-    return model.transform(counted).select(key, strongest.alias("topics"))
+    spark = docs.sparkSession
+    bags, n_words = counted(docs.select(key, tokens), tokens, vocabulary, least)
+    model, alpha = trained(bags, n_words, k, iterations, seed) if n_words else (None, np.ones(k))
+    beta = np.zeros((n_words, k), np.float32)
+    if n_words:
+        down = digamma(sums(model, k))
+        for r in model.select("word", F.transform("vec", lambda x: x.cast("float")).alias("vec")).toArrow().to_batches():
+            beta[r.column("word").to_numpy()] = np.exp(digamma(r.column("vec").flatten().to_numpy().reshape(len(r), -1).astype(float)) - down)
+        remove(model)
+    held = spark.sparkContext.broadcast(beta)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for words, counts in zip(batch.column("words").to_numpy(zero_copy_only=False), batch.column("counts").to_numpy(zero_copy_only=False), strict=True):
+                gamma = np.zeros(k) if words is None else inferred(held.value[words].astype(float), counts.astype(float), alpha)[0]
+                found.append([str(i) for i in np.argsort(-gamma, kind="stable")[:top]])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.list_(pa.string()))], names=[key, "topics"])
 
+    kind = bags.schema[key].dataType.simpleString()
+    return bags.select(key, "words", "counts").mapInArrow(run, f"`{key}` {kind}, topics array<string>")

@@ -1,0 +1,43 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from namesmith.operators import topics
+
+
+def test_functions_of_the_gamma_function():
+    x, d = np.array([0.02, 0.5, 1.0, 7.3, 4000.0]), 1e-5
+    assert topics.digamma(np.array([1.0, 0.5])) == pytest.approx([-0.5772156649015329, -1.9635100260214235], abs=1e-9)
+    assert topics.trigamma(np.array([1.0])) == pytest.approx([math.pi**2 / 6], abs=1e-8)
+    assert topics.digamma(x) == pytest.approx([(math.lgamma(v * (1 + d)) - math.lgamma(v * (1 - d))) / (2 * d * v) for v in x], rel=1e-5)
+
+
+def test_learning_does_not_depend_on_parts(spark):
+    rng = random.Random(1)
+    bags = [(i, sorted(rng.sample(range(20), 5)), [float(rng.randrange(1, 4)) for _ in range(5)]) for i in range(30)]
+    docs = spark.createDataFrame(bags, "row long, words array<int>, counts array<float>")
+    model = spark.createDataFrame([(w, [rng.uniform(0.5, 2) for _ in range(3)]) for w in range(20)], "word int, vec array<double>")
+    total = topics.sums(model, 3)
+    one, many = ({w: np.sum([r.vec for r in rows if r.word == w], axis=0) for w in range(-1, 20)} for rows in (topics.learned(docs, model, n, total, np.full(3, 0.7)).collect() for n in (1, 4)))
+    assert all(one[w] == pytest.approx(many[w], rel=1e-4) for w in one)
+    assert sum(v.sum() for w, v in one.items() if w >= 0) == pytest.approx(sum(sum(c) for _, _, c in bags), rel=1e-4)
+
+
+def test_sums_by_word_stay_off_the_driver(spark):
+    """10,000 words by 50 topics are 4 MB as doubles: a driver that takes 3 MB of results sees the model once, as floats."""
+    rng = random.Random(2)
+    tokens = [f"w{i}" for i in range(10_000)] * 2
+    rng.shuffle(tokens)
+    docs = spark.createDataFrame([(i, tokens[i::400]) for i in range(400)] + [(400, ["alone"]), (401, []), (402, None)], "id int, tokens array<string>")
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "3m")
+    try:
+        found = {r.id: r.topics for r in topics.topics(docs, "id", "tokens", iterations=1).collect()}
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+    assert sorted(found) == list(range(401))
+    assert all(len(set(t)) == 10 and set(map(int, t)) <= set(range(50)) for t in found.values())
+    assert found[400] == [str(i) for i in range(10)]
