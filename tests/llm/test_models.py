@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from namesmith.llm import langid, licenses, sql, toxicity
 
@@ -65,6 +66,30 @@ def test_gram_counts_by_hand():
     assert np.bincount(own, minlength=3).tolist() == [4 + 6 + 4, 0, 1 + 2 + 1]
 
 
+def test_leading_grams_are_those_of_a_plain_count(monkeypatch):
+    """Odd letters, an alphabet too large for small keys, empty texts, and many documents at once."""
+    monkeypatch.setattr(langid, "MANY", 5)
+    many = "".join(map(chr, range(0x4E00, 0x6E00)))
+    texts = ["Ab, b\u00c9!", "", "c", "\u706b \u6c34\u706b", "\u0130STANBUL \u03a3\u0391\u03a3", "12 !?", "a\x00b", "\U00010400z", many, many[5:] + many[:9], "the cat and the hat " * 9] * 2
+    code = {1: lambda g: ord(g), 2: lambda g: ord(g[0]) << 21 | ord(g[1]) | 1 << 62, 3: lambda g: ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])}
+    got = {}
+    for first, buf, offs in langid.runs(pa.array(texts)):
+        for d, r, c in zip(*(x.tolist() for x in langid.leading(buf, offs, 40)), strict=True):
+            assert len(got.setdefault(first + d, [])) == r
+            got[first + d].append(c)
+    for i, t in enumerate(texts):
+        plain = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+        found = Counter(code[k](plain[j : j + k]) for k in (1, 2, 3) for j in range(len(plain) - k + 1) if " " not in (plain[j + 1 : j + k - 1] if k == 3 else "") and plain[j : j + k].strip())
+        assert got.get(i, []) == sorted(found, key=lambda g: (-found[g], g))[:40]
+
+
+def test_profiles_do_not_depend_on_what_a_task_holds(spark, monkeypatch):
+    whole = langid.profiles(documents(spark))
+    monkeypatch.setattr(langid, "HELD", 50)
+    parts = langid.profiles(documents(spark).repartition(3))
+    assert whole.keys() == parts.keys() and all((whole[x] == parts[x]).all() for x in whole)
+
+
 def toxic_corpus(spark, n=900):
     rng = random.Random(9)
     plain = [f"word{i}" for i in range(300)]
