@@ -119,3 +119,29 @@ def test_words_that_the_last_iteration_left_out_keep_their_vectors(spark):
     model = spark.createDataFrame([(1, 0, times, [2.0] * 88, [])], cbow.SUMS)
     found = {r.word: r.vec for r in cbow.vectors(model, [f"w{i}" for i in range(300)], before).collect()}
     assert found == {f"w{i}": [0.5, 0.5] if i == 259 else [2.0 * i, 2.0 * i + 1] for i in range(300)}
+
+
+def test_scattered_changes_are_the_plain_sums():
+    """Rows that come once, up to CROWD times, and more often, against adding one by one."""
+    rng = np.random.default_rng(5)
+    rows = np.r_[np.arange(40), rng.integers(40, 45, 25), np.full(60, 45)]
+    rng.shuffle(rows)
+    change = rng.normal(size=(len(rows), 6)).astype(np.float32)
+    matrix = rng.normal(size=(50, 6)).astype(np.float32)
+    want = matrix.astype(float)
+    for r in np.unique(rows):
+        own = change[rows == r].astype(float)
+        want[r] += own.sum(axis=0) * min(1, cbow.CROWD / len(own))
+    cbow.scatter(matrix, rows, change)
+    assert np.allclose(matrix, want, atol=1e-5)
+    cbow.scatter(matrix, rows[:0], change[:0])
+
+
+def test_tokens_get_numbers_without_a_shuffle_of_tokens(spark, monkeypatch):
+    plans, write = [], cbow.cut
+    monkeypatch.setattr(cbow, "cut", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    lines = spark.createDataFrame([(["b", "x", "a", None, "", "b"],), (None,), ([],), (["a", "b"],), (["b", "a"],)], "tokens array<string>")
+    dealt, words, _ = cbow.encoded(lines, "tokens", 2, 10, 1)
+    assert words == [("b", 4), ("a", 3)]
+    assert sorted((tuple(r.ids), r.copies) for r in dealt.collect()) == [((0, 1), 1), ((0, 1, 0), 1), ((1, 0), 1)]
+    assert "Join" not in plans[0] and "posexplode" not in plans[0]
