@@ -23,6 +23,7 @@ import random
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Collection
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -38,7 +39,9 @@ from namesmith.operators.features import mention_bags, title_vectors
 from namesmith.plans.storage import cut, remove, shared_folder
 
 #: From so many children on (more than two), those that don't move are scored as columns.
-WIDE = 40
+WIDE = 32
+#: Parts of a meeting for each core, so that a core that is done takes another.
+PARTS = 4
 BAGS = ("firstNames", "middleNames", "emails", "institutions", "coauthors", "topics", "text", "keywords", "venues")
 
 
@@ -152,7 +155,7 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def name_score(names: Counter, is_root: bool, w: Name) -> float:
+def name_score(names: Collection[str], is_root: bool, w: Name) -> float:
     if len(names) > w.limit:
         return -w.weight * min(w.saturation, w.exceed)
     if len(names) < 2:
@@ -200,21 +203,30 @@ def title_score(node: Node, model: Model) -> float:
     return model.title.weight * (cosine(own, rest) + model.title.shift) if any(node.vec) and any(rest.values()) else 0.0
 
 
-def child_score(node: Node, model: Model, over: dict[str, int]) -> float:
-    """``node_score`` of a node under a parent, from ``over`` (dot products with the parent's bags), whatever the size of the bags."""
-    if node.fixed is None:
-        names = 0.0
-        for k, w in model.names.items():
-            names += name_score(node.bags[k], False, w)
-        node.fixed = names, [(k, w.weight, w.shift, node.squares[k]) for k, w in model.bags.items() if w.weight and node.bags[k]]
-    score, parts = node.fixed
-    above = node.parent.squares
+def settled(node: Node, model: Model) -> tuple[float, list[tuple]]:
+    """What of a node's score under a parent its own bags decide; remembered."""
+    names = 0.0
+    for k, w in model.names.items():
+        names += name_score(node.bags[k], False, w)
+    node.fixed = names, [(k, w.weight, w.shift, node.squares[k]) for k, w in model.bags.items() if w.weight and node.bags[k]]
+    return node.fixed
+
+
+def under(fixed: tuple[float, list[tuple]], above: dict[str, int], over: dict[str, int]) -> float:
+    """Score without the title's term, from the squares of the parent's bags and the dot products with these."""
+    score, parts = fixed
     for k, weight, shift, square in parts:
         whole = above[k]
         if whole > square:
             both = over[k]
             rest = whole - 2 * both + square
             score += weight * ((both - square) / math.sqrt(square * rest) + shift) if both > square and rest > 0 else weight * shift
+    return score
+
+
+def child_score(node: Node, model: Model, over: dict[str, int]) -> float:
+    """``node_score`` of a node under a parent, from ``over`` (dot products with the parent's bags), whatever the size of the bags."""
+    score = under(node.fixed or settled(node, model), node.parent.squares, over)
     if node.vec and model.title.weight:
         score += title_score(node, model)
     return score
@@ -309,8 +321,8 @@ class Wide:
                     counts.append(n)
             self.holders[k] = held
 
-    def after(self, node: Node, model: Model, moved: Node, sign: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """Scores and dot products after a move, from the node's bags as they are then."""
+    def after(self, above: dict[str, int], model: Model, moved: Node, sign: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Scores and dot products after a move, from the squares of the node's bags as they are then."""
         scores, overs = self.names.copy(), {}
         for k, square in self.squares.items():
             over, held, bag = self.overs[k], self.holders[k], moved.bags[k]
@@ -326,7 +338,7 @@ class Wide:
                             if isinstance(places, list):
                                 places, counts = held[token] = np.array(places), np.array(counts, float)
                             over[places] += (sign * n) * counts
-            overs[k], w, whole = over, model.bags[k], node.squares[k]
+            overs[k], w, whole = over, model.bags[k], above[k]
             # Counts aren't negative: without anything in common, or without a rest, more is 0.
             more = over - square
             cosines = more / np.sqrt(np.maximum(square * (whole - over - more), 1.0))
@@ -448,7 +460,7 @@ class Trial:
         out = sum(self.new.values()) - sum(x.score for x in self.touched.values())
         self.columns = []
         for node, at, moved, sign in self.wide:
-            scores, rows = node.wide.after(node, model, moved, sign)
+            scores, rows = node.wide.after(node.squares, model, moved, sign)
             if at is not None:
                 scores[at] = node.wide.scores[at]
             out += float(scores.sum() - node.wide.scores.sum())
@@ -472,9 +484,122 @@ class Trial:
             node.wide = None
 
 
+def root_with(root: Node, moved: Node, model: Model) -> float:
+    """``root_score`` of a root without a title vector as it is with the bags of another node."""
+    score = 0.0
+    for k, w in model.names.items():
+        names = root.bags[k].keys() | moved.bags[k].keys()
+        score += name_score(names, True, w)
+        if not names:
+            score -= w.missing
+    for k, w in model.bags.items():
+        bag, more = root.bags[k], moved.bags[k]
+        if (bag or more) and (w.entropy or w.prior):
+            if k not in root.hist:
+                root.hist[k] = dict(Counter(bag.values()))
+            hist, kinds, get = dict(root.hist[k]), len(bag), bag.get
+            for token, n in more.items():
+                if was := get(token, 0):
+                    hist[was] -= 1
+                else:
+                    kinds += 1
+                hist[was + n] = hist.get(was + n, 0) + 1
+            total = sum(n * times for n, times in hist.items())
+            entropy = -sum(times * (n / total * math.log(n / total)) for n, times in hist.items()) / math.log(kinds) if kinds > 1 else 0.0
+            score -= w.entropy * entropy + w.prior * kinds / total
+    return score + model.size_weight * (root.count + moved.count) ** model.size_exponent
+
+
+def left_gains(moved: Node, into: list[Node], model: Model, kinds: list[str]) -> list[float]:
+    """Gains of moving a node into each of some nodes of another tree, each the parent of the one before; no titles.
+
+    What leaves the old tree is the same for all. Above a target, scores of those
+    beside the path don't depend on which target below it is: each level is looked at once.
+    """
+    trial, gone, parent = Trial(model), -moved.score, moved.parent
+    if parent:
+        trial.touch(moved, parent, -1)
+        trial.unlink(moved)
+        if len(parent.children) == 1 and not parent.leaf:
+            trial.lift(parent)
+        del trial.touched[id(moved)]
+        gone += trial.gain()
+        trial.undo()
+    fixed, bags, squares = moved.fixed or settled(moved, model), moved.bags, moved.squares
+    parts = [(k, bags[k]) for k in kinds if bags[k]]
+    chain = [into[0]]
+    while chain[-1].parent:
+        chain.append(chain[-1].parent)
+    beside, as_target, on_path, below, last, low = [], [], [], None, {}, {}
+    for node in chain:
+        dots = {k: bag_dot(bag, node.bags[k]) for k, bag in parts}
+        above = dict(node.squares)
+        for k, d in dots.items():
+            above[k] += 2 * d + squares[k]
+        others = 0.0
+        if len(node.children) >= WIDE:
+            wide = node.wide = node.wide or Wide(node, model, kinds)
+            scores, _ = wide.after(above, model, moved, 1)
+            others = float(scores.sum() - wide.scores.sum())
+            if below:
+                at = wide.place[id(below)]
+                others -= float(scores[at] - wide.scores[at])
+        else:
+            for c in node.children:
+                if c is below:
+                    continue
+                over, held, made = c.over, c.bags, None
+                for k, bag in parts:
+                    if dots[k] and held[k] and (d := bag_dot(held[k], bag)):
+                        if made is None:
+                            made = dict(over)
+                        made[k] += d
+                others += under(c.fixed or settled(c, model), above, made or over) - c.score
+        beside.append(others)
+        own = under(fixed, above, dict.fromkeys(kinds, 0) | {k: d + squares[k] for k, d in dots.items()})
+        if below:
+            over = dict(below.over)
+            for k, d in last.items():
+                over[k] += d
+            own += under(below.fixed or settled(below, model), above, over) - below.score
+            for k, d in dots.items():
+                over[k] += d + squares[k]
+            names = sum(name_score(below.bags[k].keys() | bags[k].keys(), False, w) for k, w in model.names.items())
+            grown = names, [(k, w.weight, w.shift, low[k]) for k, w in model.bags.items() if w.weight and (below.bags[k] or bags[k])]
+            on_path.append(under(grown, above, over) - below.score)
+        as_target.append(own)
+        below, last, low = node, dots, above
+    rest, out = gone + root_with(chain[-1], moved, model) - chain[-1].score, []
+    for i in range(len(chain) - 1, -1, -1):
+        rest += beside[i]
+        out.append(rest + as_target[i])
+        if i:
+            rest += on_path[i - 1]
+    return out[::-1][: len(into)]
+
+
+def gains_of(options: list[tuple[str, Node, Node]], model: Model, kinds: list[str]) -> list[float]:
+    """What each move would gain; those of one node into a path of another tree are looked at together."""
+    out, at = [], 0
+    while at < len(options):
+        kind, a, b = options[at]
+        end = at + 1
+        if kind == "left" and not a.vec:
+            while end < len(options) and options[end][2] is b and options[end][1] is options[end - 1][1].parent:
+                end += 1
+            out += left_gains(b, [x for _, x, _ in options[at:end]], model, kinds)
+        else:
+            trial = Trial(model)
+            trial.do(options[at])
+            out.append(trial.gain())
+            trial.undo()
+        at = end
+    return out
+
+
 def sample(roots: list[Node], model: Model, rng: random.Random) -> list[Node]:
     """Roots after sampling moves among the nodes of these trees."""
-    nodes, idle = [x for r in roots for x in r.nodes()], 0
+    nodes, idle, kinds = [x for r in roots for x in r.nodes()], 0, [k for k, w in model.bags.items() if w.weight]
     place = {id(x): i for i, x in enumerate(nodes)}
     for x in nodes:
         x.score = node_score(x, model)
@@ -487,12 +612,7 @@ def sample(roots: list[Node], model: Model, rng: random.Random) -> list[Node]:
         if not options:
             idle += 1
             continue
-        idle, gains = 0, [0.0]
-        for m in options:
-            trial = Trial(model)
-            trial.do(m)
-            gains.append(trial.gain())
-            trial.undo()
+        idle, gains = 0, [0.0, *gains_of(options, model, kinds)]
         best = max(gains)
         if model.greedy:
             pick = gains.index(best)
@@ -573,7 +693,8 @@ def met(lined: DataFrame, model: Model, meeting: str) -> DataFrame:
         return cluster_block(f"{key[0]}#{key[1]}#{meeting}", part, model)
 
     # A stated number of parts isn't coalesced: roots are small rows, and by size alone few tasks would sample them all.
-    parts = int(lined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = lined.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS * spark.sparkContext.defaultParallelism)
     return cut(lined.repartition(parts, "group", "line").groupBy("group", "line").applyInPandas(run, ROOT), "met")
 
 
